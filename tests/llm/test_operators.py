@@ -1,0 +1,558 @@
+"""Every operator against brute force, on a fixture of awkward rows and on the smallest tables."""
+
+import hashlib
+import itertools
+
+
+import random
+import re
+
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from corvane.llm import exact_dedup, flac, langid, mixing, packing, pii, queries, sentence_dedup, sharding, simhash, suffix_dedup
+from corvane.llm.common import prefix_sum, skew_join
+from corvane.llm.components import connected_components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, grp string, rid long, rows long, class int, chunk int, shard int, h long, part int"
+WORDS = [f"{a}{b}" for a in ("lor", "mip", "dol", "sat", "con", "tur", "vel", "qui") for b in ("em", "is", "or", "an", "et", "ux")]
+
+
+def make_rows():
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(WORDS) + (". " if rng.random() < 0.12 else "") for _ in range(n)).replace("  ", " ")
+    shared = text(90)
+    bodies = [None, "", " ", "a", "Same text. ", "Same  text.", "sametext.", "Ünïcode straße мир 東京 ", text(6000), shared, shared, shared + " tail end", text(40) + " " + shared + " " + text(30), "x" * 500, "x" * 500, "ab" * 4000, "\x00\x01" * 60, "12 " * 100]
+    bodies += [text(rng.randrange(1, 200)) for _ in range(40)]
+    bodies += [bodies[25]] * 30
+    near = bodies[30].split(" ")
+    for i in range(12):
+        near2 = list(near)
+        near2[i % len(near2)] = "changed"
+        bodies.append(" ".join(near2))
+    bodies += ["mail me at a.b@ex.co.uk or x@y, 1.2.3.4 and 300.1.1.1, 4111 1111 1111 1111, +1 (555) 010-9999.", "john (at) example (dot) org, tel: (212) 555-0188; card: 4111-1111-1111-1112"]
+    rows = [(i if i != 3 else None, b, rng.choice(["en", "de", None]), rng.choice(["s1", "s2", "ß", None]) if i % 3 else "hot", len(b or ""), "g", 7, 8, 9, 1, 2, 3, 4) for i, b in enumerate(bodies)]
+    return rows + [rows[9], rows[9], rows[0]]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return make_rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def sf_rows(spark, sf):
+    return [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+
+
+# ---- helpers
+
+
+def test_prefix_sum(spark):
+    df = spark.range(1000).selectExpr("id", "id % 3 AS k", "id % 7 AS v")
+    got = prefix_sum(df, ["k"], ["id"], F.col("v"), "p", 5).collect()
+    for k in range(3):
+        own = sorted((r.p, r.v) for r in got if r.k == k)
+        at = 0
+        for p, v in own:
+            assert p == at
+            at += v
+
+
+def test_skew_join_keeps_all(spark):
+    left = spark.range(5000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 1 ELSE id END AS k")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("m"))
+    out = skew_join(left, right, ["k"], "n", 5000).collect()
+    assert len(out) == 5000 and all(r.n == (2501 if r.k == 1 else 1) for r in out)
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(400, x) for x in range(401, 480)]
+    root = list(range(500))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in set(itertools.chain.from_iterable((a, b) for a, b in edges if a != b))}
+
+
+# ---- 1 sharding
+
+
+def test_best_fit_tree():
+    rng = random.Random(3)
+    sizes = [rng.randrange(1, 400) for _ in range(600)]
+    free, naive = [], [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        fits = sorted((f, b) for b, f in enumerate(free) if f >= sizes[i])
+        if fits:
+            naive[i] = fits[0][1]
+        else:
+            naive[i] = len(free)
+            free.append(1000)
+        free[naive[i]] -= sizes[i]
+    assert sharding.best_fit_decreasing(sizes, 1000) == naive
+
+
+def test_sharding(docs, rows):
+    got = sharding.assign_shards(docs, 4).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    home = defaultdict(set)
+    for r in got:
+        home[r.text_crc32].add(r.shard)
+    assert all(len(x) == 1 for x in home.values())
+
+
+def test_sharding_is_even(spark, sf):
+    got = queries.op1_best_fit_sharding(spark, sf).groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    sizes = [r.s for r in got]
+    assert len(sizes) == 16 and max(sizes) - min(sizes) < 0.02 * sum(sizes) / 16
+
+
+# ---- 2 packing
+
+
+def reference_ids(texts):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    return [tok.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+
+
+def check_packing(got, rows):
+    ids = Counter()
+    want = defaultdict(list)
+    for d, x in zip([r[0] for r in rows], reference_ids([r[1] for r in rows])):
+        want[d].append(np.array(x, dtype="<u4"))
+    by_doc = defaultdict(list)
+    for r in got:
+        by_doc[r.doc_id].append(r)
+    assert set(by_doc) == set(want)
+    for d, pieces in by_doc.items():
+        copies = len(want[d])
+        w = want[d][0]
+        if any(len(x) != len(w) or (x != w).any() for x in want[d]):
+            continue
+        assert sum(p.length for p in pieces) == copies * len(w)
+        cover = Counter()
+        for p in pieces:
+            assert p.doc_tokens == len(w) and p.ids_crc32 == zlib.crc32(w[p.start : p.start + p.length].tobytes())
+            cover.update(range(p.start, p.start + p.length))
+        assert all(cover[i] == copies for i in range(len(w)))
+    seq = defaultdict(list)
+    for r in got:
+        seq[r.sequence_id].append((r.offset, r.length))
+    total = 0
+    for parts in seq.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert 0 < at <= 2048
+        total += at
+    return total / (2048 * len(seq)), ids
+
+
+def test_packing(docs, rows):
+    check_packing(packing.pack(docs).collect(), rows)
+
+
+def test_packing_padding(spark, sf, sf_rows):
+    fill, _ = check_packing(queries.op2_nnls_packing(spark, sf).collect(), sf_rows)
+    assert fill > 0.98
+
+
+def test_tokenizer_is_exact():
+    texts = ["It's İstanbul ΣΑΣ x <|endoftext|> don't 'RE 1234 ...!", "a\x1cb c d é \x85 f", "naïve café ß ÀÉ", "", " ", "_under_score^ª²µ×÷"]
+    tok = packing.WordTokenizer(packing.default_tokenizer(), 1000)
+    assert [x.tolist() for x in tok.encode(texts)] == [x[:-1] for x in reference_ids(texts)]
+
+
+def test_nnls():
+    rng = np.random.default_rng(0)
+    a = rng.random((30, 12))
+    b = a @ np.maximum(rng.normal(size=12), 0) + 0.01 * rng.normal(size=30)
+    x = packing.nnls(a, b)
+    grad = a.T @ (b - a @ x)
+    assert (x >= 0).all() and (grad < 1e-6).all() and (np.abs(grad[x > 1e-9]) < 1e-6).all()
+
+
+# ---- 3 sentence spans
+
+
+def brute_spans(rows, cfg=sentence_dedup.SpanConfig()):
+    seen, out = set(), []
+    split = re.compile(r"(?<=[.!?])(?=[ \t])|(?<=\n)")
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    for i in order:
+        parts = split.split(rows[i][1] or "")
+        words = [re.findall(r"[^\x20\x09-\x0D]+", p.lower()) for p in parts]
+        gone = set()
+        for a in range(len(parts)):
+            if not words[a]:
+                continue
+            n = used = 0
+            for b in range(a, len(parts)):
+                n, used = n + len(words[b]), used + bool(words[b])
+                if n >= cfg.min_words and used >= cfg.min_sentences:
+                    key = tuple(itertools.chain.from_iterable(words[a : b + 1]))
+                    if key in seen:
+                        gone.update(range(a, b + 1))
+                    seen.add(key)
+                    break
+        out.append((rows[i][0], len(parts), len(gone), "".join(p for k, p in enumerate(parts) if k not in gone)))
+    return Counter(out)
+
+
+def test_sentence_spans(docs, rows):
+    got = sentence_dedup.dedup_spans(docs).collect()
+    assert Counter((r.doc_id, r.n_sentences, r.n_removed, r.kept_text) for r in got) == brute_spans(rows)
+
+
+def test_sentence_spans_sf(spark, sf, sf_rows):
+    got = queries.op3_sentence_spans(spark, sf).collect()
+    assert Counter((r.doc_id, r.n_sentences, r.n_removed, r.kept_text) for r in got) == brute_spans(sf_rows)
+
+
+# ---- 4 exact dedup
+
+
+def check_exact(got, rows):
+    groups = defaultdict(list)
+    for d, t, *_ in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), d is None, d or 0, d))
+    want = Counter()
+    for norm, g in groups.items():
+        keep = min(g)[3]
+        for x in g:
+            want[(x[3], keep, len(g), hashlib.sha256(norm.encode()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+    assert sum(r.kept for r in got) == len(groups) and all(r.doc_id == r.keep_id for r in got if r.kept)
+
+
+def test_exact(docs, rows):
+    check_exact(exact_dedup.dedup_exact(docs).collect(), rows)
+
+
+def test_exact_sf(spark, sf, sf_rows):
+    check_exact(queries.op4_radix_dedup(spark, sf).collect(), sf_rows)
+
+
+# ---- 5 suffix arrays
+
+
+def brute_suffix(rows, length=50):
+    least = {}
+    for d, t, *_ in rows:
+        b = (t or "").encode()
+        d = d if d is not None else 1 << 62
+        for i in range(len(b) - length + 1):
+            w = b[i : i + length]
+            least[w] = min(d, least.get(w, d))
+    out = Counter()
+    for d, t, *_ in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 1, dtype=bool)
+        for i in range(len(b) - length + 1):
+            if least[b[i : i + length]] < (d if d is not None else 1 << 62):
+                gone[i : i + length] = True
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        spans = sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1]))
+        out[(d, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())] += 1
+    return out
+
+
+@pytest.mark.parametrize("config", [suffix_dedup.SuffixConfig(), suffix_dedup.SuffixConfig(chunk_bytes=9_000, partition_keys=400, batch_windows=150, longest_stretch=64)])
+def test_suffix(docs, rows, config):
+    got = suffix_dedup.remove_repeated(docs, config).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_suffix(rows)
+
+
+def test_suffix_sf(spark, sf, sf_rows):
+    got = queries.op5_suffix_family(spark, sf).collect()
+    assert Counter(tuple(r) for r in got) == brute_suffix(sf_rows)
+
+
+# ---- 6 FLAC
+
+
+def plain_decode(media):
+    """A bit-by-bit decoder of the same subset, for comparison."""
+    bits = "".join(f"{b:08b}" for b in media)
+    at = 4 * 8
+    last = False
+    while not last:
+        last, size = bits[at] == "1", int(bits[at + 8 : at + 32], 2)
+        at += 32 + 8 * size
+    out = []
+
+    def get(n):
+        nonlocal at
+        v = int(bits[at : at + n], 2) if n else 0
+        at += n
+        return v
+
+    signed = lambda v, n: v - (1 << n) if v >> (n - 1) else v
+    while at < len(bits):
+        assert get(32) == 0xFFF81402
+        lead = get(8)
+        for _ in range(0 if lead < 0x80 else 1 if lead < 0xE0 else 2 if lead < 0xF0 else 3):
+            get(8)
+        get(8)
+        kind = get(8) >> 1
+        if kind == 0:
+            x = [signed(get(8), 8)] * 192
+        elif kind == 1:
+            x = [signed(get(8), 8) for _ in range(192)]
+        else:
+            order = kind - 8 if kind < 32 else kind - 31
+            x = [signed(get(8), 8) for _ in range(order)]
+            coef, shift = {0: [], 1: [1], 2: [2, -1]}[order], 0
+            if kind >= 32:
+                prec = get(4) + 1
+                shift = get(5)
+                coef = [signed(get(prec), prec) for _ in range(order)]
+            assert get(6) == 0
+            k = get(4)
+            for _ in range(order, 192):
+                q = 0
+                while get(1) == 0:
+                    q += 1
+                u = q << k | get(k)
+                x.append(((u >> 1) ^ -(u & 1)) + (sum(c * x[-1 - j] for j, c in enumerate(coef)) >> shift))
+        at = -(-at // 8) * 8
+        get(16)
+        out += x
+    return bytes(v + 128 for v in out)
+
+
+@pytest.mark.parametrize("lpc", [False, True])
+def test_flac_round_trip(lpc):
+    rng = np.random.default_rng(2)
+    walk = np.clip(128 + np.cumsum(rng.integers(-3, 4, 192 * 40)), 0, 255).astype(np.uint8).tobytes()
+    for pcm in (b" " * 192, walk, rng.integers(0, 256, 192 * 9, dtype=np.uint8).tobytes(), b"The rain in Spain. " * 192, bytes(range(192)) * 3):
+        media = flac.encode(pcm, lpc)
+        assert plain_decode(media) == pcm and flac.decode_many([media, media]) == [pcm, pcm]
+
+
+def test_flac_large_and_damaged():
+    pcm = flac.payload(b"lorem ipsum dolor sit amet. " * 70_000)
+    media = flac.encode(pcm)
+    assert flac.decode_many([media])[0] == pcm
+    small = flac.encode(flac.payload(b"some words here"))
+    for i in range(len(small) - 20, len(small)):
+        with pytest.raises(flac.FlacError):
+            flac.decode_many([small[:i] + bytes([small[i] ^ 1]) + small[i + 1 :]])
+
+
+def test_flac_digest(docs, rows):
+    want = Counter()
+    for d, t, *_ in rows:
+        b = (t or "").encode()
+        p = b + b" " * (max(1, -(-len(b) // 192)) * 192 - len(b))
+        want[(d, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))] += 1
+    got = flac.digest(docs).collect()
+    assert Counter(tuple(r)[:5] for r in got) == want
+    blocks = flac.pcm_blocks(flac.store(docs)).collect()
+    for d, n in ((8, 8), (15, 15)):
+        pcm = b"".join(r.pcm for r in sorted((r for r in blocks if r.doc_id == d), key=lambda r: r.first_sample))
+        assert pcm == flac.payload(rows[n][1].encode())
+
+
+# ---- 7 languages
+
+
+def test_langid(spark, sf, sf_rows):
+    got = {r.doc_id: r for r in queries.op7_compression_langid(spark, sf).collect()}
+    held = [(d, lang) for d, t, lang, _ in sf_rows if got[d].held_out and lang and t and len(t) > 200]
+    assert all(got[d].held_out == (zlib.crc32(str(d).encode()) % 3 == 1) for d, *_ in sf_rows)
+    assert sum(got[d].lang_pred == lang for d, lang in held) >= 0.95 * len(held)
+
+
+def test_langid_edges(docs, rows):
+    model = [("de", b"der die das und ist nicht ein eine"), ("en", b"the and of to in is that it for")]
+    got = langid.classify(docs, model).collect()
+    assert len(got) == len(rows) and set(got[0].asDict()) == {*docs.columns, "lang_pred", "score", "rejected"}
+    assert all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", r.text or "")) and 0 <= r.score <= 1 for r in got)
+    assert langid.train(docs.filter("false"), F.lit(True)) == [] and {r.lang_pred for r in langid.classify(docs, []).collect()} == {"und"}
+
+
+# ---- 8 SimHash
+
+
+def brute_fp(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps, ids, radius):
+    n = len(fps)
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= radius:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    low = defaultdict(list)
+    for i in range(n):
+        low[find(i)].append(ids[i])
+    return [min((x for x in low[find(i)] if x is not None), default=None) for i in range(n)]
+
+
+def check_simhash(got, rows):
+    fps = [brute_fp(r[1]) for r in rows]
+    comp = brute_components(fps, [r[0] for r in rows], 2)
+    assert Counter(zip([r[0] for r in rows], [f"{f:016x}" for f in fps], comp)) == Counter((r.doc_id, r.fingerprint, r.component_id) for r in got)
+
+
+def test_simhash(docs, rows):
+    got = simhash.near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id").collect()
+    check_simhash(got, rows)
+
+
+def test_simhash_sf(spark, sf, sf_rows):
+    check_simhash(queries.op8_simhash(spark, sf).collect(), sf_rows)
+
+
+@pytest.mark.parametrize(("radius", "width", "limit"), [(2, 1, 100_000), (2, 1, 30), (3, 1, 40), (10, 2, 100_000), (5, 2, 50)])
+def test_links_lose_nothing(spark, radius, width, limit):
+    rng = random.Random(radius)
+    fps = {rng.getrandbits(64 * width) for _ in range(150)}
+    for centre in (rng.getrandbits(64 * width), 0):
+        for _ in range(120):
+            fps.add(centre ^ sum({1 << rng.randrange(64 * width) for _ in range(rng.randrange(radius + 2))}))
+    fps = sorted(fps)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    nodes = spark.createDataFrame([(i, *[signed(f >> (64 * (width - 1 - k)) & (2**64 - 1)) for k in range(width)]) for i, f in enumerate(fps)], "node long, " + ", ".join(f"w{k} long" for k in range(width)))
+    pairs = simhash.links(nodes, radius, width, limit).collect()
+    assert all(bin(fps[r.a] ^ fps[r.b]).count("1") <= radius for r in pairs)
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame([(r.a, r.b) for r in pairs], "a long, b long")).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == brute_components(fps, list(range(len(fps))), radius)
+
+
+# ---- 9 mixing
+
+
+def check_mix(got, rows, config=mixing.MixConfig()):
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows]
+    per = defaultdict(int)
+    for r, s in zip(rows, size):
+        per[r[3]] += s
+    names = sorted(per, key=lambda x: (x is None, x or ""))
+    target = dict(zip(names, mixing.water_fill([per[n] for n in names], [1.0 + i % 3 for i in range(len(names))], 3.0)))
+    assert abs(sum(target.values()) - sum(size)) < 1e-6 * max(1, sum(size)) and all(t <= 3 * per[n] + 1e-9 for n, t in target.items())
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((r[0], s) for r, s in zip(rows, size))
+    taken, longest = Counter(), Counter()
+    for r in got:
+        assert r.source_size == per[r.source] and abs(r.target - target[r.source]) < 1e-6
+        assert 0 <= r.copies <= 3 and len(r.shards) == r.copies and all(0 <= s < config.shards for s in r.shards)
+        taken[r.source] += r["size"] * r.copies
+        longest[r.source] = max(longest[r.source], r["size"])
+    for n in names:
+        assert abs(taken[n] - target[n]) <= max(0.02 * target[n], 0.5 * longest[n] + 1), (n, taken[n], target[n])
+
+
+def test_mix(docs, rows):
+    got = mixing.mix(docs).collect()
+    check_mix(got, rows)
+    again = mixing.mix(docs.repartition(5)).collect()
+    key = lambda r: (str(r.doc_id), r["size"], r.copies)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
+def test_mix_sf(spark, sf, sf_rows):
+    check_mix(mixing.mix(spark.read.parquet(f"{sf}/documents.parquet")).collect(), sf_rows)
+
+
+def test_split_tree():
+    draws = [500, 20, 0, 333]
+    got = mixing.split_tree(draws, 7, np.random.default_rng(1))
+    assert got.shape == (7, 4) and got.sum(axis=0).tolist() == draws and (got >= 0).all() and max(got.sum(axis=1)) - min(got.sum(axis=1)) <= 3
+
+
+# ---- 10 personal data
+
+
+def test_emails_equal_the_pattern():
+    rng = random.Random(4)
+    for _ in range(4000):
+        t = "".join(rng.choice("ab.@-+ _%1é") for _ in range(rng.randrange(25)))
+        assert pii.base_spans(t)["email"] == [m.span() for m in pii.BASE["email"].finditer(t)], t
+
+
+def check_pii(got, rows):
+    want = Counter()
+    for d, t, *_ in rows:
+        t = t or ""
+        spans = []
+        for kind in pii.KINDS:
+            for m in pii.BASE[kind].finditer(t):
+                n = sum(c in "0123456789" for c in m[0])
+                if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")) or kind == "card" and not (13 <= n <= 19 and pii.luhn("".join(c for c in m[0] if c in "0123456789"))) or kind == "phone" and not 9 <= n <= 15:
+                    continue
+                spans.append((kind, *m.span()))
+        line = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+        counts = tuple(sum(k == kind for k, *_ in spans) for kind in pii.KINDS)
+        want[(d, *counts, hashlib.sha256(line.encode()).hexdigest())] += 1
+    assert Counter(tuple(r)[:6] for r in got) == want
+
+
+def test_pii(docs, rows):
+    got = pii.digest(pii.find_spans(docs)).collect()
+    check_pii(got, rows)
+    assert any("email:0:27" in r.spans for r in got)
+
+
+def test_pii_sf(spark, sf, sf_rows):
+    check_pii(queries.op10_pii(spark, sf).collect(), sf_rows)
+
+
+def test_luhn():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+
+
+# ---- all of them
+
+
+def test_empty_tables(empty):
+    model = [("en", b"words")]
+    for out in (
+        sharding.assign_shards(empty, 4), packing.pack(empty), sentence_dedup.dedup_spans(empty), exact_dedup.dedup_exact(empty), suffix_dedup.remove_repeated(empty),
+        flac.digest(empty), langid.classify(empty, model), simhash.near_duplicates(empty), mixing.mix(empty), pii.digest(pii.find_spans(empty)),
+    ):
+        assert out.count() == 0
+
+
+
