@@ -1,0 +1 @@
+"""Column functions: text, hashing, markers, vectors."""

@@ -1,0 +1 @@
+"""Relational operators over questions, passages, answers and runs."""
