@@ -1,0 +1 @@
+"""Composed pipelines: providers, ingestion, question answering."""
