@@ -14,6 +14,7 @@ HOT_KEYS = 64
 #: Rows that one cell of a distributed prefix sum aims at.
 CELL_ROWS = 20_000
 _OWN: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -31,10 +32,20 @@ def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) ->
     """Write a table in the shared scratch folder and read it back, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/corvane/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, keep: tuple[str, ...] = ("stage-", "test-")) -> None:
+    """Delete the scratch tables written so far; only for callers whose earlier results are stored elsewhere."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in _WRITTEN if not p.rpartition("/")[2].startswith(keep)]:
+        _WRITTEN.remove(path)
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def cells_for(rows: int) -> int:
     return max(1, math.ceil(rows / CELL_ROWS))
 
