@@ -2,7 +2,8 @@
 
 Stages take (spark, docs, sf_dir) and return a DataFrame, which is written and
 read again as the next one's documents.  All but the last return the columns
-of documents.
+of documents.  As each stage's result is written before the next begins, a
+stage first deletes its predecessors' scratch tables.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import exact_dedup, langid, mixing, packing, simhash
-from corvane.llm.common import ROW, materialize, number_rows
+from corvane.llm.common import ROW, materialize, number_rows, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SimHash of a document's distinct words, 128 bits: the radius within which five-word shingles have a similarity of 0.8 or more.
@@ -22,12 +23,14 @@ NEAR = simhash.SimHashConfig(shingle=1, radius=10, words64=2, distinct=True)
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose language is rejected: no letters, or a narrow margin."""
+    release(spark)
     model = langid.train(docs, F.lit(True))
     return langid.classify(docs, model).filter("NOT rejected").select(*COLUMNS)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
+    release(spark)
     rows = number_rows(docs)
     kept = exact_dedup.dedup_exact(rows).filter("kept").select(F.col("rid").alias(ROW))
     return rows.join(kept, ROW, "left_semi").select(*COLUMNS)
@@ -35,6 +38,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each group of near duplicates."""
+    release(spark)
     rows = number_rows(docs)
     groups = simhash.near_duplicates(rows, NEAR)
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select(F.col("m.rid").alias(ROW))
@@ -43,6 +47,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and drops documents so that the sources come near their target weights."""
+    release(spark)
     rows = number_rows(docs)
     plan = mixing.mix(rows).filter("copies > 0").select(F.col("rid").alias(ROW), F.explode("shards").alias("shard"))
     return rows.join(plan, ROW).select(*COLUMNS)
@@ -50,6 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into sequences; one row per piece."""
+    release(spark)
     return packing.pack(docs, packing.PackConfig(tokenizer=packing.default_tokenizer()))
 
 
