@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize, row_id, skew_join, text_or_empty
+from corvane.llm.common import ROW, materialize, number_rows, skew_join, text_or_empty
 
 #: Sentences keep their trailing white space, so joined together they are the text.
 BOUNDARY = r"(?<=[.!?])(?=[\x20\x09])|(?<=\n)"
@@ -69,12 +69,18 @@ def _spans(config: SpanConfig):
 
 def dedup_spans(docs: DataFrame, config: SpanConfig = SpanConfig()) -> DataFrame:
     """doc_id, n_sentences, n_removed, removed (sentence numbers), kept_text for every row."""
-    rows = docs.select("doc_id", row_id(docs).alias("rid"), sentences(text_or_empty()).alias("parts"))
+    if ROW not in docs.columns:  # the texts are read again at the end: their numbers must not change
+        docs = number_rows(docs.select("doc_id", "text"))
+    rows = docs.select("doc_id", F.col(ROW).alias("rid"), sentences(text_or_empty()).alias("parts"))
     spans = rows.select("doc_id", "rid", F.explode(_spans(config)("parts")).alias("x")).select("doc_id", "rid", "x.h", "x.i", "x.j")
     spans = materialize(spans, "span-rows")
+    # the hash alone first: only spans that occur again travel with their places
+    counts = spans.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    total = spans.count()
+    shared = materialize(skew_join(spans, counts, ["h"], "copies", total).drop("copies"), "span-shared")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid", "i")
-    groups = spans.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    again = skew_join(spans, groups, ["h"], "copies", spans.count())
+    groups = shared.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
+    again = skew_join(shared, groups, ["h"], "copies", total)
     again = again.filter(~((F.col("rid") == F.col("first.rid")) & (F.col("i") == F.col("first.i"))))
     # a document's removed sentences: at most as many as it has
     gone = again.groupBy("rid").agg(F.collect_set(F.struct("i", "j")).alias("runs"))
