@@ -37,7 +37,7 @@ class PackConfig:
     window: int = 2048
     grain: int = 16
     end_id: int = 1
-    cache_words: int = 400_000  # per Python worker
+    cache_words: int = 250_000  # per Python worker
 
 
 def default_tokenizer() -> str:
@@ -55,15 +55,18 @@ class WordTokenizer:
     """The tokenizer's own ids, computed once per distinct word.
 
     White space separates words for this tokenizer, so a text's ids are those
-    of its words in order.  Words of letters whose normal form is their lower
-    case skip the normaliser; any other word goes through the whole tokenizer.
+    of its words in order.  Texts of letters whose normal form is their lower
+    case skip the normaliser, and a full stop or comma after a letter becomes a
+    word; any other text's words go through the whole tokenizer.  When the
+    memory is full, words met once since the last time are forgotten.
     """
 
-    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
+    PLAIN = re.compile(r"[\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ]*\Z")
+    STOP = re.compile(r"(?<=[a-zß-öø-ÿ])[.,](?=[\t\n\x0b\x0c\r ]|\Z)")
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
     SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
-    #: What str.split() takes for white space beside SPACE; such words go through the whole tokenizer.
-    ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    #: Marks a word that goes through the whole tokenizer.
+    WHOLE = "\x00"
 
     def __init__(self, path: str, cache_words: int) -> None:
         from tokenizers import Tokenizer
@@ -74,42 +77,58 @@ class WordTokenizer:
         spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
         self.bare = Tokenizer.from_str(json.dumps(spec))
         self.most = cache_words
-        self._reset()
-
-    def _reset(self) -> None:
         self.place: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
         self.starts = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
+        self.uses = np.zeros(0, dtype=np.int64)
+
+    def _forget(self) -> None:
+        """Keep the words met more than once."""
+        keep = np.flatnonzero(self.uses > 1)
+        if 2 * len(keep) > self.most:
+            keep = keep[np.argsort(-self.uses[keep], kind="stable")[: self.most // 2]]
+            keep.sort()
+        names = list(self.place)
+        lengths = (self.starts[1:] - self.starts[:-1])[keep]
+        ends = np.cumsum(lengths)
+        self.ids = self.ids[np.repeat(self.starts[keep] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self.starts = np.concatenate([[0], ends])
+        self.place = {names[i]: n for n, i in enumerate(keep.tolist())}
+        self.uses = np.ones(len(keep), dtype=np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if self.PLAIN.match(w) and not any(s in w for s in self.special)]
-        known = set(plain)
-        odd = [w for w in words if w not in known]
-        cut = {w: self.PIECE.findall(w.lower()) for w in plain}
-        new = list({p for ps in cut.values() for p in ps}.difference(self.pieces))
-        coded = [p.encode().decode("latin-1").translate(_BYTE) for p in new]
-        for p, e in zip(new, self.bare.encode_batch_fast(coded, add_special_tokens=False), strict=True):
-            self.pieces[p] = e.ids
-        whole = {w: e.ids for w, e in zip(odd, self.full.encode_batch_fast(odd, add_special_tokens=False), strict=True)}
-        ids = [whole[w] if w in whole else list(chain.from_iterable(map(self.pieces.__getitem__, cut[w]))) for w in words]
+        alone = [w for w in words if w.isalpha()]
+        cut = {w: self.PIECE.findall(w) for w in words if w[0] != self.WHOLE and not w.isalpha()}
+        odd = [w for w in words if w[0] == self.WHOLE]
+        parts = list({p for ps in cut.values() for p in ps})
+        code = lambda p: p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE)
+        ids = [e.ids for e in self.bare.encode_batch_fast(list(map(code, alone)), add_special_tokens=False)]
+        pieces = {p: e.ids for p, e in zip(parts, self.bare.encode_batch_fast(list(map(code, parts)), add_special_tokens=False), strict=True)}
+        ids += [list(chain.from_iterable(map(pieces.__getitem__, ps))) for ps in cut.values()]
+        ids += [e.ids for e in self.full.encode_batch_fast([w[1:] for w in odd], add_special_tokens=False)]
+        words = [*alone, *cut, *odd]
         first = len(self.starts) - 1
         self.place.update(zip(words, range(first, first + len(words)), strict=True))
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum()))])
-        if len(self.pieces) > self.most:
-            self.pieces = {}
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), dtype=np.int64)])
+
+    def _words(self, text: str) -> list[str]:
+        if self.PLAIN.match(text) and not any(s in text for s in self.special):
+            return self.STOP.sub(r" \g<0>", text.lower()).split()
+        return [self.WHOLE + w for w in self.SPACE.split(text) if w]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.place) > self.most:
-            self._reset()
-        words = [[w for w in self.SPACE.split(t) if w] if self.ODD.search(t) else t.split() for t in texts]
-        new = list({w for ws in words for w in ws}.difference(self.place))
+            self._forget()
+        words = [self._words(t) for t in texts]
+        new = set().union(*words).difference(self.place)
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(counts.sum()))
+        self.uses += np.bincount(at, minlength=len(self.uses))
         lengths = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(lengths)
         flat = np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
