@@ -1,9 +1,11 @@
 """Substring deduplication over sliding sentence spans.
 
 A text is cut after sentence ends and line ends.  From every sentence starts
-one span: the shortest run of consecutive sentences with at least
-``min_sentences`` sentences and ``min_words`` words.  Spans are hashed over
-their words (lower case, single spaces), joined over the whole corpus, and all
+one span, and at every sentence ends one: the shortest run of consecutive
+sentences with at least ``min_sentences`` sentences and ``min_words`` words.
+A longer run is covered by the spans inside it, to its last sentence, so where
+it repeats with the same cuts all of it is found.  Spans are hashed over their
+words (lower case, single spaces), joined over the whole corpus, and all
 sentences covered by any span that is not the first of its hash are removed.
 The first is the one with the least (doc_id, row, sentence).
 
@@ -39,6 +41,21 @@ def sentences(text):
     return F.split(text, BOUNDARY)
 
 
+def shortest_runs(counts: list[int], config: SpanConfig) -> Iterator[tuple[int, int]]:
+    """(first, last) of the shortest run from every sentence with words, where there is one."""
+    end, total, used = 0, 0, 0
+    for i in range(len(counts)):
+        if end < i:
+            end, total, used = i, 0, 0
+        while end < len(counts) and (total < config.min_words or used < config.min_sentences):
+            total, used, end = total + counts[end], used + (counts[end] > 0), end + 1
+        if total < config.min_words or used < config.min_sentences:
+            return
+        if counts[i]:
+            yield i, end - 1
+        total, used = total - counts[i], used - (counts[i] > 0)
+
+
 def _spans(config: SpanConfig):
     """Per document, (hash, first sentence, last sentence) of each span, as arrays in one pass over the text."""
     word = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,18 +67,9 @@ def _spans(config: SpanConfig):
                 words = [word.findall(p.lower()) for p in parts]
                 counts = [len(w) for w in words]
                 joined = [" ".join(w) for w in words]
-                end, total, used, found = 0, 0, 0, []
-                for i in range(len(parts)):
-                    if end < i:
-                        end, total, used = i, 0, 0
-                    while end < len(parts) and (total < config.min_words or used < config.min_sentences):
-                        total, used, end = total + counts[end], used + (counts[end] > 0), end + 1
-                    if total < config.min_words or used < config.min_sentences:
-                        break
-                    if counts[i]:
-                        found.append({"h": xxhash.xxh64_intdigest(" ".join(filter(None, joined[i:end]))) - (1 << 63), "i": i, "j": end - 1})
-                    total, used = total - counts[i], used - (counts[i] > 0)
-                out.append(found)
+                runs = set(shortest_runs(counts, config))
+                runs |= {(len(parts) - 1 - j, len(parts) - 1 - i) for i, j in shortest_runs(counts[::-1], config)}
+                out.append([{"h": xxhash.xxh64_intdigest(" ".join(filter(None, joined[i : j + 1]))) - (1 << 63), "i": i, "j": j} for i, j in sorted(runs)])
             yield pd.Series(out)
 
     return F.pandas_udf(run, "array<struct<h:long,i:int,j:int>>")
