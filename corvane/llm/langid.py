@@ -6,19 +6,27 @@ spaces.  A text is cut into segments, every segment is compressed with every
 dictionary, and the language with the least total size wins; the whole text is
 always used.  A narrow margin over the second language rejects.
 
+Sizes are whole bytes, which tie on short texts.  Where a text under
+``short_bytes`` has a narrow margin, the languages are compared again by a
+fractional code length: the bits of its characters under a context model of
+each dictionary, and it is rejected only where that margin is narrow too.
+
 Training reads at most ``sample_docs`` labelled texts of each language, those
 with the least hashes, and the first ``sample_chars`` of each; these bounds
 are the only sampling.
 
 Defined results: text without a letter or null gives ``und`` with score 0 and
-is rejected; ties go to the smaller language name; with no training rows every
+is rejected; ties go to the smaller language name; a short text of a narrow
+margin with no letter that any dictionary has is rejected; with no training rows every
 text is ``und``; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -37,6 +45,7 @@ class LangConfig:
     short_bytes: int = 600  # texts under this are compressed harder, which finds three-byte matches
     short_level: int = 19
     min_margin: float = 0.005  # of the second language's size
+    context: int = 3  # characters before one, in the context model for short texts
 
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -57,34 +66,79 @@ def train(docs: DataFrame, train_if: Column, config: LangConfig = LangConfig())
     return [(lang, letters("\n".join(t for _, t in sorted(found[lang])))) for lang in sorted(found)]
 
 
+class ContextModel:
+    """Counts of a dictionary's character runs, and the bits of a text under them."""
+
+    def __init__(self, data: bytes, context: int):
+        text = data.decode(errors="ignore")
+        self.runs = [Counter(zip(*[text[k:] for k in range(n)], strict=False)) for n in range(1, context + 2)]
+        self.seen: list[dict[tuple[str, ...], tuple[int, int]]] = []  # of each context: occurrences, different characters after it
+        for runs in self.runs:
+            total, kinds = Counter(), Counter()
+            for run, n in runs.items():
+                total[run[:-1]] += n
+                kinds[run[:-1]] += 1
+            self.seen.append({c: (n, kinds[c]) for c, n in total.items()})
+        self.letters = {run[0] for run in self.runs[0]}
+
+    def bits(self, text: str) -> float:
+        out = 0.0
+        for i in range(len(text)):
+            p = 1 / 256
+            for n, (runs, seen) in enumerate(zip(self.runs, self.seen, strict=True)):  # from no context to the longest
+                if i < n or (found := seen.get(tuple(text[i - n : i]))) is None:
+                    break
+                total, kinds = found
+                p = (runs.get(tuple(text[i - n : i + 1]), 0) + kinds * p) / (total + kinds)
+            out -= math.log2(p)
+        return out
+
+
+def guesser(model: list[tuple[str, bytes]], config: LangConfig = LangConfig()) -> Callable[[str | None], tuple[str, float, bool]]:
+    """A function from a text to (lang_pred, score, rejected)."""
+    import zstandard
+
+    def coder(data: bytes, level: int) -> zstandard.ZstdCompressor:
+        table = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        table.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=table, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    long_coders = [coder(data, config.level) for _, data in model]
+    short_coders = [coder(data, config.short_level) for _, data in model]
+    frame = 6  # bytes of frame and block headers, the same for all languages
+    contexts: list[ContextModel] = []
+
+    def lead(sizes: list[float]) -> tuple[int, float]:
+        best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
+        second = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
+        return best, (second - sizes[best]) / max(1, second)
+
+    def guess(text: str | None) -> tuple[str, float, bool]:
+        if text is None or not model or not (data := letters(text)).strip():
+            return UNKNOWN, 0.0, True
+        coders = short_coders if len(data) < config.short_bytes else long_coders
+        parts = [data[i : i + config.segment_bytes] for i in range(0, len(data), config.segment_bytes)]
+        best, margin = lead([sum(max(1, len(c.compress(p)) - frame) for p in parts) for c in coders])
+        if margin < config.min_margin and len(data) < config.short_bytes:
+            if not contexts:
+                contexts.extend(ContextModel(d, config.context) for _, d in model)
+            # framed by spaces, so that the ends of words count; letters no dictionary has say nothing
+            known = set().union(*[c.letters for c in contexts])
+            line = f" {''.join(ch for ch in data.decode() if ch in known).strip()} "
+            if line.strip():
+                best, margin = lead([c.bits(line) for c in contexts])
+        return model[best][0], min(1.0, margin), margin < config.min_margin
+
+    return guess
+
+
 def classify(docs: DataFrame, model: list[tuple[str, bytes]], config: LangConfig = LangConfig()) -> DataFrame:
     """All columns of ``docs`` and lang_pred, score, rejected."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import zstandard
-
-        def coder(data: bytes, level: int) -> zstandard.ZstdCompressor:
-            table = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            table.precompute_compress(level=level)
-            return zstandard.ZstdCompressor(level=level, dict_data=table, write_content_size=False, write_checksum=False, write_dict_id=False)
-
-        long_coders = [coder(data, config.level) for _, data in model]
-        short_coders = [coder(data, config.short_level) for _, data in model]
-        frame = 6  # bytes of frame and block headers, the same for all languages
+        guess_one = guesser(model, config)
         for texts in batches:
-            out = []
-            for text in texts:
-                if text is None or not model or not (data := letters(text)).strip():
-                    out.append((UNKNOWN, 0.0, True))
-                    continue
-                coders = short_coders if len(data) < config.short_bytes else long_coders
-                parts = [data[i : i + config.segment_bytes] for i in range(0, len(data), config.segment_bytes)]
-                sizes = [sum(max(1, len(c.compress(p)) - frame) for p in parts) for c in coders]
-                best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
-                second = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
-                margin = (second - sizes[best]) / max(1, second)
-                out.append((model[best][0], min(1.0, margin), margin < config.min_margin))
-            yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
+            yield pd.DataFrame([guess_one(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
     guess = F.pandas_udf(run, "lang_pred string, score double, rejected boolean")
     names = docs.columns
