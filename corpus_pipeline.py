@@ -37,11 +37,11 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group of near duplicates."""
+    """Keeps the document with the least doc_id of each group of near duplicates; doc_ids may be null or repeat."""
     release(spark)
     rows = number_rows(docs)
     groups = simhash.near_duplicates(rows, NEAR)
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select(F.col("m.rid").alias(ROW))
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select(F.col("m.rid").alias(ROW))
     return rows.join(first, ROW, "left_semi").select(*COLUMNS)
 
 

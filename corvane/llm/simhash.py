@@ -368,7 +368,10 @@ def links(nodes: DataFrame, radius: int, width: int, limit: int = RUN_LIMIT) ->
 
 
 def near_duplicates(docs: DataFrame, config: SimHashConfig = SimHashConfig()) -> DataFrame:
-    """rid, doc_id, w0.., component_id (least doc_id of the component) for every row."""
+    """rid, doc_id, w0.., component_id (least doc_id of the component), root (least rid of it) for every row.
+
+    ``root`` tells components apart where doc_ids are null or repeated.
+    """
     words = [f"w{i}" for i in range(config.words64)]
     rows = materialize(fingerprints(docs, config), "simhash-rows")
     total = rows.count()
@@ -377,5 +380,5 @@ def near_duplicates(docs: DataFrame, config: SimHashConfig = SimHashConfig()) ->
     tree = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tree = materialize(tree.select(*words, "least", "copies", "root"), "simhash-roots")
     names = tree.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    named = skew_join(tree, names, ["root"], "n", max(1, total)).select(*words, "copies", "component_id")
-    return skew_join(rows, named, words, "copies", total).select("rid", "doc_id", *words, "component_id")
+    named = skew_join(tree, names, ["root"], "n", max(1, total)).select(*words, "copies", "component_id", "root")
+    return skew_join(rows, named, words, "copies", total).select("rid", "doc_id", *words, "component_id", "root")
