@@ -6,6 +6,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,44 +27,120 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content", file_type(F.col("content")).alias("type"))
 
 
-def _cell(cell: ElementTree.Element) -> str:
-    return " ".join("".join(t.text or "" for t in cell.iter(f"{_W}t")).split()).replace("|", "\\|")
+# ---- DOCX: paragraphs, a grid for every table, style names
 
+#: fixed values: what the elements of a run stand for, beside their text
+_MARKS = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n", f"{_W}noBreakHyphen": "-"}
 
-def table_markdown(table: ElementTree.Element) -> str:
-    """Rows of cells as a markdown table; merged cells once and then empty, empty rows dropped, rows padded."""
-    rows: list[list[str]] = []
-    for row in table.findall(f"{_W}tr"):
-        cells: list[str] = []
+
+def run_text(node: ElementTree.Element) -> str:
+    """The text of a paragraph or cell, tabs and line breaks included; a cell's paragraphs are lines."""
+    out = []
+    for x in node.iter():
+        if x.tag == f"{_W}t":
+            out.append(x.text or "")
+        elif x.tag == f"{_W}p" and out:
+            out.append("\n")
+        else:
+            out.append(_MARKS.get(x.tag, ""))
+    return "".join(out)
+
+
+def _value(node: ElementTree.Element, path: str, default: str) -> str | None:
+    """The ``val`` of the element at the path: the default where it has none, None where there is no such element."""
+    found = node.find("/".join(_W + x for x in path.split("/")))
+    return None if found is None else found.get(f"{_W}val", default)
+
+
+def table_grid(table: ElementTree.Element) -> dict[tuple[int, int], str]:
+    """(row, column) to text for every cell that begins there: cells merged down or across have theirs once."""
+    grid = {}
+    for r, row in enumerate(table.findall(f"{_W}tr")):
+        column = int(_value(row, "trPr/gridBefore", "0") or 0)
         for cell in row.findall(f"{_W}tc"):
-            span = cell.find(f"{_W}tcPr/{_W}gridSpan")
-            merge = cell.find(f"{_W}tcPr/{_W}vMerge")
-            below = merge is not None and merge.get(f"{_W}val") != "restart"
-            cells.append("" if below else _cell(cell))
-            cells += [""] * (int(span.get(f"{_W}val", "1")) - 1 if span is not None else 0)
-        if any(cells):
-            rows.append(cells)
-    if not rows:
+            if _value(cell, "tcPr/vMerge", "continue") != "continue":
+                grid[r, column] = " ".join(run_text(cell).split()).replace("|", "\\|")
+            else:
+                grid[r, column] = ""
+            column += int(_value(cell, "tcPr/gridSpan", "1") or 1)
+        grid[r, column - 1] = grid.get((r, column - 1), "")
+    return grid
+
+
+def grid_markdown(grid: dict[tuple[int, int], str]) -> str:
+    """A markdown table of the grid's rows that have text, the first of them its head."""
+    used = sorted({r for (r, _), text in grid.items() if text})
+    if not used:
         return ""
-    width = max(map(len, rows))
-    lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
-    return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]])
+    columns = range(1 + max(c for r, c in grid if r in set(used)))
+    line = lambda cells: f"| {' | '.join(cells)} |"
+    head, *body = [line([grid.get((r, c), "") for c in columns]) for r in used]
+    return "\n".join([head, line(["---"] * len(columns)), *body])
+
+
+def heading_styles(archive: zipfile.ZipFile) -> set[str]:
+    """Ids of the paragraph styles called Title or Heading ...; ids differ between languages of the program, names do not."""
+    try:
+        styles = ElementTree.fromstring(archive.read("word/styles.xml"))
+    except KeyError:
+        styles = ElementTree.Element("none")
+    named = {x.get(f"{_W}styleId", ""): (_value(x, "name", "") or "").lower() for x in styles.iter(f"{_W}style")}
+    return {i for i, name in named.items() if is_heading(name)}
+
+
+def is_heading(style: str) -> bool:
+    return style.lower() == "title" or style.lower().startswith("heading")
 
 
 def docx_text(content: bytes) -> str:
     """The body in document order: headings as ## lines, tables as markdown, blocks joined by blank lines."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{_W}body")
-    blocks = []
-    for node in body if body is not None else []:
-        if node.tag == f"{_W}tbl":
-            blocks.append(table_markdown(node))
-        elif node.tag == f"{_W}p":
-            text = "".join(t.text or "" for t in node.iter(f"{_W}t")).strip()
-            style = node.find(f"{_W}pPr/{_W}pStyle")
-            name = (style.get(f"{_W}val") or "").lower() if style is not None else ""
-            blocks.append(f"## {text}" if text and (name == "title" or name.startswith("heading")) else text)
-    return "\n\n".join(b for b in blocks if b)
+        headings = heading_styles(archive)
+        root = ElementTree.fromstring(archive.read("word/document.xml"))
+    parts = {f"{_W}tbl": lambda x: grid_markdown(table_grid(x)), f"{_W}p": lambda x: _paragraph(x, headings)}
+    return "\n\n".join(filter(None, (parts[x.tag](x) for body in root.iter(f"{_W}body") for x in body if x.tag in parts)))
+
+
+def _paragraph(node: ElementTree.Element, headings: set[str]) -> str:
+    text, style = run_text(node).strip(), _value(node, "pPr/pStyle", "") or ""
+    return f"## {text}" if text and (style in headings or is_heading(style)) else text
+
+
+def docx_images(content: bytes) -> list[tuple[int, str, bytes]]:
+    """(number, name, bytes) of the pictures in the order of their first use in the body."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        names = set(archive.namelist())
+        links = ElementTree.fromstring(archive.read("word/_rels/document.xml.rels")) if "word/_rels/document.xml.rels" in names else ()
+        target = {x.get("Id"): "word/" + (x.get("Target") or "").removeprefix("/word/") for x in links}
+        uses = [v for x in ElementTree.fromstring(archive.read("word/document.xml")).iter() for k, v in x.attrib.items() if k.endswith("}embed")]
+        found = [target[u] for u in dict.fromkeys(uses) if target.get(u) in names]
+        return [(i, name, archive.read(name)) for i, name in enumerate(found)]
+
+
+def image_size(content: bytes) -> tuple[int, int] | None:
+    """Width and height of a PNG or JPEG from its header."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n":
+        return int.from_bytes(content[16:20], "big"), int.from_bytes(content[20:24], "big")
+    at = 2
+    while content[:2] == b"\xff\xd8" and at + 9 < len(content):
+        kind, size = content[at + 1], int.from_bytes(content[at + 2 : at + 4], "big")
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(content[at + 7 : at + 9], "big"), int.from_bytes(content[at + 5 : at + 7], "big")
+        at += 2 + size
+    return None
+
+
+def build_docx(sections: list[tuple[str | None, str]]) -> bytes:
+    """A small DOCX file of (heading, text) sections, for trials."""
+    space = _W.strip("{}")
+    word = lambda text, style="": f"<w:p>{style}<w:r><w:t xml:space='preserve'>{escape(text)}</w:t></w:r></w:p>"
+    heading = "<w:pPr><w:pStyle w:val='Heading1'/></w:pPr>"
+    body = "".join((word(h, heading) if h else "") + "".join(word(line) for line in text.split("\n")) for h, text in sections)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("word/document.xml", f"<w:document xmlns:w='{space}'><w:body>{body}</w:body></w:document>")
+        archive.writestr("word/styles.xml", f"<w:styles xmlns:w='{space}'><w:style w:styleId='Heading1'><w:name w:val='heading 1'/></w:style></w:styles>")
+    return out.getvalue()
 
 
 def extract_docx(files: DataFrame) -> DataFrame:
