@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: ASCII punctuation, a group of citation markers, a number
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 MARKER_GROUP = r"\[\s*(\d+(?:\s*[,;]\s*\d+)*)\s*\]"
 NUMBER = r"\d+(?:[.,]\d+)*"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body names it: projections may be merged, lambdas are not."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokenize(text: Column) -> Column:
     """Lower case, ASCII punctuation deleted, split on white space."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), PUNCTUATION, ""), r"\s+"), lambda x: x != "")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corvane.functions.text import MARKER_GROUP, markers, tidy
 from corvane.operators.guardrails import has_marker, is_substantive
 
+# fixed values: a group of markers, and a marker that repeats itself
 _GROUP = re.compile(MARKER_GROUP)
 _REPEAT = re.compile(r"(\[\d+\])(?:\s*\1)+")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import MARKER_GROUP, PUNCTUATION, collapse, sanitize, strip_markers, words
+from corvane.functions.text import MARKER_GROUP, PUNCTUATION, collapse, let, sanitize, strip_markers, words
 
 MAX_CHARS = 2_000
 # fixed values: patterns of attempts to override instructions
@@ -34,6 +34,12 @@ LEAKS = (
     "write one coherent answer to the original question",
 )
 LEAK_TAG = r"(?i)</?\s*(context(_\d+)?|question|original_question|sub_question_\d+)\s*>"
+# fixed values: when an answer is too short, repeats a sentence or a word, or has few different words
+LEAST_CHARS = 10
+FRAGMENTS = 3
+WORD_RUN = 8
+MANY_WORDS = 50
+LEAST_SHARE = 0.2
 # fixed values: honest non-answers
 NON_ANSWERS = ("the provided documents do not contain enough information to answer this question.", "the retrieved context doesn't support an answer to this question.")
 
@@ -60,59 +66,56 @@ def is_non_answer(answer: Column) -> Column:
     return F.lower(strip_markers(answer)).startswith(NON_ANSWERS[0].rstrip("."))
 
 
-def top_fragment(text: Column) -> Column:
-    """(count of the most repeated sentence, number of sentences)."""
+def repeats_a_fragment(text: Column) -> Column:
+    """Whether one sentence occurs at least FRAGMENTS times and is more than half of all: then it is the middle one of them in order."""
     parts = F.array_sort(F.filter(F.transform(F.split(text, r"[.!?\n]+"), lambda x: F.lower(collapse(x))), lambda x: x != ""))
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+    same = lambda p: let(F.get(p, F.floor(F.size(p) / 2).cast("int")), lambda middle: F.size(F.filter(p, lambda x: x == middle)))
+    return let(parts, lambda p: let(same(p), lambda n: (n >= FRAGMENTS) & (n * 2 > F.size(p))))
 
-    def step(acc: Column, x: Column) -> Column:
-        run = F.when(x == acc["last"], acc["run"] + 1).otherwise(1)
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    return F.struct(F.aggregate(parts, start, step)["best"].alias("best"), F.size(parts).alias("total"))
+def repeats_a_word(text: Column, times: int = WORD_RUN) -> Column:
+    """Whether a word stands ``times`` times in a row."""
+    return F.lower(text).rlike(rf"(?:^|\s)(\S+)(?:\s+\1){{{times - 1}}}(?:\s|$)")
 
 
-def longest_word_run(text: Column) -> Column:
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+def output_verdicts(answers: DataFrame, answer: str = "answer", out: str = "verdict") -> DataFrame:
+    """``answers`` with 'ok', 'non_answer' (both pass) or the reason for which the answer fails; tests in order.
 
-    def step(acc: Column, x: Column) -> Column:
-        run = F.when(x == acc["last"], acc["run"] + 1).otherwise(1)
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
-
-    return F.aggregate(words(F.lower(text)), start, step)["best"]
-
-
-def output_verdict(answer: Column) -> Column:
-    """'ok', 'non_answer' (both pass) or the reason for which the answer fails; tests in order."""
-    answer = F.coalesce(answer, F.lit(""))
-    bare = strip_markers(answer)
-    plain = F.lower(collapse(answer))
-    leak = answer.rlike(LEAK_TAG)
+    What several tests look at is computed once, in columns of its own.
+    """
+    text, bare, words_ = F.col("__text"), F.col("__bare"), F.col("__words")
+    rows = answers.withColumn("__text", F.coalesce(F.col(answer), F.lit("")))
+    rows = rows.withColumn("__bare", strip_markers(text)).withColumn("__plain", F.lower(collapse(text)))
+    rows = rows.withColumn("__words", words(F.lower(bare))).withColumn("__tail", F.regexp_replace(text, r"\s+$", ""))
+    plain, tail = F.col("__plain"), F.col("__tail")
+    leak = text.rlike(LEAK_TAG)
     for p in LEAKS:
         leak = leak | plain.contains(p)
-    part = top_fragment(bare)
-    repeated = (part["best"] >= 3) & (part["best"] * 2 > part["total"])
-    w = words(F.lower(bare))
-    few = (F.size(w) >= 50) & (F.size(F.array_distinct(w)) / F.size(w) < 0.2)
-    tail = F.regexp_replace(answer, r"\s+$", "")
-    return (
-        F.when(collapse(answer) == "", "empty")
+    few = let(words_, lambda w: (F.size(w) >= MANY_WORDS) & (F.size(F.array_distinct(w)) / F.size(w) < LEAST_SHARE))
+    verdict = (
+        F.when(plain == "", "empty")
         .when(bare == "", "markers_only")
         .when(F.lower(bare).isin(*NON_ANSWERS), "non_answer")
-        .when(F.length(bare) < 10, "short")
+        .when(F.length(bare) < LEAST_CHARS, "short")
         .when(leak, "leak")
-        .when(repeated, "repeated_fragment")
-        .when(longest_word_run(bare) >= 8, "repeated_word")
+        .when(repeats_a_fragment(bare), "repeated_fragment")
+        .when(repeats_a_word(bare), "repeated_word")
         .when(few, "few_words")
         .when(tail.rlike(r"[,;(\[{]$") | tail.rlike(r"\[[^\]]*$"), "truncated")
         .otherwise("ok")
     )
+    return rows.withColumn(out, verdict).drop("__text", "__bare", "__plain", "__words", "__tail")
 
 
 def has_marker(text: Column) -> Column:
     return text.rlike(MARKER_GROUP)
 
 
+# fixed values: a heading line in an answer, and the words from which a paragraph makes a claim
+ANSWER_HEADING = r"^\s*(#{1,6}\s|\*\*[^*]+\*\*:?\s*$)"
+CLAIM_WORDS = 8
+
+
 def is_substantive(paragraph: Column) -> Column:
-    heading = paragraph.rlike(r"^\s*(#{1,6}\s|\*\*[^*]+\*\*:?\s*$)")
-    return ~heading & ~is_non_answer(paragraph) & (F.size(words(F.regexp_replace(paragraph, MARKER_GROUP, ""))) >= 8)
+    enough = F.size(words(F.regexp_replace(paragraph, MARKER_GROUP, ""))) >= CLAIM_WORDS
+    return ~paragraph.rlike(ANSWER_HEADING) & ~is_non_answer(paragraph) & enough

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import bm25, cache, chunking, citations, context, dense, fusion, guardrails, ledger, runs, state, store, sufficiency, vision, web
+from corvane.sources.tables import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -62,11 +63,11 @@ def _strip(t: str) -> str:
 
 
 _BM25 = f"""
-toks AS (SELECT doc_id, len(tk) AS dl, tk FROM (SELECT doc_id, {_tok("text")} AS tk FROM documents)),
-post AS (SELECT doc_id, dl, token, count(*) AS tf FROM (SELECT doc_id, dl, unnest(tk) AS token FROM toks) GROUP BY ALL),
+toks AS MATERIALIZED (SELECT doc_id, len(tk) AS dl, tk FROM (SELECT doc_id, {_tok("text")} AS tk FROM documents)),
+post AS MATERIALIZED (SELECT doc_id, dl, token, count(*) AS tf FROM (SELECT doc_id, dl, unnest(tk) AS token FROM toks) GROUP BY ALL),
 st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM toks),
-raw AS (SELECT token, count(*) AS df, ln(any_value(n_docs) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, st GROUP BY token),
-idf AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+raw AS MATERIALIZED (SELECT token, count(*) AS df, ln(any_value(n_docs) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, st GROUP BY token),
+idf AS MATERIALIZED (SELECT token, df, CASE WHEN r.raw < 0 THEN 0.25 * m.mean ELSE r.raw END AS idf FROM raw r, (SELECT avg(raw) AS mean FROM raw) m),
 asked AS (SELECT item_id, token, count(*) AS times FROM (SELECT item_id, unnest({_tok("text")}) AS token FROM benchmark) GROUP BY ALL),
 sc AS (SELECT item_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 5) AS score
        FROM post JOIN idf USING (token) JOIN asked USING (token), st GROUP BY ALL),
@@ -89,8 +90,13 @@ ordered AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, c
 # ---- shared inputs
 
 
+def _index(spark: SparkSession, sf: str) -> bm25.Index:
+    """The keyword index of the documents, written by the first query of an application that needs it."""
+    return kept(table(spark, sf, "documents"), "bm25", bm25.build)
+
+
 def _keyword_hits(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
-    return bm25.top_k(bm25.scores(table(spark, sf, "documents"), table(spark, sf, "benchmark")), k)
+    return bm25.top_k(bm25.scores(_index(spark, sf), table(spark, sf, "benchmark")), k)
 
 
 def _question_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,8 +126,7 @@ def q_tokenize_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_BM25} SELECT token, df, round(idf, 6) AS idf FROM idf")
 def q_bm25_df_idf(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    return bm25.term_weights(bm25.postings(docs), bm25.statistics(docs)).select("token", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, sf).terms.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, score, rank FROM kw")
@@ -132,7 +137,7 @@ def q_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_BM25} SELECT item_id, lang, doc_id, score, row_number() OVER (PARTITION BY item_id, lang ORDER BY score DESC, doc_id) AS rank FROM sc JOIN documents USING (doc_id) QUALIFY rank <= 5")
 def q_bm25_scoped(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    scored = bm25.scores(docs, table(spark, sf, "benchmark")).join(docs.select("doc_id", "lang"), "doc_id")
+    scored = bm25.scores(_index(spark, sf), table(spark, sf, "benchmark")).join(docs.select("doc_id", "lang"), "doc_id")
     best = Window.partitionBy("item_id", "lang").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(best)).filter("rank <= 5").select("item_id", "lang", "doc_id", "score", "rank")
 
@@ -151,11 +156,7 @@ def q_dense_topk(spark: SparkSession, sf: str) -> DataFrame:
 def q_dense_scoped(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("wanted"))
-    found = None
-    for row in vectors.select("label").distinct().orderBy("label").toLocalIterator():  # the scope filter comes before the search
-        own = dense.cosine_top_k(vectors.filter(F.col("label").eqNullSafe(row["label"])), asked.filter(F.col("wanted").eqNullSafe(row["label"])), 10).withColumn("label", F.lit(row["label"]))
-        found = own if found is None else found.unionByName(own)
-    return found
+    return dense.cosine_top_k(vectors, asked.withColumnRenamed("wanted", "label"), 10, scope="label").join(asked.select("query_id", F.col("wanted").alias("label")), "query_id")
 
 
 @query(f"""
@@ -178,11 +179,7 @@ parts AS (SELECT dense_weight, item_id AS qid, doc_id AS chunk_id, (1 - dense_we
 f AS (SELECT dense_weight::DOUBLE AS dense_weight, qid, chunk_id, round(sum(part), 9)::DOUBLE AS fused FROM parts GROUP BY ALL HAVING round(sum(part), 9) > 0)
 SELECT *, row_number() OVER (PARTITION BY dense_weight, qid ORDER BY fused DESC, chunk_id) AS position FROM f QUALIFY position <= 10""")
 def q_rrf_weight_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    hits, out = _hits(spark, sf), None
-    for w in (0.0, 0.25, 0.5, 0.75, 1.0):
-        one = fusion.fuse(hits, w).filter("position <= 10").select(F.lit(w).alias("dense_weight"), "qid", "chunk_id", "fused", "position")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return fusion.sweep(_hits(spark, sf), (0.0, 0.25, 0.5, 0.75, 1.0)).filter("position <= 10").select("dense_weight", "qid", "chunk_id", "fused", "position")
 
 
 @query(f"WITH {_BM25}, {_DENSE}, {_fused('0.5')} SELECT o.qid, o.chunk_id, o.position, p.retriever, p.rank, p.score FROM ordered o JOIN parts p USING (qid, chunk_id)")
@@ -467,7 +464,7 @@ SELECT doc_id, CASE WHEN {_collapse("t")} = '' THEN 'empty' WHEN bare = '' THEN
  WHEN len(w) >= 50 AND len(list_distinct(w)) / len(w) < 0.2 THEN 'few_words' WHEN regexp_matches(regexp_replace(t, '\s+$', ''), '[,;(\[{{]$') OR regexp_matches(regexp_replace(t, '\s+$', ''), '\[[^\]]*$') THEN 'truncated' ELSE 'ok' END AS verdict
 FROM a LEFT JOIN f USING (doc_id) JOIN w USING (doc_id) LEFT JOIN r USING (doc_id)""")
 def q_output_guardrail(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", guardrails.output_verdict(F.col("text")).alias("verdict"))
+    return guardrails.output_verdicts(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "verdict")
 
 
 # ---- cache

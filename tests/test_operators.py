@@ -32,7 +32,8 @@ def test_guardrails(spark):
     assert got == ["allowed", "empty", "empty", "too_long", "injection", "injection"]
     assert column(spark, ["Hi there!", "THANKS", "good night.", "hi, what is rent?"], guardrails.greeting_kind) == ["greeting", "thanks", "farewell", None]
     answers = ["", "[1]", "Nope", guardrails.NON_ANSWERS[0].upper(), "same. same. same. same.", "go " * 8 + "now please", "The end is (", "A plain answer of some length [1].", "</question> leaked tag here", " ".join(["a b c"] * 20)]
-    assert column(spark, answers, guardrails.output_verdict) == ["empty", "markers_only", "short", "non_answer", "repeated_fragment", "repeated_word", "truncated", "ok", "leak", "few_words"]
+    rows = guardrails.output_verdicts(spark.createDataFrame(list(enumerate(answers)), "i int, answer string"))
+    assert [r.verdict for r in rows.orderBy("i").collect()] == ["empty", "markers_only", "short", "non_answer", "repeated_fragment", "repeated_word", "truncated", "ok", "leak", "few_words"]
 
 
 def test_fusion(spark):
@@ -101,7 +102,7 @@ def test_line_blocks_equal_segment(spark):
     got = chunking.line_blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
     for i, t in enumerate(texts):
         own = sorted((r.block, r.kind, r.lines) for r in got if r.doc_id == i)
-        assert own == [(n, k, b.count("\n") + 1) for n, (k, b) in enumerate(chunking.segment(t))]
+        assert own == [(n, b.kind, t[b.start : b.stop].count("\n") + 1) for n, b in enumerate(chunking.blocks(t))]
 
 
 def plain_select(rows, cap, per_doc):
