@@ -2,52 +2,80 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Keys that hold at least 1/HOT_KEYS of the left rows are joined by broadcast: there are at most HOT_KEYS of them.
-HOT_KEYS = 64
-#: Rows that one cell of a distributed prefix sum aims at.
+#: Left rows of one key that one task of a skew-safe join gets: this many, or total/HOT_KEYS where that is less or total/MOST_HOT where that is more.
+TASK_ROWS = 100_000
+HOT_KEYS = 1_024
+MOST_HOT = 1 << 18
+#: Rows that one cell of a distributed prefix sum aims at, and how many cells there are of few rows.
 CELL_ROWS = 20_000
+CELLS = 1_024
 _OWN: dict[str, str] = {}
-_WRITTEN: list[str] = []
+_RUN: contextvars.ContextVar[str] = contextvars.ContextVar("corvane_run", default="")
+_LAST: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one where that is unset and all tasks run in this machine's JVM."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="corvane-")
     return _OWN[app]
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+@contextlib.contextmanager
+def scratch_run(spark: SparkSession, owner: str) -> Iterator[str]:
+    """A folder of its own for the scratch tables written inside; the folder of the owner's previous run is deleted first.
+
+    For callers whose previous result is stored elsewhere by then.  Tables of
+    other owners and of no owner stay as they are.
+    """
+    if owner in _LAST:
+        system, at = _path(spark, _LAST.pop(owner))
+        system.delete(at, True)
+    name = f"{owner}-{uuid.uuid4().hex}"
+    _LAST[owner] = f"{scratch_root(spark)}/corvane/{name}"
+    token = _RUN.set(name)
+    try:
+        yield _LAST[owner]
+    finally:
+        _RUN.reset(token)
+
+
 def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write a table in the shared scratch folder and read it back, which cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/corvane/{tag}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    """Write a table in the shared scratch folder and read it back, which cuts the lineage and survives lost executors.
+
+    It is deleted with its run, or when the driver ends.
+    """
+    spark, run = df.sparkSession, _RUN.get() or "loose"
+    path = f"{scratch_root(spark)}/corvane/{run}/{tag}-{uuid.uuid4().hex}"
+    system, at = _path(spark, path)
+    system.deleteOnExit(at)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: tuple[str, ...] = ("stage-", "test-")) -> None:
-    """Delete the scratch tables written so far; only for callers whose earlier results are stored elsewhere."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in [p for p in _WRITTEN if not p.rpartition("/")[2].startswith(keep)]:
-        _WRITTEN.remove(path)
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-
-
 def cells_for(rows: int) -> int:
-    return max(1, math.ceil(rows / CELL_ROWS))
+    return max(1, math.ceil(rows / CELL_ROWS), min(CELLS, rows // 64))
 
 
 def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, cells: int) -> DataFrame:
@@ -72,27 +100,37 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
     return joined.withColumn(out, F.col(base) + F.coalesce(F.sum(val).over(inside), F.lit(0))).drop(cell, val, base)
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, how: str = "inner") -> DataFrame:
+def hot_limit(total: int) -> int:
+    """Left rows of one key beyond which its rows are dealt to several tasks; no more than MOST_HOT keys can have so many."""
+    return max(64, min(TASK_ROWS, total // HOT_KEYS), total // MOST_HOT)
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, by: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys``, which are unique and non-null on the right; ``rows`` there counts the left rows of each key.
 
-    Keys with at least total/HOT_KEYS rows, of which there can be no more than
-    HOT_KEYS, are broadcast; the others meet by a shuffle in which no key is
-    large.  ``how``: inner or left.
+    A key of more than ``hot_limit`` rows is split: its left rows go to as many
+    tasks as it needs, by a hash of ``by`` (columns that tell a key's rows
+    apart), and its one right row to each of them.  Which keys, and into how
+    many parts, is a broadcast of two longs for each of at most MOST_HOT keys.
+    ``how``: inner or left.
     """
-    limit = max(1000, total // HOT_KEYS)
+    limit = hot_limit(total)
+    single = len(keys) == 1 and dict(right.dtypes)[keys[0]] == "bigint"
+    tag = F.col(keys[0]) if single else F.xxhash64(*keys)
+    hot = right.filter(F.col(rows) > limit).select(tag.alias("__tag"), F.ceil(F.col(rows) / limit).cast("int").alias("__parts"))
+    if not single:  # two keys may share a hash: both are split alike
+        hot = hot.groupBy("__tag").agg(F.max("__parts").alias("__parts"))
     extra = [c for c in right.columns if c not in keys]
-    hot = right.filter(F.col(rows) >= limit).select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.struct(*extra).alias("__hot"))
-    cold = right.filter(F.col(rows) < limit).select(*[F.col(k).alias(f"__c_{k}") for k in keys], F.struct(*extra).alias("__cold"))
-    on_hot = on_cold = F.lit(True)
+    one = right.select(tag.alias("__rtag"), *[F.col(k).alias(f"__r_{k}") for k in keys], F.struct(*extra).alias("__right"))
+    one = one.join(F.broadcast(hot), F.col("__rtag") == F.col("__tag"), "left")
+    one = one.withColumn("__rpart", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__tag", "__rtag", "__parts")
+    many = left.withColumn("__ltag", tag).join(F.broadcast(hot), F.col("__ltag") == F.col("__tag"), "left")
+    many = many.withColumn("__part", F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.lit(17), *by), F.col("__parts")).cast("int")))
+    on = F.col("__part") == F.col("__rpart")
     for k in keys:
-        on_hot = on_hot & (F.col(k) == F.col(f"__h_{k}"))
-        on_cold = on_cold & (F.col(k) == F.col(f"__c_{k}"))
-    with_hot = left.join(F.broadcast(hot), on_hot, "left").drop(*[f"__h_{k}" for k in keys])
-    spread = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
-    both = with_hot.withColumn("__salt", spread).join(cold.withColumn("__salt0", F.lit(0).cast("long")), on_cold & (F.col("__salt") == F.col("__salt0")), "left")
-    if how == "inner":
-        both = both.filter(F.col("__hot").isNotNull() | F.col("__cold").isNotNull())
-    return both.select(*left.columns, *[F.coalesce(F.col(f"__hot.{c}"), F.col(f"__cold.{c}")).alias(c) for c in extra])
+        on = on & (F.col(k) == F.col(f"__r_{k}"))
+    both = many.join(one, on, how)
+    return both.select(*left.columns, *[F.col(f"__right.{c}").alias(c) for c in extra])
 
 
 def text_or_empty(name: str = "text") -> Column:

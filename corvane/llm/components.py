@@ -23,9 +23,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = (total, mark)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = skew_join(both, least, ["u"], "n", 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = skew_join(both, least, ["u"], "n", 2 * total, ["v"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = skew_join(large, low, ["u"], "n", 2 * total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = skew_join(large, low, ["u"], "n", 2 * total, ["v"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "cc-edges")
     # at the fixed point every node hangs on its root
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -85,10 +85,10 @@ def dedup_spans(docs: DataFrame, config: SpanConfig = SpanConfig()) -> DataFrame
     # the hash alone first: only spans that occur again travel with their places
     counts = spans.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     total = spans.count()
-    shared = materialize(skew_join(spans, counts, ["h"], "copies", total).drop("copies"), "span-shared")
+    shared = materialize(skew_join(spans, counts, ["h"], "copies", total, ["rid", "i", "j"]).drop("copies"), "span-shared")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid", "i")
     groups = shared.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
-    again = skew_join(shared, groups, ["h"], "copies", total)
+    again = skew_join(shared, groups, ["h"], "copies", total, ["rid", "i", "j"])
     again = again.filter(~((F.col("rid") == F.col("first.rid")) & (F.col("i") == F.col("first.i"))))
     # a document's removed sentences: at most as many as it has
     gone = again.groupBy("rid").agg(F.collect_set(F.struct("i", "j")).alias("runs"))

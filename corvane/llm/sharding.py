@@ -7,24 +7,28 @@ of shards the least capacity that needs no more bins is found by bisection,
 which makes sizes near equal.
 
 Groups below a unit of total/(shards * UNITS) bytes are first packed, by the
-same rule and inside bounded hash buckets, into bundles of one unit, so the
-final packing on the driver handles a number of items bounded by the two
-parameters, whatever the input.
-
-Defined results: a null text is the empty text; an empty table gives no rows;
-repeated rows are separate rows of one group; other columns are ignored.
+same rule and inside hash buckets of about BUCKET_GROUPS groups, into bundles
+of one unit.  A bucket leaves at most one bundle that is half full or less;
+those bundles are packed again, in buckets of as many, until one at most is
+left.  So no more than 4 * shards * UNITS + 1 bundles come to the driver,
+however many rows or groups there are, and their plan is broadcast.
+
+Defined results: a null text is the empty text; texts of any length are one
+group each with their copies; groups of equal size are ordered by their
+digest; repeated rows are separate rows of one group; an empty table gives no
+rows; columns other than doc_id, text and the row number ``common.ROW`` are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cells_for, materialize, prefix_sum, skew_join, text_or_empty
+from corvane.llm.common import cells_for, materialize, prefix_sum, row_id, skew_join, text_or_empty
 
 #: Bundles per shard, at least, once the groups are small.
 UNITS = 128
@@ -171,15 +175,40 @@ def balanced_shards(sizes: list[int], shards: int) -> list[int]:
     return out
 
 
-def _bundle(unit: int):
-    def pack(key: tuple, groups: pd.DataFrame) -> pd.DataFrame:
-        groups = groups.sort_values("grp", kind="stable")
-        bins = best_fit_decreasing([int(x) for x in groups["gsize"]], unit)
-        return pd.DataFrame({"grp": groups["grp"].to_numpy(), "bundle": [f"{key[0]}/{b}" for b in bins]})
+def _bundle(unit: int, level: int):
+    def pack(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
+        items = items.sort_values("item", kind="stable")
+        bins = best_fit_decreasing([int(x) for x in items["size"]], unit)
+        return pd.DataFrame({"item": items["item"].to_numpy(), "bundle": [f"{level}/{key[0]}/{b}" for b in bins]})
 
     return pack
 
 
+def _pack_buckets(items: DataFrame, count: int, unit: int, level: int) -> DataFrame:
+    """(item, bundle) for items (item, size): best fit decreasing inside hash buckets."""
+    buckets = max(1, math.ceil(count / BUCKET_GROUPS))
+    dealt = items.select("item", "size", F.pmod(F.xxhash64("item"), F.lit(buckets)).alias("bucket"))
+    return dealt.groupBy("bucket").applyInPandas(_bundle(unit, level), "item string, bundle string")
+
+
+def bundle_groups(groups: DataFrame, unit: int) -> DataFrame:
+    """``groups`` (grp, gsize, ...) with their bundle; of all bundles at most one is half a unit or less."""
+    items = groups.select(F.hex("grp").alias("item"), F.col("gsize").alias("size"))
+    small = items.filter(F.col("size") < unit)
+    large = items.filter(F.col("size") >= unit).select("item", F.concat(F.lit("L"), F.col("item")).alias("bundle"))
+    placed = groups.withColumn("item", F.hex("grp")).join(large.unionByName(_pack_buckets(small, small.count(), unit, 0)), "item").drop("item")
+    placed, level = materialize(placed, "shard-bundles"), 0
+    while True:
+        loose = placed.groupBy(F.col("bundle").alias("item")).agg(F.sum("gsize").alias("size")).filter(F.col("size") * 2 <= unit)
+        left = loose.count()
+        if left <= 1:
+            return placed
+        level += 1
+        again = _pack_buckets(loose, left, unit, level).withColumnRenamed("bundle", "outer")
+        placed = placed.join(again, F.col("bundle") == F.col("item"), "left").withColumn("bundle", F.coalesce("outer", "bundle")).drop("item", "outer")
+        placed = materialize(placed, "shard-bundles")
+
+
 def assign_shards(docs: DataFrame, shards: int, units: int = UNITS) -> DataFrame:
     """Put all rows into ``shards`` shards; rows with equal text stay together.
 
@@ -189,26 +218,16 @@ def assign_shards(docs: DataFrame, shards: int, units: int = UNITS) -> DataFrame
     spark = docs.sparkSession
     body = text_or_empty()
     rows = materialize(
-        docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.unhex(F.sha2(body, 256)).alias("grp")),
+        docs.select(row_id(docs).alias("rid"), "doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.unhex(F.sha2(body, 256)).alias("grp")),
         "shard-rows",
     )
     groups = materialize(rows.groupBy("grp").agg(F.sum("size").alias("gsize"), F.count(F.lit(1)).alias("grows")), "shard-groups")
-    total, n_groups, n_rows = groups.agg(F.coalesce(F.sum("gsize"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("grows"), F.lit(0))).first()
-    unit = max(1, total // (shards * units))
-    # at most shards * units groups reach the unit
-    large = groups.filter(F.col("gsize") >= unit).select("grp", F.concat(F.lit("L"), F.hex("grp")).alias("bundle"))
-    buckets = max(1, math.ceil(n_groups / BUCKET_GROUPS))
-    small = (
-        groups.filter(F.col("gsize") < unit)
-        .withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(buckets)))
-        .groupBy("bucket")
-        .applyInPandas(_bundle(unit), "grp binary, bundle string")
-    )
-    placed = materialize(groups.join(large.unionByName(small), "grp"), "shard-bundles")
-    # each bucket leaves at most one bin under half full: no more than 2 * shards * units + buckets bundles come here
-    items = sorted((r["bundle"], int(r["s"])) for r in placed.groupBy("bundle").agg(F.sum("gsize").alias("s")).toLocalIterator())
+    total, n_rows = groups.agg(F.coalesce(F.sum("gsize"), F.lit(0)), F.coalesce(F.sum("grows"), F.lit(0))).first()
+    placed = bundle_groups(groups, max(1, total // (shards * units)))
+    items = sorted((r["bundle"], int(r["s"])) for r in placed.groupBy("bundle").agg(F.sum("gsize").alias("s")).toLocalIterator())  # 4 * shards * units + 1 at most
+    assert len(items) <= 4 * shards * units + 1, "the bundles are bounded by their unit"
     shard_of = balanced_shards([s for _, s in items], shards) if items else []
     plan = spark.createDataFrame([(b, k) for (b, _), k in zip(items, shard_of, strict=True)], "bundle string, shard int")
     by_group = placed.join(F.broadcast(plan), "bundle").select("grp", "grows", "shard")
-    out = materialize(skew_join(rows, by_group, ["grp"], "grows", n_rows).select("doc_id", "size", "text_crc32", "shard"), "shard-placed")
-    return prefix_sum(out, ["shard"], ["doc_id", "text_crc32", "size"], F.lit(1), "slot", cells_for(max(1, n_rows // shards)))
+    out = materialize(skew_join(rows, by_group, ["grp"], "grows", n_rows, ["rid"]).select("rid", "doc_id", "size", "text_crc32", "shard"), "shard-placed")
+    return prefix_sum(out, ["shard"], ["rid"], F.lit(1), "slot", cells_for(max(1, n_rows // shards))).drop("rid")

@@ -12,14 +12,17 @@ lost.
 A part with t = 0 is probed by its value, t = 1 by the value and the values
 with one set bit cleared, t = 2 by all values at distance one.  Rows meet by a
 shuffle on (part, value) and are verified in sorted order by vectorised
-comparison; a long run is joined through pivots, so it yields fewer links than
-members, and a run beyond RUN_LIMIT is split by a further pigeonhole over the
-bits its part has not used.
+comparison; a run of over SHORT_RUN rows is joined through a pivot, so it
+yields fewer links than members.  Values are counted first: the rows of a value
+beyond RUN_LIMIT never meet in one task, but are dealt again by a further
+pigeonhole over the bits their part has not used, until no run is longer.
 
 Defined results: null or wordless text has fingerprint zero, linked like any
-other; equal fingerprints are one node; repeated rows are separate documents;
-a null doc_id takes part but is never the component's id unless all are null;
-an empty table gives no rows.
+other; a text of any length is read whole; equal fingerprints are one node;
+repeated rows are separate documents; a null doc_id takes part but is never the
+component's id unless all are null; an empty table gives no rows; columns other
+than doc_id, text and the row number ``common.ROW`` are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -34,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize, row_id, skew_join, text_or_empty
+from corvane.llm.common import MOST_HOT, materialize, row_id, skew_join, text_or_empty
 from corvane.llm.components import connected_components
 
 SEED = 42
 SAMPLE = 32_768
-RUN_LIMIT = 100_000
+RUN_LIMIT = 50_000
 SHORT_RUN = 24
 BLOCK = 1 << 21  # comparisons held at once
 
@@ -232,11 +235,11 @@ def _run_links(words: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def _verify(radius: int, width: int, limit: int):
-    """Sorted rows (part, key, node, w..., used...) to links, or to the rows of runs beyond the limit."""
+def _verify(radius: int, width: int):
+    """Sorted rows (part, key, node, w...) to links; holds the run it is in and no more than a few batches besides."""
     cols = [f"w{i}" for i in range(width)]
 
-    def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def flush(rows: pa.Table) -> pa.RecordBatch:
         part = rows["part"].to_numpy()
         key = rows["key"].to_numpy()
         node = rows["node"].to_numpy()
@@ -254,43 +257,35 @@ def _verify(radius: int, width: int, limit: int):
             ok = i[_popcount(words[i] ^ words[i + d]) <= radius]
             a.append(node[ok])
             b.append(node[ok + d])
-        hot = []
         for s, e in zip(starts[length > SHORT_RUN].tolist(), ends[length > SHORT_RUN].tolist(), strict=True):
-            if e - s > limit:
-                hot.append(np.arange(s, e))
-                continue
             pairs = np.array(_run_links(words[s:e], radius), dtype=np.int64).reshape(-1, 2)
             a.append(node[s + pairs[:, 0]])
             b.append(node[s + pairs[:, 1]])
         left, right = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
         keep = left != right
         pairs = np.unique(np.stack([np.minimum(left, right)[keep], np.maximum(left, right)[keep]], axis=1), axis=0)
-        n = len(pairs)
-        at = np.concatenate(hot) if hot else np.zeros(0, dtype=np.int64)
-        again = rows.take(at)
-        out = [pa.array(np.concatenate([np.zeros(n, dtype=np.int32), np.full(len(at), 1, dtype=np.int32)]))]
-        out += [pa.array(np.concatenate([x, again[c].to_numpy().astype(np.int64)])) for x, c in ((pairs[:, 0], "node"), (pairs[:, 1], "key"))]
-        out += [pa.array(np.concatenate([np.zeros(n, dtype=np.int64), again[c].to_numpy()])) for c in (*cols, *[f"u{i}" for i in range(width)])]
-        yield pa.RecordBatch.from_arrays(out, names=["hot", "a", "b", *cols, *[f"u{i}" for i in range(width)]])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        whole: list[pa.RecordBatch] = []  # runs that have ended
+        tail: list[pa.RecordBatch] = []  # the run that may go on
+        at = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            if held.num_rows < 50_000:
-                continue
-            # the last run may go on in the next batch
-            key, part = held["key"].to_numpy(), held["part"].to_numpy()
+            part, key = batch.column("part").to_numpy(), batch.column("key").to_numpy()
             other = np.flatnonzero((key != key[-1]) | (part != part[-1]))
-            whole = int(other[-1]) + 1 if len(other) else 0
-            if whole:
-                yield from flush(held.slice(0, whole).combine_chunks())
-                held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield from flush(held.combine_chunks())
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut or at != (part[0], key[0]):
+                whole += [*tail, batch.slice(0, cut)]
+                tail = []
+            tail.append(batch.slice(cut))
+            at = (part[-1], key[-1])
+            if sum(b.num_rows for b in whole) >= 50_000:
+                yield flush(pa.Table.from_batches(whole).combine_chunks())
+                whole = []
+        if whole or tail:
+            yield flush(pa.Table.from_batches([*whole, *tail]).combine_chunks())
 
     return run
 
@@ -327,14 +322,14 @@ def _refine(radius: int, width: int):
                 words = own[[f"w{i}" for i in range(width)]].to_numpy(np.int64).view(np.uint64)
                 for g in range(radius + 1):
                     bits = tuple(free[g :: radius + 1])
-                    key = own["b"].to_numpy(np.int64).view(np.uint64)
+                    key = own["key"].to_numpy(np.int64).view(np.uint64)
                     for b in bits:
                         bit = (words[:, b // 64] >> np.uint64(63 - b % 64)) & np.uint64(1)
                         key = (key ^ bit) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b + 1)
                     used = mask.copy()
                     for b in bits:
                         used[b // 64] |= np.uint64(1 << (63 - b % 64))
-                    out = {"part": np.full(len(own), g, dtype=np.int32), "key": key.view(np.int64), "node": own["a"].to_numpy()}
+                    out = {"part": np.full(len(own), g, dtype=np.int32), "key": key.view(np.int64), "node": own["node"].to_numpy()}
                     out |= {f"w{i}": own[f"w{i}"].to_numpy() for i in range(width)} | {f"u{i}": np.full(len(own), used[i]).view(np.int64) for i in range(width)}
                     yield pd.DataFrame(out)
 
@@ -351,20 +346,24 @@ def links(nodes: DataFrame, radius: int, width: int, limit: int = RUN_LIMIT) ->
     bits = _bits(sample.to_numpy(np.int64).view(np.uint64))
     layout = plan_index(bits, total, radius)
     row = "part int, key long, node long, " + ", ".join(f"{w} long" for w in [*words, *[f"u{i}" for i in range(width)]])
-    out_row = "hot int, a long, b long, " + ", ".join(f"{w} long" for w in [*words, *[f"u{i}" for i in range(width)]])
     probes = nodes.select("node", *words).mapInArrow(_emit(layout, width), row)
+    most = total * sum((0, 1, 1 + len(p), 1 + len(p))[t + 1] for p, t in zip(layout.parts, layout.thresholds, strict=True))
+    free = F.lit(64 * width) - sum((F.bit_count(F.col(f"u{i}")) for i in range(width)), F.lit(0))
     found = None
-    for level in range(64 * width):
-        last = level >= 8  # by then a part has no unused bits worth splitting
-        meet = probes.repartition("part", "key").sortWithinPartitions("part", "key")
-        verified = materialize(meet.mapInArrow(_verify(radius, width, 1 << 62 if last else limit), out_row), "simhash-links", ("hot",))
-        new = verified.filter("hot = 0").select("a", "b")
+    while True:
+        # at most MOST_HOT values are long; a value with no more free bits than the radius has few rows, as nodes differ
+        counts = probes.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), F.max(free).alias("free"))
+        long = materialize(counts.filter((F.col("n") > max(limit, most // MOST_HOT)) & (F.col("free") > radius)).select("part", "key"), "simhash-long")
+        any_long = not long.isEmpty()
+        short = probes.join(F.broadcast(long), ["part", "key"], "left_anti") if any_long else probes
+        meet = short.select("part", "key", "node", *words).repartition("part", "key").sortWithinPartitions("part", "key")
+        new = materialize(meet.mapInArrow(_verify(radius, width), "a long, b long"), "simhash-links")
         found = new if found is None else found.unionByName(new)
-        hot = verified.filter("hot = 1")
-        if hot.isEmpty():
+        if not any_long:
             return found
-        probes = hot.drop("hot").mapInPandas(_refine(radius, width), row)
-    return found
+        again = materialize(probes.join(F.broadcast(long), ["part", "key"], "left_semi"), "simhash-again")
+        most = (radius + 1) * again.count()
+        probes = again.mapInPandas(_refine(radius, width), row)
 
 
 def near_duplicates(docs: DataFrame, config: SimHashConfig = SimHashConfig()) -> DataFrame:
@@ -380,5 +379,5 @@ def near_duplicates(docs: DataFrame, config: SimHashConfig = SimHashConfig()) ->
     tree = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tree = materialize(tree.select(*words, "least", "copies", "root"), "simhash-roots")
     names = tree.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    named = skew_join(tree, names, ["root"], "n", max(1, total)).select(*words, "copies", "component_id", "root")
-    return skew_join(rows, named, words, "copies", total).select("rid", "doc_id", *words, "component_id", "root")
+    named = skew_join(tree, names, ["root"], "n", total, words).select(*words, "copies", "component_id", "root")
+    return skew_join(rows, named, words, "copies", total, ["rid"]).select("rid", "doc_id", *words, "component_id", "root")

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline as P
 import pytest
-from test_operators import brute_components, check_packing
+from test_llm_operators import brute_components, check_packing
 
 from corvane.llm import mixing, simhash
 from corvane.llm.common import materialize

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from test_operators import docs, rows, sf_rows  # noqa: F401
+from test_llm_operators import docs, rows, sf_rows  # noqa: F401
 
 from corvane.llm import sentence_dedup
 
