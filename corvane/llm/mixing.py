@@ -6,16 +6,22 @@ pass.  The quotas, counted in block draws, are split among the output shards
 by a binary tree: at each node the left half's draws of every source follow a
 multivariate hypergeometric distribution, so the shards' counts are those of a
 perfect shuffle and add up exactly.  A shard takes disjoint ranges of each
-source's permuted blocks and orders their documents by a seeded hash.
+source's permuted blocks and orders their documents by a seeded hash
+(``order_key``; ``shuffled`` lays the rows out so).
 
-The part of a pass takes permuted blocks while they fit; from the block at the
-boundary and the ``edge_blocks`` after it, documents are taken in a seeded
-order while they fit, so the taken words come within a document of the target.
+The part of a pass takes permuted blocks while they fit, then documents of the
+block at the boundary, in a seeded order, while they fit (a prefix sum), and
+last the one document of the source, among those not taken, whose size comes
+nearest to what is still open.  Equal rows are counted before they are ranked,
+so a document that repeats without end is one entry of these sums.
 
 Defined results: sources are ranked by code point with null last; a null text
-has no words; a source without words has target 0; a document of no words is
-taken once per whole pass; equal rows are separate documents; an empty table
-gives no rows.  The result depends on the rows and the seed alone.
+has no words, and a text of any length counts whole; a source without words
+has target 0; a document of no words is taken once per whole pass; equal rows
+are separate documents, any of which may be taken; an empty table gives no
+rows; input columns other than doc_id, text, source and the row number
+``common.ROW`` are ignored, whatever their names.  What is taken depends on
+the rows and the seed alone.  More than ``most_sources`` sources are an error.
 """
 
 from __future__ import annotations
@@ -24,10 +30,10 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize, row_id, text_or_empty
+from corvane.llm.common import cells_for, materialize, prefix_sum, row_id, skew_join, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,7 +45,7 @@ class MixConfig:
     most_repeats: float = 3.0
     block_words: int = 16_384
     most_blocks: int = 1 << 24  # the blocks grow beyond block_words rather than exceed this number
-    edge_blocks: int = 15
+    most_sources: int = 100_000  # one row of each is broadcast; a mixture of more is refused
     seed: int = 20_240_601
 
 
@@ -71,19 +77,44 @@ def split_tree(draws: list[int], shards: int, rng: np.random.Generator) -> np.nd
     return np.vstack([split_tree([int(x) for x in left], left_shards, rng), split_tree([int(x) for x in right], shards - left_shards, rng)])
 
 
+def _boundary(rows: DataFrame, cells: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """What the further pass takes beside whole blocks: (classes of equal rows taken whole, classes taken in part).
+
+    ``rows`` have k, h, size, extra (1 in the block at the boundary, 0 beyond) and room, the words open there.
+    A source has at most two classes taken in part.
+    """
+    ticket = F.xxhash64(F.lit(seed), F.lit("edge"), "h")
+    classes = rows.filter("extra = 1 AND size > 0").groupBy("k", "h", "size", "room").agg(F.count(F.lit(1)).alias("n")).withColumn("ticket", ticket)
+    classes = materialize(classes, "mix-edge")
+    edge = prefix_sum(classes, ["k"], ["ticket", "h", "size"], F.col("n") * F.col("size"), "at", cells)
+    fit = F.floor((F.col("room") - F.col("at")) / F.col("size"))
+    edge = materialize(edge.withColumn("m", F.greatest(F.lit(0), F.least("n", fit))), "mix-edge")
+    still = rows.filter("extra = 1").groupBy("k").agg(F.max("room").alias("room"))  # one row a source, as every broadcast here
+    spent = edge.groupBy("k").agg(F.sum(F.col("m") * F.col("size")).alias("spent"))
+    still = still.join(F.broadcast(spent), "k", "left").select("k", (F.col("room") - F.coalesce("spent", F.lit(0))).alias("open"))
+    others = rows.filter("extra = 0 AND size > 0").select("k", "h", "size").unionByName(edge.filter("m < n").select("k", "h", "size"))
+    others = others.join(F.broadcast(still), "k").withColumn("gap", F.abs(F.col("size") - F.col("open"))).filter("gap < open")
+    fill = others.groupBy("k").agg(F.min(F.struct("gap", ticket.alias("t"), "h", "size")).alias("x")).select("k", "x.h", "x.size", F.lit(1).cast("long").alias("take"))
+    part = edge.filter("m > 0 AND m < n").select("k", "h", "size", F.col("m").alias("take")).unionByName(fill)
+    return edge.filter("m = n").select("k", "h", "size", "n"), part.groupBy("k", "h", "size").agg(F.sum("take").alias("take"))
+
+
 def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """All columns of ``docs`` replaced by: rid, doc_id, source, size, source_size, target, copies, shards (one per copy), order_key.
 
     ``rid`` numbers the rows, as ``common.number_rows`` does.
     """
-    spark = docs.sparkSession
+    spark, seed = docs.sparkSession, config.seed
     rows = docs.select(
         row_id(docs).alias("rid"), "doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(F.lit(config.seed), "doc_id", text_or_empty()).alias("h"),
+        F.xxhash64(F.lit(seed), "doc_id", text_or_empty()).alias("h"),
     )
     rows = materialize(rows, "mix-rows")
-    sums = [(r["source"], int(r["s"])) for r in rows.groupBy("source").agg(F.sum("size").alias("s")).toLocalIterator()]
-    sums.sort(key=lambda x: (x[0] is None, x[0] or ""))
+    per_name = rows.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
+    n_sources, n_rows = per_name.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if n_sources > config.most_sources or n_sources * config.shards > 1 << 24:
+        raise ValueError(f"{n_sources} sources are more than a plan on the driver takes")
+    sums = sorted(((r["source"], int(r["s"])) for r in per_name.toLocalIterator()), key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [s for _, s in sums]
     targets = water_fill(sizes, [config.weights[i % len(config.weights)] for i in range(len(sums))], config.most_repeats)
     block_words = max(config.block_words, math.ceil(sum(sizes) / config.most_blocks))
@@ -94,51 +125,50 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
         [(i, src, s, t, b, w, p) for i, ((src, s), t, b, w, p) in enumerate(zip(sums, targets, n_blocks, whole, part, strict=True))],
         "k int, src string, source_size long, target double, n_blocks int, whole int, part long",
     )
-    # one row per source: small by the number of sources, which the session's broadcast limit checks
-    rows = rows.join(per_source, F.col("source").eqNullSafe(F.col("src"))).drop("src")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("h"), F.col("n_blocks")))
-    blocks = rows.groupBy("k", "block", "n_blocks", "whole", "part").agg(F.sum("size").alias("words"))
-    by_draw = Window.partitionBy("k").orderBy(F.xxhash64(F.lit(config.seed), F.lit("extra"), "k", "block"), "block")
-    so_far = F.sum("words").over(by_draw.rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.withColumn("before", F.coalesce(so_far, F.lit(0)))
+    rows = rows.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("src"))).drop("src")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("h"), F.col("n_blocks")).cast("int"))
+    blocks = rows.groupBy("k", "block", "whole", "part").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+    blocks = materialize(blocks.withColumn("draw", F.xxhash64(F.lit(seed), F.lit("extra"), "k", "block")), "mix-blocks")
+    cells = cells_for(sum(n_blocks))
+    blocks = prefix_sum(blocks, ["k"], ["draw", "block"], F.col("words"), "before", cells)
     # 2: the whole block is in the further pass; 1: some of its documents may be; 0: none
-    whole_block = F.col("before") + F.col("words") <= F.col("part")
-    blocks = blocks.withColumn("fits", F.sum((~whole_block).cast("int")).over(by_draw.rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = blocks.withColumn("extra", F.when(F.col("part") == 0, 0).when(F.col("fits") == 0, 2).when(F.col("fits") <= 1 + config.edge_blocks, 1).otherwise(0))
-    taken_before = F.max(F.when(F.col("extra") == 2, F.col("before") + F.col("words")).otherwise(0)).over(Window.partitionBy("k"))
-    blocks = blocks.withColumn("room", F.col("part") - taken_before)
-    blocks = materialize(blocks.select("k", "block", "words", "extra", "room"), "mix-blocks")
-    rows = rows.join(blocks.drop("words"), ["k", "block"])
-    # at the boundary: at most edge_blocks + 1 blocks of each source, and no document without words
-    ticket = F.xxhash64(F.lit(config.seed), F.lit("edge"), "h")
-    edge = rows.filter("extra = 1 AND size > 0").groupBy("k").agg(F.first("room").alias("room"), F.array_sort(F.collect_list(F.struct(ticket.alias("t"), "doc_id", "h", (-F.col("size")).alias("n"), "rid"))).alias("items"))
-    fold = F.aggregate(
-        "items", F.struct(F.col("room").alias("left"), F.array().cast("array<bigint>").alias("took")),
-        lambda acc, x: F.when(-x["n"] <= acc["left"], F.struct((acc["left"] + x["n"]).alias("left"), F.concat(acc["took"], F.array(x["rid"])).alias("took"))).otherwise(acc),
-    )
-    edge = edge.withColumn("fold", fold)
-    # one document more where that comes nearer than stopping short
-    gap = lambda x: F.abs(-x["n"] - F.col("fold.left"))
-    spare = F.array_min(F.transform(F.filter("items", lambda x: ~F.array_contains(F.col("fold.took"), x["rid"]) & (gap(x) < F.col("fold.left"))), lambda x: F.struct(gap(x).alias("gap"), x["t"].alias("t"), x["rid"].alias("rid"))))
-    edge = edge.withColumn("took", F.when(spare.isNotNull(), F.concat("fold.took", F.array(spare["rid"]))).otherwise(F.col("fold.took")))
-    took = edge.select(F.explode("took").alias("rid"), F.lit(1).alias("in_edge"))
-    rows = rows.join(took, "rid", "left")
-    rows = rows.withColumn("copies", F.col("whole") + F.when((F.col("extra") == 2) | F.col("in_edge").isNotNull(), 1).otherwise(0))
+    stage = F.when(F.col("part") == 0, 0).when(F.col("before") + F.col("words") <= F.col("part"), 2).when(F.col("before") < F.col("part"), 1).otherwise(0)
+    blocks = materialize(blocks.select("k", "block", "whole", "n", stage.alias("extra"), (F.col("part") - F.col("before")).alias("room")), "mix-blocks")
+    rows = skew_join(rows.drop("n_blocks", "part"), blocks.select("k", "block", "n", "extra", "room"), ["k", "block"], "n", n_rows, ["rid"]).drop("n")
+    rows = materialize(rows, "mix-placed")
+    edge_cells = cells_for(block_words)
+    full, some = _boundary(rows, edge_cells, seed)
+    one = F.lit(1)
+    in_edge = skew_join(rows.filter("extra = 1"), full.withColumn("taken", one), ["k", "h", "size"], "n", n_rows, ["rid"], "left").drop("n")
+    rows = rows.filter("extra <> 1").withColumn("taken", F.when(F.col("extra") == 2, one)).unionByName(in_edge)
+    rows = materialize(rows.join(F.broadcast(some), ["k", "h", "size"], "left"), "mix-taken")
+    chosen = prefix_sum(rows.filter("take IS NOT NULL"), ["k", "h", "size"], ["rid"], one, "rank", cells_for(n_rows))
+    chosen = chosen.withColumn("taken", F.when(F.col("rank") < F.col("take"), one)).drop("rank")
+    rows = rows.filter("take IS NULL").unionByName(chosen).withColumn("copies", F.col("whole") + F.coalesce("taken", F.lit(0)))
 
     # draws: every block once per whole pass, and the blocks of the further pass
-    passes = [r for r in blocks.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("extra") > 0).cast("long")).alias("x")).toLocalIterator()]
-    present = {r["k"]: (int(r["n"]), int(r["x"])) for r in passes}
-    draws = [present.get(i, (0, 0))[0] * whole[i] + present.get(i, (0, 0))[1] for i in range(len(sums))]
-    quotas = split_tree(draws, config.shards, np.random.default_rng(config.seed)) if sums else np.zeros((config.shards, 0), dtype=np.int64)
+    present = {r["k"]: (int(r["n"]), int(r["x"])) for r in blocks.groupBy("k").agg(F.count(one).alias("n"), F.sum((F.col("extra") > 0).cast("long")).alias("x")).toLocalIterator()}
+    draws = [present[i][0] * whole[i] + present[i][1] for i in range(len(sums))]
+    quotas = split_tree(draws, config.shards, np.random.default_rng(seed)) if sums else np.zeros((config.shards, 0), dtype=np.int64)
     ends = np.cumsum(quotas, axis=0)
-    plan = spark.createDataFrame([(k, [int(x) for x in ends[:, k]]) for k in range(len(sums))], "k int, ends array<bigint>")
+    plan = spark.createDataFrame([(i, present[i][0], [int(x) for x in ends[:, i]]) for i in range(len(sums))], "k int, present long, ends array<bigint>")
     # place of a block among the draws of its source: pass after pass, each in its own permutation
-    most_passes = max(whole, default=0) + 1
-    drawn = blocks.join(per_source.select("k", "whole"), "k").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most_passes - 1))))
-    drawn = drawn.filter((F.col("pass") < F.col("whole")) | ((F.col("pass") == F.col("whole")) & (F.col("extra") > 0)))
-    place = Window.partitionBy("k").orderBy("pass", F.xxhash64(F.lit(config.seed), "pass", "k", "block"), "block")
-    drawn = drawn.withColumn("place", F.row_number().over(place) - 1).join(plan, "k")
-    drawn = drawn.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("place"))))
-    homes = drawn.groupBy("k", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("homes"))
-    out = rows.join(homes, ["k", "block"], "left").withColumn("shards", F.slice(F.transform("homes", lambda x: x["shard"]), F.lit(1), F.col("copies")))
-    return out.select("rid", "doc_id", "source", "size", "source_size", "target", "copies", F.coalesce("shards", F.array().cast("array<int>")).alias("shards"), F.xxhash64(F.lit(config.seed + 1), "h").alias("order_key"))
+    drawn = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("whole"))))
+    drawn = drawn.filter((F.col("pass") < F.col("whole")) | (F.col("extra") > 0)).withColumn("draw", F.xxhash64(F.lit(seed), "pass", "k", "block"))
+    drawn = prefix_sum(drawn, ["k", "pass"], ["draw", "block"], one, "turn", cells).join(F.broadcast(plan), "k")
+    place = F.col("pass") * F.col("present") + F.col("turn")
+    drawn = drawn.withColumn("shard", F.size(F.filter("ends", lambda e: e <= place)))
+    homes = drawn.groupBy("k", "block").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("homes"))
+    out = skew_join(rows, homes, ["k", "block"], "n", n_rows, ["rid"], "left")
+    shards = F.slice(F.coalesce(F.transform("homes", lambda x: x["shard"]), F.array().cast("array<int>")), F.lit(1), F.col("copies"))
+    # the one document that fills up a source may be of a block that is not drawn again
+    spare = F.array(F.pmod(F.xxhash64(F.lit(seed), F.lit("fill"), "h"), F.lit(config.shards)).cast("int"))
+    out = out.withColumn("shards", shards).withColumn("shards", F.when(F.size("shards") < F.col("copies"), F.concat("shards", spare)).otherwise(F.col("shards")))
+    return out.select("rid", "doc_id", "source", "size", "source_size", "target", "copies", "shards", F.xxhash64(F.lit(seed + 1), "h").alias("order_key"))
+
+
+def shuffled(rows: DataFrame, n_rows: int) -> DataFrame:
+    """Rows (shard, order_key, ...) dealt by shard and a part of the key, each part in the order of its keys: the local shuffle."""
+    parts = max(1, math.ceil(n_rows / 100_000))
+    dealt = rows.withColumn("__part", F.pmod(F.col("order_key"), F.lit(parts)))
+    return dealt.repartition("shard", "__part").sortWithinPartitions("shard", "__part", "order_key").drop("__part")
