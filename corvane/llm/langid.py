@@ -6,19 +6,24 @@ spaces.  A text is cut into segments, every segment is compressed with every
 dictionary, and the language with the least total size wins; the whole text is
 always used.  A narrow margin over the second language rejects.
 
-Sizes are whole bytes, which tie on short texts.  Where a text under
-``short_bytes`` has a narrow margin, the languages are compared again by a
-fractional code length: the bits of its characters under a context model of
-each dictionary, and it is rejected only where that margin is narrow too.
-
-Training reads at most ``sample_docs`` labelled texts of each language, those
-with the least hashes, and the first ``sample_chars`` of each; these bounds
-are the only sampling.
-
-Defined results: text without a letter or null gives ``und`` with score 0 and
-is rejected; ties go to the smaller language name; a short text of a narrow
-margin with no letter that any dictionary has is rejected; with no training rows every
-text is ``und``; an empty table gives no rows.
+Sizes are whole bytes, which tie.  Where the first two languages are within
+``tie_bytes``, or the margin is narrow, they are compared again by a fractional
+code length: the bits of the text's characters under a context model of each
+dictionary.  The text is rejected only where that margin is narrow too.  The
+rules are the same for texts of every length.
+
+Training reads whole texts, at most ``sample_docs`` different ones of each
+language and ``sample_chars`` characters together: those with the least hashes
+of the text, texts longer than ``sample_chars`` last, but always one.  These
+bounds are the only sampling.
+
+Defined results: a text without a letter or null gives ``und`` with score 0 and
+is rejected; ties go to the smaller language name; a text of a narrow margin
+with no letter that any dictionary has is rejected; a text of any length is read whole;
+equal texts get equal results, repeated rows each theirs; with no training rows
+every text is ``und``; an empty table gives no rows; input columns called
+lang_pred, score or rejected are replaced, all others stay.  More than
+``most_languages`` labels are an error.
 """
 
 from __future__ import annotations
@@ -39,30 +44,50 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class LangConfig:
     sample_docs: int = 96
-    sample_chars: int = 1_200
+    sample_chars: int = 120_000
     segment_bytes: int = 4_096
     level: int = 5
-    short_bytes: int = 600  # texts under this are compressed harder, which finds three-byte matches
-    short_level: int = 19
     min_margin: float = 0.005  # of the second language's size
-    context: int = 3  # characters before one, in the context model for short texts
+    tie_bytes: int = 3  # sizes this near are compared again by the context models
+    context: int = 3  # characters before one, in the context models
+    most_languages: int = 1_024
 
 
 _OTHER = re.compile(r"[\W\d_]+")
+_SPACES = re.compile(r" {2,}")
 
 
 def letters(text: str) -> bytes:
-    return _OTHER.sub(" ", text.lower()).encode()
+    """Letters in lower case, everything between them one space."""
+    out = _OTHER.sub(" ", text.lower())
+    if not out.replace(" ", "").isalpha():  # signs such as a superscript two are word characters, but no letters
+        out = _SPACES.sub(" ", "".join(c if c.isalpha() else " " for c in out))
+    return out.encode()
 
 
 def train(docs: DataFrame, train_if: Column, config: LangConfig = LangConfig()) -> list[tuple[str, bytes]]:
     """(language, dictionary) in order of name, from the rows where ``train_if`` holds and lang and text are not null."""
-    rows = docs.filter(train_if & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select("lang", F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, config.sample_chars).alias("part"))
-    least = Window.partitionBy("lang").orderBy("h", "part")
-    rows = rows.withColumn("n", F.row_number().over(least)).filter(F.col("n") <= config.sample_docs)
+    rows = docs.filter(train_if & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("h"), F.char_length("text").alias("chars"))
+    over = F.greatest(F.col("chars") - config.sample_chars, F.lit(0))
+    least = Window.partitionBy("lang").orderBy(over, "h", "chars")
+    ranked = rows.groupBy("lang", "h", "chars").agg(F.lit(1).alias("one")).withColumn("n", F.row_number().over(least)).filter(F.col("n") <= config.sample_docs)
+    picked: dict[str, list[tuple[int, int]]] = {}
+    room: dict[str, int] = {}
+    for r in ranked.select("lang", "n", "h", "chars").orderBy("lang", "n").toLocalIterator():  # most_languages * sample_docs rows at most
+        left = room.get(r["lang"], config.sample_chars)
+        if len(room) > config.most_languages:
+            raise ValueError("more languages than a model takes")
+        if r["chars"] <= left or r["lang"] not in picked:
+            picked.setdefault(r["lang"], []).append((r["h"], r["chars"]))
+            room[r["lang"]] = left - r["chars"]
+    if not picked:
+        return []
+    wanted = docs.sparkSession.createDataFrame([(lang, h, c) for lang in picked for h, c in picked[lang]], "lang string, h long, chars int")
+    texts = rows.join(F.broadcast(wanted), ["lang", "h", "chars"]).groupBy("lang", "h", "chars").agg(F.min("text").alias("text"))
     found: dict[str, list[tuple[int, str]]] = {}
-    for r in rows.toLocalIterator():  # languages x sample_docs x sample_chars at most
-        found.setdefault(r["lang"], []).append((r["n"], r["part"]))
+    for r in texts.toLocalIterator():  # sample_chars a language, or one longer text
+        found.setdefault(r["lang"], []).append((r["h"], r["text"]))
     return [(lang, letters("\n".join(t for _, t in sorted(found[lang])))) for lang in sorted(found)]
 
 
@@ -81,52 +106,58 @@ class ContextModel:
             self.seen.append({c: (n, kinds[c]) for c, n in total.items()})
         self.letters = {run[0] for run in self.runs[0]}
 
-    def bits(self, text: str) -> float:
-        out = 0.0
-        for i in range(len(text)):
-            p = 1 / 256
-            for n, (runs, seen) in enumerate(zip(self.runs, self.seen, strict=True)):  # from no context to the longest
-                if i < n or (found := seen.get(tuple(text[i - n : i]))) is None:
-                    break
-                total, kinds = found
-                p = (runs.get(tuple(text[i - n : i + 1]), 0) + kinds * p) / (total + kinds)
-            out -= math.log2(p)
-        return out
+    def cost(self, run: tuple[str, ...]) -> float:
+        """Bits of the run's last character after the others."""
+        p = 1 / 256
+        for n, (runs, seen) in enumerate(zip(self.runs, self.seen, strict=True)):  # from no context to the longest
+            if len(run) <= n or (found := seen.get(run[len(run) - 1 - n : -1])) is None:
+                break
+            total, kinds = found
+            p = (runs.get(run[len(run) - 1 - n :], 0) + kinds * p) / (total + kinds)
+        return -math.log2(p)
+
+
+def text_runs(text: str, context: int) -> dict[tuple[str, ...], int]:
+    """Every character of the text with those before it, and how often."""
+    out = Counter(tuple(text[:n]) for n in range(1, min(context, len(text)) + 1))
+    out.update(zip(*[text[k:] for k in range(context + 1)], strict=False))
+    return out
 
 
 def guesser(model: list[tuple[str, bytes]], config: LangConfig = LangConfig()) -> Callable[[str | None], tuple[str, float, bool]]:
     """A function from a text to (lang_pred, score, rejected)."""
     import zstandard
 
-    def coder(data: bytes, level: int) -> zstandard.ZstdCompressor:
+    def coder(data: bytes) -> zstandard.ZstdCompressor:
         table = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        table.precompute_compress(level=level)
-        return zstandard.ZstdCompressor(level=level, dict_data=table, write_content_size=False, write_checksum=False, write_dict_id=False)
+        table.precompute_compress(level=config.level)
+        return zstandard.ZstdCompressor(level=config.level, dict_data=table, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    long_coders = [coder(data, config.level) for _, data in model]
-    short_coders = [coder(data, config.short_level) for _, data in model]
+    coders = [coder(data) for _, data in model]
     frame = 6  # bytes of frame and block headers, the same for all languages
     contexts: list[ContextModel] = []
 
-    def lead(sizes: list[float]) -> tuple[int, float]:
+    def lead(sizes: list[float]) -> tuple[int, float, float]:
+        """The least, its distance from the second, and that as a share of the second."""
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
         second = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
-        return best, (second - sizes[best]) / max(1, second)
+        return best, second - sizes[best], (second - sizes[best]) / max(1, second)
 
     def guess(text: str | None) -> tuple[str, float, bool]:
         if text is None or not model or not (data := letters(text)).strip():
             return UNKNOWN, 0.0, True
-        coders = short_coders if len(data) < config.short_bytes else long_coders
         parts = [data[i : i + config.segment_bytes] for i in range(0, len(data), config.segment_bytes)]
-        best, margin = lead([sum(max(1, len(c.compress(p)) - frame) for p in parts) for c in coders])
-        if margin < config.min_margin and len(data) < config.short_bytes:
+        best, ahead, margin = lead([sum(max(1, len(c.compress(p)) - frame) for p in parts) for c in coders])
+        if (margin < config.min_margin or ahead < config.tie_bytes) and len(model) > 1:
             if not contexts:
                 contexts.extend(ContextModel(d, config.context) for _, d in model)
             # framed by spaces, so that the ends of words count; letters no dictionary has say nothing
             known = set().union(*[c.letters for c in contexts])
             line = f" {''.join(ch for ch in data.decode() if ch in known).strip()} "
-            if line.strip():
-                best, margin = lead([c.bits(line) for c in contexts])
+            if not line.strip():
+                return model[best][0], 0.0, True
+            runs = text_runs(line, config.context)
+            best, _, margin = lead([sum(n * c.cost(run) for run, n in runs.items()) for c in contexts])
         return model[best][0], min(1.0, margin), margin < config.min_margin
 
     return guess
