@@ -108,3 +108,48 @@ def seconds(duration: Column) -> Column:
     unit = lambda x: F.when(x.endswith("ms"), 0.001).when(x.endswith("h"), 3600.0).when(x.endswith("m"), 60.0).otherwise(1.0)
     total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + F.regexp_extract(x, r"^([\d.]+)", 1).cast("double") * unit(x))
     return F.coalesce(F.expr("NULL").cast("double"), F.when(duration.rlike(r"^\s*[\d.]+\s*$"), F.trim(duration).cast("double")), F.when(F.size(parts) > 0, total))
+
+
+def suffix(filename: Column) -> Column:
+    """Lower case after the last dot; the whole name where there is none."""
+    return F.lower(F.element_at(F.split(filename, r"\."), -1))
+
+
+def elapsed_ms(began: Column, ended: Column) -> Column:
+    """Milliseconds between two times in seconds, one decimal."""
+    return F.round((ended - began) * 1000, 1)
+
+
+def billed_tokens(candidates: Column, thoughts: Column) -> Column:
+    """Output tokens that are charged: the answer's and those of thinking."""
+    return F.coalesce(candidates, F.lit(0)) + F.coalesce(thoughts, F.lit(0))
+
+
+# fixed values: what errors of rate limits, overload and daily quotas say
+RATE_LIMIT = ("429", "resource_exhausted", "rate limit", "quota")
+OVERLOAD = ("503", "unavailable", "high demand", "overloaded")
+DAILY = "perday"
+
+
+def error_kind(message: Column) -> Column:
+    """'daily_quota', 'rate_limit', 'overload' or 'other' by what the error says."""
+    low = F.lower(message)
+    says = lambda marks: F.greatest(*[low.contains(m).cast("int") for m in marks]) == 1
+    return F.when(low.contains(DAILY), "daily_quota").when(says(RATE_LIMIT), "rate_limit").when(says(OVERLOAD), "overload").otherwise("other")
+
+
+def reset_seconds(retry_after: Column, tokens: Column, requests: Column, most: float = 60.0) -> Column:
+    """How long to wait: the first of three headers that is a duration, else the most."""
+    return F.coalesce(seconds(retry_after), seconds(tokens), seconds(requests), F.lit(most))
+
+
+def sse_frame(event: Column, data: Column) -> Column:
+    """A server-sent event of a name and a JSON line."""
+    return F.concat(F.lit("event: "), event, F.lit("\ndata: "), data, F.lit("\n\n"))
+
+
+def sse_parts(frame: Column) -> Column:
+    """(event, data) of a frame; data lines are joined."""
+    lines = F.split(frame, "\n")
+    after = lambda name: F.transform(F.filter(lines, lambda x: x.startswith(name)), lambda x: F.trim(F.substring(x, len(name) + 1, 1 << 30)))
+    return F.struct(F.get(after("event:"), F.lit(0)).alias("event"), F.array_join(after("data:"), "\n").alias("data"))

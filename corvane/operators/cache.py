@@ -28,3 +28,23 @@ def entries(answers: DataFrame) -> DataFrame:
 def cacheable(session: Column, bypass: Column, web: Column, passed: Column, non_answer: Column, history: Column) -> Column:
     """None of the six blockers holds."""
     return ~(session | bypass | web | ~passed | non_answer | history)
+
+
+def put(cache: DataFrame, answers: DataFrame) -> DataFrame:
+    """The cache with the answers' entries: a question asked again in its scope replaces its entry, the last of equal ones stands.
+
+    Answers have corpus_scope, question, answer, citations and seq, their order.
+    """
+    last = Window.partitionBy("corpus_scope", "question").orderBy(F.desc("seq"))
+    newest = answers.withColumn("n", F.row_number().over(last)).filter("n = 1")
+    new = entries(newest)
+    return cache.join(new.select("entry_id"), "entry_id", "left_anti").unionByName(new)
+
+
+def citations_json(citations: Column) -> Column:
+    """Citations as they are kept in a cache row."""
+    return F.to_json(citations)
+
+
+def citations_from(text: Column, schema: str = "array<struct<kind:string,source_doc:string>>") -> Column:
+    return F.from_json(text, schema)

@@ -9,8 +9,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 
@@ -70,6 +72,62 @@ def clean_variants(items: object, original: str, most: int) -> list[str]:
     return out[:most]
 
 
+class KeyRotator:
+    """Keys in turn; a key that was refused for a scope is left out there until its time is over."""
+
+    def __init__(self, keys: list[str], clock: Callable[[], float] = time.monotonic) -> None:
+        self.keys, self.clock, self.next = list(dict.fromkeys(k for k in keys if k)), clock, 0
+        self.blocked: dict[tuple[str, str], float] = {}
+
+    def block(self, key: str, scope: str, seconds: float) -> None:
+        self.blocked[key, scope] = self.clock() + seconds
+
+    def take(self, scope: str = "") -> str | None:
+        """The next key that is not blocked for the scope, None when all are."""
+        now = self.clock()
+        for i in range(len(self.keys)):
+            key = self.keys[(self.next + i) % len(self.keys)]
+            if self.blocked.get((key, scope), now) <= now:
+                self.next = (self.next + i + 1) % len(self.keys)
+                return key
+        return None
+
+
+class AllKeysBlocked(RuntimeError):
+    pass
+
+
+def call_with_rotation(call: Callable[[str], Any], rotator: KeyRotator, scope: str = "", refused: Callable[[Exception], float | None] = lambda e: None) -> Any:
+    """The call with one key after the other: ``refused`` says for how long an error blocks the key, None that it is not the key's fault."""
+    while (key := rotator.take(scope)) is not None:
+        try:
+            return call(key)
+        except Exception as e:
+            wait = refused(e)
+            if wait is None:
+                raise
+            rotator.block(key, scope, wait)
+    raise AllKeysBlocked(f"no key is left for {scope or 'this call'}")
+
+
+def call_with_retries(call: Callable[[], Any], waits: tuple[float, ...] = (10.0, 30.0, 60.0, 120.0), transient: Callable[[Exception], bool] = lambda e: True, deadline: float | None = None, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> Any:
+    """The call again after each wait while it fails for a passing reason, and no wait beyond the deadline (seconds from now)."""
+    end = None if deadline is None else clock() + deadline
+    for wait in (*waits, None):
+        try:
+            return call()
+        except Exception as e:
+            if wait is None or not transient(e) or end is not None and clock() + wait > end:
+                raise
+            sleep(wait)
+    raise AssertionError
+
+
+def rewrite_query(question: str, excerpts: str) -> str:
+    """Stand-in for a rewrite: the question as it is."""
+    return question
+
+
 @dataclass(frozen=True)
 class Providers:
     embed: Callable[[str], list[float]] = hashed_vector
@@ -78,3 +136,6 @@ class Providers:
     expand: Callable[[str], list[str]] = field(default=lambda question: [])
     verdict: Callable[[str, list[str]], str] = field(default=lambda question, passages: "insufficient")
     web: Callable[[str], list[dict]] = field(default=lambda question: [])
+    rewrite: Callable[[str, str], str] = rewrite_query
+    resolve: Callable[[str, str], str | None] = field(default=lambda question, conversation: None)
+    verify: Callable[[str], str | None] = field(default=lambda prompt: None)

@@ -224,9 +224,15 @@ def q_rerank_pool(spark: SparkSession, sf: str) -> DataFrame:
     return context.rerank_pool(rows).select("qid", "chunk_id", "source", "pool_position")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BM25}, it AS (SELECT item_id AS qid, doc_id, rank AS pos, len({_words("coalesce(text, '')")}) AS tokens, {_wset("coalesce(text, '')")} AS w FROM kw JOIN documents USING (doc_id)),
+fold AS (SELECT DISTINCT qid, 0 AS pos, []::BIGINT[] AS ids, []::BIGINT[] AS sizes, []::VARCHAR[][] AS sets, 0::BIGINT AS used FROM it
+ UNION ALL SELECT qid, pos, CASE WHEN take THEN list_append(ids, doc_id) ELSE ids END, CASE WHEN take THEN list_append(sizes, tokens) ELSE sizes END, CASE WHEN take THEN list_append(sets, w) ELSE sets END, CASE WHEN take THEN used + tokens ELSE used END
+ FROM (SELECT s.qid, i.pos, s.ids, s.sizes, s.sets, s.used, i.doc_id, i.tokens, i.w, len(s.ids) < 8 AND s.used + i.tokens <= 3000 AND len(list_filter(s.sets, lambda k: len(list_distinct(list_concat(k, i.w))) > 0 AND len(list_intersect(k, i.w)) / greatest(len(list_distinct(list_concat(k, i.w))), 1) >= 0.9)) = 0 AS take
+  FROM fold s JOIN it i ON i.qid = s.qid AND i.pos = s.pos + 1)),
+e AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY qid ORDER BY pos DESC) = 1)
+SELECT qid, generate_subscripts(ids, 1) AS passage, unnest(ids) AS chunk_id, unnest(sizes) AS tokens, used FROM e""")
 def q_consolidate(spark: SparkSession, sf: str) -> DataFrame:
-    return context.consolidate(_with_text(spark, sf))
+    return context.consolidate(_with_text(spark, sf).withColumn("text", F.coalesce("text", F.lit(""))))
 
 
 @query(f"""WITH {_BM25}, c AS (SELECT item_id AS qid, doc_id, {_wset("text")} AS w FROM kw JOIN documents USING (doc_id))
@@ -335,14 +341,19 @@ def q_fixed_windows(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.fixed_windows(table(spark, sf, "documents")).select("doc_id", F.col("window").alias("window_no"), "tokens", F.sha2("text", 256).alias("digest"))
 
 
-@query()
+@query(rf"""WITH p AS (SELECT page_id, string_split(concat('T', regexp_replace(regexp_replace(html, '(?i)<h[1-6][^>]*>', concat(chr(1), 'H'), 'g'), '(?i)</h[1-6]>', concat(chr(1), 'T'), 'g')), chr(1)) AS parts FROM pages),
+r AS (SELECT page_id, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS piece FROM p),
+t AS (SELECT page_id, piece, raw[1] = 'H' AS head, {_collapse("regexp_replace(substr(raw, 2), '<[^>]*>', ' ', 'g')")} AS txt FROM r),
+c AS (SELECT *, last_value(CASE WHEN head THEN txt END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY piece ROWS UNBOUNDED PRECEDING) AS location FROM t WHERE txt <> '')
+SELECT page_id, piece, location, length(txt) AS chars FROM c WHERE NOT head""")
 def q_sections_from_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Paragraphs of the pages with the heading that stands before them."""
-    blocks = F.regexp_extract_all("html", F.lit(r"(?is)(<h[1-6][^>]*>.*?</h[1-6]>|<p>.*?(?=<p>|</p>|</article>))"), F.lit(1))
-    rows = table(spark, sf, "pages").select("page_id", F.posexplode(blocks).alias("piece", "raw"))
-    plain = T.collapse(F.regexp_replace("raw", "(?s)<[^>]*>", " "))
-    rows = rows.select("page_id", "piece", plain.alias("text"), F.when(F.col("raw").rlike("(?i)^<h[1-6]"), plain).alias("heading"), F.lit(None).cast("string").alias("location"))
-    return chunking.carry_headings(rows, "page_id").filter("heading IS NULL").select("page_id", "piece", "location", F.length("text").alias("chars"))
+    """All text of the pages, cut at headings, with the heading that stands before it."""
+    marked = F.regexp_replace(F.regexp_replace("html", "(?i)<h[1-6][^>]*>", "\x01H"), "(?i)</h[1-6]>", "\x01T")
+    rows = table(spark, sf, "pages").select("page_id", F.posexplode(F.split(F.concat(F.lit("T"), marked), "\x01")).alias("piece", "raw"))
+    plain = T.collapse(F.regexp_replace(F.substring("raw", 2, 1 << 30), "<[^>]*>", " "))
+    rows = rows.select("page_id", "piece", plain.alias("txt"), F.col("raw").startswith("H").alias("head")).filter("txt <> ''")
+    rows = rows.withColumn("heading", F.when(F.col("head"), F.col("txt"))).withColumn("location", F.lit(None).cast("string"))
+    return chunking.carry_headings(rows, "page_id").filter("NOT head").select("page_id", "piece", "location", F.length("txt").alias("chars"))
 
 
 def _order_texts(spark: SparkSession, sf: str) -> DataFrame:

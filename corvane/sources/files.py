@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -227,3 +228,95 @@ def manifest_violations(manifest: DataFrame, types: tuple[str, ...] = ("pdf", "d
     }
     found = F.filter(F.array(*[F.when(c, k) for k, c in rules.items()]), lambda x: x.isNotNull())
     return manifest.withColumn("rules", found).select("filename", F.explode("rules").alias("rule"))
+
+
+def route(files: DataFrame, extractors: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """filename, type, text, error of all files: each type goes to its extractor (filename, content to filename, text, error); others have an error."""
+    typed = files.withColumn("type", file_type(F.col("content")))
+    known = F.coalesce(F.col("type").isin(*extractors), F.lit(False))
+    out = typed.filter(~known).select("filename", "type", F.lit(None).cast("string").alias("text"), F.concat(F.lit("no extractor for "), F.coalesce("type", F.lit("this kind of file"))).alias("error"))
+    for kind, extract in extractors.items():
+        own = extract(typed.filter(F.col("type") == kind).select("filename", "content"))
+        out = out.unionByName(own.select("filename", F.lit(kind).alias("type"), "text", "error"))
+    return out
+
+
+def provider_extractor(read: Callable[[bytes], str]) -> Callable[[DataFrame], DataFrame]:
+    """An extractor of a function from bytes to text (a PDF reader, OCR, a vision model); one file's failure is its own."""
+
+    def extract(files: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                out = []
+                for name, content in zip(rows["filename"], rows["content"], strict=True):
+                    try:
+                        out.append((name, read(bytes(content)), None))
+                    except Exception as e:  # noqa: BLE001 - whatever a reader raises concerns this file alone
+                        out.append((name, None, f"{type(e).__name__}: {e}"))
+                yield pd.DataFrame(out, columns=["filename", "text", "error"])
+
+        return files.mapInPandas(run, "filename string, text string, error string")
+
+    return extract
+
+
+def docx_picture_rows(files: DataFrame) -> DataFrame:
+    """source_doc, number, content, width, height: the pictures of DOCX files in the order of their use; of other formats the size is null."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for name, content in zip(rows["filename"], rows["content"], strict=True):
+                found = [(name, i, data, *(image_size(data) or (None, None))) for i, _, data in docx_images(bytes(content))]
+                yield pd.DataFrame(found, columns=["source_doc", "number", "content", "width", "height"])
+
+    own = files.filter(file_type(F.col("content")) == "docx").select("filename", "content")
+    return own.mapInPandas(run, "source_doc string, number int, content binary, width int, height int")
+
+
+def has_pictures(content: bytes) -> bool:
+    """Whether a DOCX has any embedded picture."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        return any(x.startswith("word/media/") for x in archive.namelist())
+
+
+# ---- originals, by name
+
+
+def safe_name(filename: Column) -> Column:
+    """Whether a name stays in its folder."""
+    return ~filename.rlike(r"[/\\\x00]") & ~filename.isin("", ".", "..")
+
+
+def find_originals(wanted: DataFrame, folders: list[DataFrame]) -> DataFrame:
+    """filename, content of the wanted names, from the first folder that has each; unsafe names are not looked for."""
+    both = None
+    for i, folder in enumerate(folders):
+        own = folder.select("filename", "content", F.lit(i).alias("folder"))
+        both = own if both is None else both.unionByName(own)
+    asked = wanted.filter(safe_name(F.col("filename"))).select("filename").distinct()
+    first = Window.partitionBy("filename").orderBy("folder")
+    return both.join(asked, "filename", "left_semi").withColumn("n", F.row_number().over(first)).filter("n = 1").select("filename", "content")
+
+
+def delete_originals(stored: DataFrame, names: DataFrame) -> DataFrame:
+    return stored.join(names.select("filename"), "filename", "left_anti")
+
+
+# ---- checkpoints
+
+
+def write_json_atomic(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """JSON lines that appear whole or not at all: written beside, then renamed over what was there."""
+    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    rows.write.json(beside)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    new, old = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
+    system = old.getFileSystem(conf)
+    system.delete(old, True)
+    if not system.rename(new, old):
+        raise OSError(f"could not rename to {path}")
+
+
+def append_csv(rows: DataFrame, path: str) -> None:
+    """Rows at the end of a folder of CSV files, each with its header, which a reader takes once."""
+    rows.write.mode("append").option("header", True).csv(path)
