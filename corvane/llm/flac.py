@@ -1,15 +1,24 @@
 """Media columns: FLAC streams of 8-bit mono audio.
 
-The encoder writes blocks of 192 samples with fixed linear predictors (or
-quantised ones, on request) and Rice-coded residuals, and a seek point every
-SEEK_FRAMES frames.  The decoder checks the CRC-8 of every frame header, the
-CRC-16 of every frame and the stream's MD5, decodes constant, verbatim, fixed
-and linear-prediction subframes, and returns PCM that is addressed by sample.
-Both work on many frames in lockstep with numpy; a stream of any length is
-handled in slices of BLOCK_FRAMES frames.
-
-Defined results: a null text is the empty payload, padded to one block; an
-empty table gives no rows; damaged streams raise ``FlacError``.
+The encoder writes blocks of 192 samples, each with the cheapest of the fixed
+predictors, a linear predictor estimated from the block's autocorrelation
+(Levinson-Durbin, quantised) and no predictor, Rice-coded residuals, and a seek
+point every SEEK_FRAMES frames.  Its streams are decoded many frames in lockstep
+with numpy, every seek point from its own offset; the CRC-8 of every frame
+header, the CRC-16 of every frame and the stream's MD5 are checked.
+``read_samples`` reads any range of samples from the seek point before it.
+``decode_any`` reads FLAC at large, one frame after the other: any block size,
+4 to 24 bits, one to eight channels with stereo decorrelation, wasted bits,
+partitions, five-bit parameters and escaped partitions.
+
+Streams are handled in slices of BLOCK_FRAMES frames, so that beside the text,
+its stream and its samples, all of them bytes, memory does not grow with them.
+
+Defined results: a null text is the empty payload, padded to one block; texts
+of any length are stored whole; equal texts have equal streams and features,
+repeated rows each theirs; an empty table gives no rows; columns other than
+doc_id and text are ignored, whatever their names; damaged streams raise
+``FlacError``.
 """
 
 from __future__ import annotations
@@ -17,7 +26,10 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -30,7 +42,10 @@ from corvane.llm.common import text_or_empty
 BLOCK = 192
 SEEK_FRAMES = 8
 BLOCK_FRAMES = 8_192
+FEATURE_BYTES = 1 << 20
 RATE = 8_000
+ORDER = 4  # of the estimated predictors
+PRECISION = 10  # bits of their coefficients
 
 
 class FlacError(ValueError):
@@ -71,7 +86,47 @@ def _put(bits: np.ndarray, at: np.ndarray, value: np.ndarray | int, width: int)
         bits[at + j] = (value >> (width - 1 - j)) & 1
 
 
-def encode_frames(samples: np.ndarray, numbers: np.ndarray, lpc: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def estimate(x: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised coefficients (frames, order) and shifts (frames,) of the linear predictors of blocks of samples.
+
+    The predictor after Levinson and Durbin for the windowed block's autocorrelation; whole
+    numbers up to the division, so that it does not depend on which blocks come together.
+    """
+    n = x.shape[1]
+    place = 2 * np.arange(n) - (n - 1)
+    weighed = x * (n * n - place * place)  # a parabola over the block
+    r = np.stack([(weighed[:, : n - k] * weighed[:, k:]).sum(axis=1) for k in range(order + 1)], axis=1).astype(np.float64)
+    error = np.maximum(r[:, 0], 1.0)
+    c = np.zeros((len(x), order))
+    for i in range(order):
+        k = r[:, i + 1].copy()
+        for j in range(i):
+            k -= c[:, j] * r[:, i - j]
+        k = np.clip(k / error, -0.999, 0.999)
+        before = c[:, :i].copy()
+        for j in range(i):
+            c[:, j] = before[:, j] - k * before[:, i - 1 - j]
+        c[:, i] = k
+        error = np.maximum(error * (1 - k * k), 1.0)
+    top = np.maximum(np.abs(c).max(axis=1), 1e-9)
+    shift = np.clip(PRECISION - 1 - np.frexp(top)[1], 0, 15)
+    most = (1 << (PRECISION - 1)) - 1
+    return np.clip(np.floor(c * (1 << shift)[:, None] + 0.5), -most - 1, most).astype(np.int64), shift.astype(np.int64)
+
+
+def _rice(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Folded residuals, the best parameter of each block, and the bits with it."""
+    u = (r << 1) ^ (r >> 63)
+    sizes = np.stack([(u >> k).sum(axis=1) + (k + 1) * u.shape[1] for k in range(9)], axis=1)
+    k = sizes.argmin(axis=1)
+    return u, k, np.take_along_axis(sizes, k[:, None], 1)[:, 0]
+
+
+#: Kinds of subframes: fixed predictors of order 0 to 2, an estimated one, verbatim, constant.
+LPC, VERBATIM, CONSTANT = 3, 4, 5
+
+
+def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all frames, length of each) for samples (frames, BLOCK) in -128..127 and ascending frame numbers per stream."""
     m = len(samples)
     x = samples.astype(np.int64)
@@ -80,16 +135,21 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray, lpc: bool = False) -
     for order in range(3):
         if order:
             r = np.diff(r, axis=1)
-        u = (r << 1) ^ (r >> 63)
-        sizes = np.stack([(u >> k).sum(axis=1) + (k + 1) * u.shape[1] for k in range(9)], axis=1)
-        k = sizes.argmin(axis=1)
+        u, k, size = _rice(r)
         residuals.append(u)
         rice.append(k)
-        cost.append(np.take_along_axis(sizes, k[:, None], 1)[:, 0] + 8 * order + 10 + (9 + 15 * order if lpc and order else 0))
+        cost.append(size + 8 * order + 10)
+    coef, shift = estimate(x)
+    guess = sum(coef[:, j : j + 1] * x[:, ORDER - 1 - j : BLOCK - 1 - j] for j in range(ORDER)) >> shift[:, None]
+    u, k, size = _rice(x[:, ORDER:] - guess)
+    residuals.append(u)
+    rice.append(k)
+    cost.append(size + 8 * ORDER + 10 + 9 + PRECISION * ORDER)
     cost.append(np.full(m, 8 * BLOCK))
     constant = (x == x[:, :1]).all(axis=1)
-    kind = np.where(constant, 4, np.stack(cost, axis=1).argmin(axis=1))  # 0..2 predictors, 3 verbatim, 4 constant
-    body = np.where(constant, 8, np.take_along_axis(np.stack(cost, axis=1), np.minimum(kind, 3)[:, None], 1)[:, 0]) + 8
+    costs = np.stack(cost, axis=1)
+    kind = np.where(constant, CONSTANT, costs.argmin(axis=1))
+    body = np.where(constant, 8, np.take_along_axis(costs, np.minimum(kind, VERBATIM)[:, None], 1)[:, 0]) + 8
     coded = 1 + np.searchsorted(np.array(_LIMITS), numbers, side="right")
     head = 4 + coded + 1
     length = head + (body + 7) // 8 + 2
@@ -104,32 +164,31 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray, lpc: bool = False) -
     pos = 8 * (start + head)
     for group in np.unique(kind):
         of_kind = np.flatnonzero(kind == group)
-        if group == 4:
+        if group == CONSTANT:
             _put(bits, pos[of_kind], 0, 8)
             _put(bits, pos[of_kind] + 8, x[of_kind, 0] & 0xFF, 8)
-        elif group == 3:
+        elif group == VERBATIM:
             _put(bits, pos[of_kind], 0x02, 8)
             _put(bits, (pos[of_kind] + 8)[:, None] + 8 * np.arange(BLOCK), x[of_kind] & 0xFF, 8)
         else:
-            order = int(group)
-            as_lpc = lpc and order > 0
-            for k in np.unique(rice[order][of_kind]):
-                at = of_kind[rice[order][of_kind] == k]
+            order = ORDER if group == LPC else int(group)
+            for k in np.unique(rice[group][of_kind]):
+                at = of_kind[rice[group][of_kind] == k]
                 p = pos[at]
-                _put(bits, p, (0x20 | (order - 1) if as_lpc else 0x08 | order) << 1, 8)
+                _put(bits, p, (0x20 | (ORDER - 1) if group == LPC else 0x08 | order) << 1, 8)
                 p = p + 8
                 for j in range(order):
                     _put(bits, p, x[at, j] & 0xFF, 8)
                     p = p + 8
-                if as_lpc:
-                    _put(bits, p, 14, 4)  # precision 15
-                    _put(bits, p + 4, 0, 5)
-                    for j, c in enumerate(((1,), (2, -1))[order - 1]):
-                        _put(bits, p + 9 + 15 * j, c & 0x7FFF, 15)
-                    p = p + 9 + 15 * order
+                if group == LPC:
+                    _put(bits, p, PRECISION - 1, 4)
+                    _put(bits, p + 4, shift[at], 5)
+                    for j in range(ORDER):
+                        _put(bits, p + 9 + PRECISION * j, coef[at, j] & ((1 << PRECISION) - 1), PRECISION)
+                    p = p + 9 + PRECISION * ORDER
                 _put(bits, p, 0, 6)  # four-bit parameters, one partition
                 _put(bits, p + 6, int(k), 4)
-                u = residuals[order][at]
+                u = residuals[group][at]
                 q = u >> int(k)
                 size = q + 1 + int(k)
                 first = (p + 10)[:, None] + np.cumsum(size, axis=1) - size
@@ -167,28 +226,49 @@ def assemble(pcm: bytes, frames: bytes, lengths: np.ndarray) -> bytes:
     return b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(points).to_bytes(3, "big") + points + frames
 
 
-def encode(pcm: bytes, lpc: bool = False) -> bytes:
-    x = np.frombuffer(pcm, dtype=np.uint8).reshape(-1, BLOCK).astype(np.int64) - 128
-    parts = [encode_frames(x[a : a + BLOCK_FRAMES], np.arange(a, min(a + BLOCK_FRAMES, len(x))), lpc) for a in range(0, len(x), BLOCK_FRAMES)]
-    return assemble(pcm, b"".join(p[0].tobytes() for p in parts), np.concatenate([p[1] for p in parts]))
+def encode(pcm: bytes) -> bytes:
+    return encode_many([pcm])[0]
 
 
-def _header(media: bytes) -> tuple[int, bytes, list[int], int]:
-    """Samples, MD5, byte offsets of the seek points, and where the frames begin."""
+def _header(media: bytes) -> tuple[int, bytes, list[tuple[int, int]], int]:
+    """Samples, MD5, the seek points (sample, byte offset from the first frame), and where the frames begin, of a stream of this encoder's kind."""
+    info, points, at = metadata(media)
+    if info.block != BLOCK or info.bits != 8 or info.channels != 1:
+        raise FlacError("only 8-bit mono streams in blocks of 192 are read in lockstep: use decode_any")
+    return info.samples, info.md5, points, at
+
+
+@dataclass(frozen=True)
+class StreamInfo:
+    block: int  # 0 where the sizes differ
+    rate: int
+    channels: int
+    bits: int
+    samples: int  # 0 where it is not known
+    md5: bytes
+
+
+def metadata(media: bytes) -> tuple[StreamInfo, list[tuple[int, int]], int]:
+    """STREAMINFO, the seek points, and where the frames begin."""
     if media[:4] != b"fLaC":
         raise FlacError("not a FLAC stream")
-    at, last, samples, md5, points = 4, False, 0, b"", [0]
+    at, last, info, points = 4, False, None, [(0, 0)]
     while not last:
+        if at + 4 > len(media):
+            raise FlacError("the metadata are cut short")
         last, kind, size = bool(media[at] & 0x80), media[at] & 0x7F, int.from_bytes(media[at + 1 : at + 4], "big")
         block = media[at + 4 : at + 4 + size]
         if kind == 0:
-            if struct.unpack(">HH", block[:4]) != (BLOCK, BLOCK) or (int.from_bytes(block[10:18], "big") >> 36) & 0xFF != 7:
-                raise FlacError("only 8-bit mono streams of fixed blocks are read here")
-            samples, md5 = int.from_bytes(block[10:18], "big") & ((1 << 36) - 1), block[18:34]
+            low, high = struct.unpack(">HH", block[:4])
+            packed = int.from_bytes(block[10:18], "big")
+            info = StreamInfo(low if low == high else 0, packed >> 44, ((packed >> 41) & 7) + 1, ((packed >> 36) & 31) + 1, packed & ((1 << 36) - 1), block[18:34])
         elif kind == 3:
-            points = [int.from_bytes(block[i + 8 : i + 16], "big") for i in range(0, size, 18)]
+            found = (struct.unpack(">QQH", block[i : i + 18]) for i in range(0, size - size % 18, 18))
+            points = [(sample, offset) for sample, offset, _ in found if sample != (1 << 64) - 1] or points
         at += 4 + size
-    return samples, md5, points, at
+    if info is None:
+        raise FlacError("no STREAMINFO")
+    return info, points, at
 
 
 def _decode_round(data: np.ndarray, word: np.ndarray, one: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,7 +305,6 @@ def _decode_round(data: np.ndarray, word: np.ndarray, one: np.ndarray, start: np
             x[:, j] = _signed(get(p, 8))
             p = p + 8
         shift = np.zeros(len(at), dtype=np.int64)
-        fixed = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
         if t >= 32:
             precision, shift = get(p, 4) + 1, get(p + 4, 5)
             p = p + 9
@@ -235,7 +314,7 @@ def _decode_round(data: np.ndarray, word: np.ndarray, one: np.ndarray, start: np
                 coef.append(c - ((c >> (precision - 1)) << precision))
                 p = p + precision
         else:
-            coef = [np.full(len(at), c) for c in fixed[order]]
+            coef = [np.full(len(at), c) for c in _FIXED[order]]
         if (get(p, 6) != 0).any():
             raise FlacError("only four-bit Rice parameters in one partition are read here")
         k = get(p + 6, 4)
@@ -295,42 +374,68 @@ def decode_units(buffer: bytes, starts: np.ndarray, frames: np.ndarray) -> np.nd
     return out
 
 
-def decode_many(streams: list[bytes]) -> list[bytes]:
-    """PCM of each stream; seek points are decoded side by side, in slices of BLOCK_FRAMES frames."""
+def decode_blocks(streams: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """(stream, first sample, PCM) of the stretch after every seek point, in order; each is decoded from its own offset, many side by side.
+
+    The MD5 of a stream is checked when its last block has been given.
+    """
     heads = [_header(s) for s in streams]
-    units: list[tuple[int, int, int, int]] = []  # stream, first byte, end byte, frames
+    units: list[tuple[int, int, int, int, int]] = []  # stream, first sample, first byte, end byte, frames
     for k, (samples, _, points, first) in enumerate(heads):
-        total = samples // BLOCK
-        for i, p in enumerate(points):
-            end = points[i + 1] if i + 1 < len(points) else len(streams[k]) - first
-            units.append((k, first + p, first + end, min(SEEK_FRAMES, total - i * SEEK_FRAMES) if len(points) > 1 else total))
-    parts: list[list[bytes]] = [[] for _ in streams]
+        ends = [*points[1:], (samples, len(streams[k]) - first)]
+        units += [(k, s, first + b, first + e, (t - s) // BLOCK) for (s, b), (t, e) in zip(points, ends, strict=True)]
+    digests = [(hashlib.md5(), 0)] * len(streams)
     step = max(1, BLOCK_FRAMES // SEEK_FRAMES)
     for a in range(0, len(units), step):
         some = units[a : a + step]
-        pieces = [streams[k][s:e] for k, s, e, _ in some]
+        pieces = [streams[k][s:e] for k, _, s, e, _ in some]
         sizes = np.array([len(p) for p in pieces])
-        pcm = decode_units(b"".join(pieces), np.cumsum(sizes) - sizes, np.array([f for *_, f in some]))
-        row = 0
-        for k, _, _, f in some:
-            parts[k].append(pcm[row : row + f].tobytes())
-            row += f
-    out = [b"".join(p) for p in parts]
-    for pcm, (samples, md5, _, _) in zip(out, heads, strict=True):
-        signed = (np.frombuffer(pcm, dtype=np.uint8) ^ 0x80).tobytes()
-        if len(pcm) != samples or hashlib.md5(signed).digest() != md5:
-            raise FlacError("the stream's MD5 is wrong")
-    return out
+        frames = np.array([f for *_, f in some])
+        pcm = decode_units(b"".join(pieces), np.cumsum(sizes) - sizes, frames)
+        ends = np.cumsum(frames)
+        for n, (k, first, *_, f) in enumerate(some):
+            block = pcm[ends[n] - f : ends[n]].tobytes()
+            md5, size = digests[k]
+            md5 = md5.copy() if not size else md5
+            md5.update((np.frombuffer(block, dtype=np.uint8) ^ 0x80).tobytes())
+            digests[k] = (md5, size + len(block))
+            yield k, first, block
+            last = a + n + 1 == len(units) or units[a + n + 1][0] != k
+            if last and (digests[k][1] != heads[k][0] or md5.digest() != heads[k][1]):
+                raise FlacError("the stream's MD5 is wrong")
+
+
+def decode_many(streams: list[bytes]) -> list[bytes]:
+    """PCM of each stream, put together from its blocks."""
+    parts: list[list[bytes]] = [[] for _ in streams]
+    for k, _, block in decode_blocks(streams):
+        parts[k].append(block)
+    return [b"".join(p) for p in parts]
+
+
+def read_samples(media: bytes, first: int, count: int) -> bytes:
+    """The PCM of ``count`` samples from ``first`` on, less at the end: read from the last seek point at or before it, and no further than needed."""
+    samples, _, points, begin = _header(media)
+    last = min(samples, first + count)
+    if not 0 <= first < last:
+        return b""
+    n = bisect_right([s for s, _ in points], first) - 1
+    start, offset = points[n]
+    stop = bisect_left([s for s, _ in points], last)
+    end = begin + points[stop][1] if stop < len(points) else len(media)
+    frames = -(-(last - start) // BLOCK)
+    pcm = decode_units(media[begin + offset : end], np.zeros(1, dtype=np.int64), np.array([frames])).tobytes()
+    return pcm[first - start : last - start]
 
 
 def encode_many(pcms: list[bytes]) -> list[bytes]:
-    """A stream for each payload; frames of several payloads are coded side by side."""
-    x = np.frombuffer(b"".join(pcms), dtype=np.uint8).reshape(-1, BLOCK).astype(np.int64) - 128
+    """A stream for each payload; frames of several payloads are coded side by side, BLOCK_FRAMES at a time."""
+    x = np.frombuffer(b"".join(pcms), dtype=np.uint8).reshape(-1, BLOCK)
     counts = np.array([len(p) // BLOCK for p in pcms])
     numbers = np.arange(len(x)) - np.repeat(np.cumsum(counts) - counts, counts)
     frames, lengths = [], []
     for a in range(0, len(x), BLOCK_FRAMES):
-        f, n = encode_frames(x[a : a + BLOCK_FRAMES], numbers[a : a + BLOCK_FRAMES])
+        f, n = encode_frames(x[a : a + BLOCK_FRAMES].astype(np.int64) - 128, numbers[a : a + BLOCK_FRAMES])
         frames.append(f.tobytes())
         lengths.append(n)
     data, size = b"".join(frames), np.concatenate(lengths)
@@ -343,10 +448,155 @@ def encode_many(pcms: list[bytes]) -> list[bytes]:
     return out
 
 
-def feature(pcm: bytes) -> str:
-    """Sum, energy, zero crossings and range of the signed samples, as text."""
-    x = np.frombuffer(pcm, dtype=np.uint8).astype(np.int64) - 128
-    return f"n={len(x)};sum={int(x.sum())};energy={int((x * x).sum())};crossings={int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))};min={int(x.min())};max={int(x.max())}"
+# ---- FLAC at large
+
+_SIZES = {1: 192, **{i: 144 << i for i in range(2, 6)}, **{i: 256 << (i - 8) for i in range(8, 16)}}
+_DEPTHS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24}
+_FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
+
+
+class Bits:
+    """Reads big-endian bits."""
+
+    def __init__(self, data: bytes, at: int) -> None:
+        self.data, self.at = data, 8 * at
+
+    def take(self, n: int) -> int:
+        first, last = self.at >> 3, (self.at + n + 7) >> 3
+        if last > len(self.data):
+            raise FlacError("the stream is cut short")
+        self.at += n
+        return (int.from_bytes(self.data[first:last], "big") >> (8 * last - self.at)) & ((1 << n) - 1)
+
+    def signed(self, n: int) -> int:
+        value = self.take(n) if n else 0
+        return value - (1 << n) if n and value >> (n - 1) else value
+
+    def unary(self) -> int:
+        start = self.at
+        while True:
+            room = 64 - (self.at & 7)
+            room = min(room, 8 * len(self.data) - self.at)
+            if room <= 0:
+                raise FlacError("the stream is cut short")
+            word = self.take(room)
+            if word:
+                self.at -= word.bit_length() - 1
+                return self.at - 1 - start
+
+
+def _residual(bits: Bits, size: int, order: int) -> list[int]:
+    method, partitions = bits.take(2), 1 << bits.take(4)
+    if method > 1 or size % partitions or size // partitions < order:
+        raise FlacError("reserved residual coding")
+    width, out = (4, 5)[method], []
+    for p in range(partitions):
+        n = size // partitions - (order if p == 0 else 0)
+        k = bits.take(width)
+        if k == (1 << width) - 1:
+            raw = bits.take(5)
+            out += [bits.signed(raw) for _ in range(n)]
+        else:
+            for _ in range(n):
+                u = bits.unary() << k | (bits.take(k) if k else 0)
+                out.append(u >> 1 ^ -(u & 1))
+    return out
+
+
+def _subframe(bits: Bits, size: int, depth: int) -> list[int]:
+    if bits.take(1):
+        raise FlacError("lost the subframe")
+    kind = bits.take(6)
+    wasted = bits.unary() + 1 if bits.take(1) else 0
+    depth -= wasted
+    if kind == 0:
+        out = [bits.signed(depth)] * size
+    elif kind == 1:
+        out = [bits.signed(depth) for _ in range(size)]
+    elif 8 <= kind <= 12 or kind >= 32:
+        order = kind - 8 if kind < 32 else kind - 31
+        out = [bits.signed(depth) for _ in range(order)]
+        coef, shift = _FIXED[order] if kind < 32 else (), 0
+        if kind >= 32:
+            precision, shift = bits.take(4) + 1, bits.signed(5)
+            if precision == 16 or shift < 0:
+                raise FlacError("reserved predictor")
+            coef = tuple(bits.signed(precision) for _ in range(order))
+        for r in _residual(bits, size, order):
+            out.append(r + (sum(c * x for c, x in zip(coef, reversed(out[len(out) - order :]), strict=True)) >> shift))
+    else:
+        raise FlacError("reserved subframe type")
+    return [x << wasted for x in out] if wasted else out
+
+
+def _frame(media: bytes, at: int, info: StreamInfo) -> tuple[list[list[int]], int]:
+    """The channels' samples of the frame at a byte, and where it ends."""
+    bits = Bits(media, at)
+    if bits.take(14) != 0x3FFE or bits.take(1):
+        raise FlacError("lost the frame sync")
+    bits.take(1)
+    size_code, rate_code, layout, depth_code = bits.take(4), bits.take(4), bits.take(4), bits.take(3)
+    bits.take(1)
+    lead = bits.take(8)
+    for _ in range(0 if lead < 0x80 else 1 if lead < 0xE0 else 2 if lead < 0xF0 else 3 if lead < 0xF8 else 4 if lead < 0xFC else 5 if lead < 0xFE else 6):
+        bits.take(8)
+    size = bits.take(8) + 1 if size_code == 6 else bits.take(16) + 1 if size_code == 7 else _SIZES.get(size_code, 0)
+    if rate_code in (12, 13, 14):
+        bits.take(8 if rate_code == 12 else 16)
+    depth = info.bits if depth_code == 0 else _DEPTHS.get(depth_code, 0)
+    if not size or not depth or layout > 10:
+        raise FlacError("reserved frame header")
+    wide = np.frombuffer(media[at:] if at + 32 > len(media) else media[at : at + 32], dtype=np.uint8).astype(np.int64)
+    head = bits.at // 8 - at
+    if bits.take(8) != int(_crc(wide, np.zeros(1, dtype=np.int64), np.array([head]), CRC8, 8)[0]):
+        raise FlacError("a frame header's CRC-8 is wrong")
+    sides = {8: (0, 1), 9: (1, 0), 10: (0, 1)}.get(layout, (0,) * (layout + 1))
+    channels = [_subframe(bits, size, depth + extra) for extra in sides]
+    if layout == 8:
+        channels[1] = [a - b for a, b in zip(*channels, strict=True)]
+    elif layout == 9:
+        channels[0] = [a + b for a, b in zip(*channels, strict=True)]
+    elif layout == 10:
+        middle = [2 * m + (s & 1) for m, s in zip(*channels, strict=True)]
+        channels = [[(m + s) >> 1 for m, s in zip(middle, channels[1], strict=True)], [(m - s) >> 1 for m, s in zip(middle, channels[1], strict=True)]]
+    end = -(-bits.at // 8)
+    wide = np.frombuffer(media[at : end + 2], dtype=np.uint8).astype(np.int64)
+    if len(wide) < end + 2 - at or int(wide[-2] << 8 | wide[-1]) != int(_crc(wide, np.zeros(1, dtype=np.int64), np.array([end - at]), CRC16, 16)[0]):
+        raise FlacError("a frame's CRC-16 is wrong")
+    return channels, end + 2
+
+
+def decode_any(media: bytes) -> tuple[StreamInfo, list[list[int]]]:
+    """STREAMINFO and the samples of every channel of any FLAC stream; all checksums are verified."""
+    info, _, at = metadata(media)
+    channels: list[list[int]] = [[] for _ in range(info.channels)]
+    while at < len(media):
+        found, at = _frame(media, at, info)
+        if len(found) != info.channels:
+            raise FlacError("the number of channels changes")
+        for have, more in zip(channels, found, strict=True):
+            have += more
+    if info.samples and len(channels[0]) != info.samples:
+        raise FlacError("samples are missing")
+    width = (info.bits + 7) // 8
+    if any(info.md5):
+        raw = b"".join(x.to_bytes(width, "little", signed=True) for row in zip(*channels, strict=True) for x in row)
+        if hashlib.md5(raw).digest() != info.md5:
+            raise FlacError("the stream's MD5 is wrong")
+    return info, channels
+
+
+def feature(blocks: list[bytes]) -> str:
+    """Sum, energy, zero crossings and range of the signed samples of consecutive blocks, as text."""
+    n = total = energy = crossings = 0
+    low, high, before = 127, -128, None
+    for block in blocks:
+        x = np.frombuffer(block, dtype=np.uint8).astype(np.int64) - 128
+        down = x < 0
+        crossings += int(np.count_nonzero(down[1:] != down[:-1])) + (before is not None and bool(down[0]) != before)
+        n, total, energy, before = n + len(x), total + int(x.sum()), energy + int((x * x).sum()), bool(down[-1])
+        low, high = min(low, int(x.min())), max(high, int(x.max()))
+    return f"n={n};sum={total};energy={energy};crossings={crossings};min={low};max={high}"
 
 
 def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -374,23 +624,29 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.pandas_udf(run, "binary")(text_or_empty()).alias("media"))
 
 
-def pcm_blocks(media: DataFrame, frames: int = SEEK_FRAMES) -> DataFrame:
-    """doc_id, first_sample, n_samples, pcm: the checked samples in blocks that are addressed by sample offset."""
+def pcm_blocks(media: DataFrame) -> DataFrame:
+    """doc_id, first_sample, n_samples, pcm: the checked samples in the blocks that the seek points begin."""
     id_type = dict(media.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = frames * BLOCK
         for rows in batches:
             for doc, m in zip(rows["doc_id"], rows["media"], strict=True):
-                pcm = decode_many([bytes(m)])[0]
-                at = list(range(0, len(pcm), step))
-                yield pd.DataFrame({"doc_id": [doc] * len(at), "first_sample": at, "n_samples": [min(step, len(pcm) - a) for a in at], "pcm": [pcm[a : a + step] for a in at]})
+                found = decode_blocks([bytes(m)])
+                while part := list(islice(found, 1_024)):
+                    yield pd.DataFrame({"doc_id": [doc] * len(part), "first_sample": [s for _, s, _ in part], "n_samples": [len(b) for *_, b in part], "pcm": [b for *_, b in part]})
 
     return media.select("doc_id", "media").mapInPandas(run, f"doc_id {id_type}, first_sample long, n_samples long, pcm binary")
 
 
+def samples_at(media: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, first_sample, n_samples, pcm for ranges (doc_id, first_sample, n_samples) of the streams."""
+    cut = F.pandas_udf(lambda m, a, n: pd.Series([read_samples(bytes(x), int(i), int(k)) for x, i, k in zip(m, a, n, strict=True)], dtype=object), "binary")
+    rows = media.select("doc_id", "media").join(wanted.select("doc_id", "first_sample", "n_samples"), "doc_id")
+    return rows.select("doc_id", "first_sample", "n_samples", cut("media", "first_sample", "n_samples").alias("pcm"))
+
+
 def digest(docs: DataFrame) -> DataFrame:
-    """Store every text, read the stored bytes back, and describe both; see the columns."""
+    """Store every text, read the stored bytes back block by block, and describe both; see the columns."""
     id_type = dict(docs.dtypes)["doc_id"]
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
@@ -400,8 +656,10 @@ def digest(docs: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for group in _slices(texts):
                 streams = encode_many(group)
-                for media, pcm in zip(streams, decode_many(streams), strict=True):
-                    rows.append((len(texts[len(rows)]), len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(pcm)))
+                for k, own in groupby(decode_blocks(streams), key=lambda x: x[0]):
+                    blocks, media = [b for *_, b in own], streams[k]
+                    pcm = b"".join(blocks)
+                    rows.append((len(texts[len(rows)]), len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature([pcm[i : i + FEATURE_BYTES] for i in range(0, len(pcm), FEATURE_BYTES)])))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=names)
 
