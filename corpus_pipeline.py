@@ -42,7 +42,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
     with scratch_run(spark, OWNER):
-        rows = number_rows(docs)
+        rows = number_rows(docs.select(*COLUMNS))
         kept = exact_dedup.dedup_exact(rows).filter("kept").select(F.col("rid").alias(ROW))
         return rows.join(kept, ROW, "left_semi").select(*COLUMNS)
 
@@ -50,7 +50,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each group of near duplicates; doc_ids may be null or repeat."""
     with scratch_run(spark, OWNER):
-        rows = number_rows(docs)
+        rows = number_rows(docs.select(*COLUMNS))
         groups = simhash.near_duplicates(rows, NEAR)
         first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select(F.col("m.rid").alias(ROW))
         return rows.join(first, ROW, "left_semi").select(*COLUMNS)
@@ -59,7 +59,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and drops documents so that the sources come near their target weights."""
     with scratch_run(spark, OWNER):
-        rows = number_rows(docs)
+        rows = number_rows(docs.select(*COLUMNS))
         plan = mixing.mix(rows).filter("copies > 0").select(F.col("rid").alias(ROW), "order_key", F.posexplode("shards").alias("copy", "shard"))
         plan = materialize(plan.withColumn("order_key", F.xxhash64("order_key", "copy")), "mix-plan")
         return mixing.shuffled(rows.join(plan, ROW), plan.count()).select(*COLUMNS)
