@@ -95,6 +95,11 @@ def marker_map(groups: DataFrame, key: str = "qid") -> Column:
 
 def filter_structural(answers: DataFrame, passages: DataFrame, key: str = "qid") -> DataFrame:
     """key, answer, n_citations, invalid, removed: the answer with valid, renumbered markers and without uncited claims."""
+    return filter_with_citations(answers, passages, key)[0]
+
+
+def filter_with_citations(answers: DataFrame, passages: DataFrame, key: str = "qid") -> tuple[DataFrame, DataFrame]:
+    """``filter_structural`` and the citations that the filtered answers have: key, number (as in the answer), passage (the best one's number)."""
     valid = passages.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("number", F.col("number").alias("same")))).alias("valid"))
     first = answers.join(valid, key, "left").withColumn("stripped", rewrite("answer", F.coalesce("valid", F.create_map().cast("map<int,int>"))))
     kept = paragraphs(first.select(key, F.col("stripped").alias("answer")), key)
@@ -103,4 +108,6 @@ def filter_structural(answers: DataFrame, passages: DataFrame, key: str = "qid")
     maps = groups.groupBy(key).agg(marker_map(groups).alias("m"), F.max("citation").alias("n_citations"))
     bad = invalid_markers(marker_rows(answers, key), passages, key).groupBy(key).agg(F.array_sort(F.collect_list("number")).alias("invalid"))
     out = answers.select(key).join(text, key, "left").join(maps, key, "left").join(bad, key, "left")
-    return out.select(key, F.when(F.col("n_citations").isNull(), F.lit("The retrieved context doesn't support an answer to this question.")).otherwise(rewrite("kept_text", "m")).alias("answer"), F.coalesce("n_citations", F.lit(0)).alias("n_citations"), F.coalesce("invalid", F.array().cast("array<int>")).alias("invalid"), F.coalesce("removed", F.lit(0)).alias("removed"))
+    done = out.select(key, F.when(F.col("n_citations").isNull(), F.lit("The retrieved context doesn't support an answer to this question.")).otherwise(rewrite("kept_text", "m")).alias("answer"), F.coalesce("n_citations", F.lit(0)).alias("n_citations"), F.coalesce("invalid", F.array().cast("array<int>")).alias("invalid"), F.coalesce("removed", F.lit(0)).alias("removed"))
+    cited = groups.select(key, F.col("citation").alias("number"), F.col("best_number").alias("passage")).distinct()
+    return done, cited

@@ -1,23 +1,26 @@
 """The engine's facade: ingest texts, answer a batch of questions.
 
 Everything is one DataFrame plan per batch; a single question is a batch of
-one.  Early exits are filters, model-backed steps are provider functions.
+one.  Early exits are filters, model-backed steps are provider functions.  An
+engine is a value: what changes passages, cache or history gives a new one.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import chunk_id, sanitize
-from corvane.operators import bm25, chunking, citations, context, dense, fusion, guardrails, store, sufficiency
-from corvane.plans.providers import Providers
+from corvane.functions.text import chunk_id, sanitize, snippet, summarize_answer
+from corvane.operators import answering, bm25, cache, chunking, citations, context, dense, fusion, guardrails, sessions, store, sufficiency, web
+from corvane.plans.providers import Providers, clean_variants
 from corvane.sources.tables import saved
 
+TURNS = "session_id string, turn long, ts double, resolved_question string, answer_summary string"
+CACHE = "entry_id string, corpus_scope string, question string, answer string, cited_docs array<string>, embedding array<double>"
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -30,6 +33,11 @@ class Settings:
     chunk_size: int = 500
     chunk_overlap: int = 50
     chunk_least: int = 200
+    cache_threshold: float = 0.96
+    cache_most: int = 5
+    sub_questions: int = 3
+    web_results: int = 5
+    web_relevance: float = 0.30
     gate: sufficiency.Gate = field(default_factory=sufficiency.Gate)
 
     def __post_init__(self) -> None:
@@ -48,96 +56,253 @@ class Settings:
         return replace(self, **{k: type(getattr(self, k))(v) if k != "gate" else v for k, v in values.items()})
 
 
+def _each(f, kind: str):
+    """A function of values as a function of columns, on Arrow batches."""
+    return F.pandas_udf(lambda *columns: pd.Series([f(*row) for row in zip(*columns, strict=True)], dtype=object), kind)
+
+
 class Engine:
-    """Passages (chunk_id, source_doc, corpus_scope, text, embedding, ...) and the operations on them."""
+    """Passages (chunk_id, source_doc, corpus_scope, text, embedding, ...), cached answers, history, and the operations on them."""
 
-    def __init__(self, spark: SparkSession, passages: DataFrame | None = None, settings: Settings = Settings(), providers: Providers = Providers()) -> None:
+    def __init__(self, spark: SparkSession, passages: DataFrame | None = None, settings: Settings = Settings(), providers: Providers = Providers(), cached: DataFrame | None = None, turns: DataFrame | None = None) -> None:
         self.spark, self.passages, self.settings, self.providers = spark, passages, settings, providers
+        self.cached = spark.createDataFrame([], CACHE) if cached is None else cached
+        self.turns = spark.createDataFrame([], TURNS) if turns is None else turns
+        self._index: bm25.Index | None = None
+
+    def _with(self, **changes: DataFrame) -> Engine:
+        own = {"passages": self.passages, "cached": self.cached, "turns": self.turns} | changes
+        new = Engine(self.spark, own["passages"], self.settings, self.providers, own["cached"], own["turns"])
+        if "passages" not in changes:
+            new._index = self._index
+        return new
+
+    @property
+    def index(self) -> bm25.Index:
+        """The keyword index of all passages, written when it is first asked for."""
+        if self._index is None:
+            self._index = bm25.build(self.passages, "chunk_id")
+        return self._index
+
+    # ---- documents
 
     def ingest(self, files: DataFrame, scope: str = "persistent") -> Engine:
         """Texts (source_doc, text) replace earlier versions of their documents; files without text keep theirs."""
-        s, embed = self.settings, self.providers.embed
+        s = self.settings
         good = files.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
         cut = chunking.split_documents(good, "source_doc", s.chunk_size, s.chunk_overlap, s.chunk_least)
-
-        def vectors(texts: pd.Series) -> pd.Series:
-            return texts.map(embed)
-
         ids = chunk_id(F.lit(scope), F.col("source_doc"), F.lit("text"), F.col("chunk_type"), F.lit(None), F.col("location"), F.col("chunk_index"), F.col("text"))
         rows = cut.select(ids.alias("chunk_id"), "source_doc", F.lit(scope).alias("corpus_scope"), F.lit("text").alias("extraction_method"), "chunk_type", F.lit(None).cast("int").alias("page"), "location", "text", "chunk_index")
         rows = store.keep_first(rows, ["chunk_id"], ["source_doc", "chunk_index"]).drop("chunk_index")
         # one embedding per distinct text
-        texts = rows.select("text").distinct().withColumn("embedding", F.pandas_udf(vectors, "array<double>")("text"))
-        rows = rows.join(texts, "text")
+        rows = rows.join(self._embedded(rows.select("text").distinct(), "text"), "text")
         rows = saved(rows, "passages")
         if self.passages is None:
-            return Engine(self.spark, rows, s, self.providers)
+            return self._with(passages=rows)
         other = self.passages.filter(F.col("corpus_scope") != scope)
         own = store.replace_documents(self.passages.filter(F.col("corpus_scope") == scope), rows, good.select("source_doc").distinct())
-        return Engine(self.spark, saved(own.unionByName(other), "passages"), s, self.providers)
+        return self._with(passages=saved(own.unionByName(other), "passages"))
 
     def delete(self, source_doc: str, scope: str = "persistent") -> Engine:
-        return Engine(self.spark, store.delete_by_document(self.passages, source_doc, scope), self.settings, self.providers)
+        """Without the document's passages, and without cached answers of the scope that cite it."""
+        return self._with(passages=store.delete_by_document(self.passages, source_doc, scope), cached=store.invalidate(self.cached, source_doc, scope))
+
+    def drop_session(self, session_id: str) -> Engine:
+        passages, cached, turns = sessions.drop_session(self.passages, self.cached, self.turns, session_id)
+        return self._with(passages=passages, cached=cached, turns=turns)
+
+    def documents(self, scope: str | None = None) -> DataFrame:
+        return store.documents(self.passages if scope is None else self.passages.filter(F.col("corpus_scope") == scope))
 
-    def documents(self) -> DataFrame:
-        return store.documents(self.passages)
+    def _embedded(self, rows: DataFrame, text: str, out: str = "embedding") -> DataFrame:
+        return rows.withColumn(out, _each(self.providers.embed, "array<double>")(text))
+
+    # ---- before retrieval
 
     def screen(self, questions: DataFrame) -> DataFrame:
-        """qid, question, verdict, reply kind: the checks that need no retrieval."""
+        """qid, question, verdict, reply kind: the checks that need no retrieval.  The classifier fails open."""
         clean = sanitize(F.col("question"))
-        return questions.select("qid", clean.alias("question"), guardrails.input_verdict(F.col("question")).alias("verdict"), guardrails.greeting_kind(F.col("question")).alias("small_talk"), guardrails.looks_compound(clean).alias("compound"))
+        verdict = guardrails.input_verdict(F.col("question"))
+        rows = questions.select("qid", clean.alias("question"), verdict.alias("verdict"), guardrails.greeting_kind(F.col("question")).alias("small_talk"), guardrails.looks_compound(clean).alias("compound"))
+        unsafe = answering.unsafe_input(_each(self.providers.unsafe, "string")("question"))
+        return rows.withColumn("verdict", F.when((F.col("verdict") == "allowed") & unsafe, "unsafe").otherwise(F.col("verdict")))
+
+    def resolve(self, questions: DataFrame) -> DataFrame:
+        """Questions (qid, question, session_id) with the question that their session's last turns make of it; raw_question is as asked."""
+        resolve = self.providers.resolve
+        told = answering.render_turns(self.turns, "session_id").join(self.turns.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_turns")), "session_id")
+        rows = questions.join(told, "session_id", "left")
+        rewritten = F.when(F.col("conversation").isNotNull(), _each(lambda q, c: None if c is None else resolve(q, c), "string")("question", "conversation"))
+        rows = rows.withColumn("rewritten", rewritten).withColumn("raw_question", F.col("question"))
+        return rows.withColumn("question", answering.resolved_question(F.col("question"), F.col("rewritten"), F.coalesce("n_turns", F.lit(0)))).drop("rewritten", "conversation", "n_turns")
+
+    def lookup(self, questions: DataFrame) -> DataFrame:
+        """qid, entry_id, score: the cached answer to each question (qid, question, scope), by likeness and equal numbers."""
+        s = self.settings
+        asked = self._embedded(questions.select("qid", "question", F.col("scope").alias("corpus_scope")), "question", "query_vector")
+        near = dense.cosine_top_k(self.cached.filter("embedding IS NOT NULL"), asked, s.cache_most, key="entry_id", query_key="qid", scope="corpus_scope")
+        rows = near.select("qid", "entry_id", "score").join(questions.select("qid", "question"), "qid").join(self.cached.select("entry_id", F.col("question").alias("entry_question")), "entry_id")
+        return cache.lookup(rows, s.cache_threshold, s.cache_most)
+
+    def sub_questions(self, questions: DataFrame) -> DataFrame:
+        """(qid, part, sub, question, scope): the parts of compound questions, else the question itself as part 0; ``part`` is a key of its own."""
+        decompose, most = self.providers.decompose, self.settings.sub_questions
+        split = lambda q, compound: clean_variants(decompose(q), q, most) if compound else []
+        rows = questions.withColumn("parts", _each(split, "array<string>")("question", "compound"))
+        parts = F.when(F.size("parts") > 1, F.transform("parts", lambda x, i: F.struct((i + 1).cast("int").alias("sub"), x.alias("q")))).otherwise(F.array(F.struct(F.lit(0).alias("sub"), F.col("question").alias("q"))))
+        rows = rows.select("qid", "scope", F.explode(parts).alias("p"))
+        return rows.select("qid", F.concat_ws("/", F.col("qid").cast("string"), F.col("p.sub").cast("string")).alias("part"), "p.sub", F.col("p.q").alias("question"), "scope")
+
+    # ---- retrieval
 
-    def retrieve(self, questions: DataFrame, scope: str = "persistent") -> DataFrame:
-        """The long table of hits of both channels in one scope; keyword statistics span all scopes."""
-        s, embed, expand = self.settings, self.providers.embed, self.providers.expand
-        key = F.xxhash64("chunk_id")
-        rows = self.passages.withColumn("doc_id", key)
+    def retrieve(self, questions: DataFrame) -> DataFrame:
+        """The long table of hits of both channels for questions (qid, question, scope), each in its scope; keyword statistics span all scopes."""
+        s, expand = self.settings, self.providers.expand
+        rows = self.passages
         asked = questions.select(F.col("qid").alias("item_id"), F.col("question").alias("text"))
-        kw = bm25.scores(rows, asked).join(rows.filter(F.col("corpus_scope") == scope).select("doc_id"), "doc_id", "left_semi")
-        kw = bm25.top_k(kw, s.top_k).select(F.col("item_id").alias("qid"), F.lit("keyword").alias("retriever"), F.lit("").alias("query"), "doc_id", "score")
+        kw = bm25.scores(self.index, asked).join(rows.select("chunk_id", "corpus_scope"), "chunk_id")
+        kw = kw.join(questions.select(F.col("qid").alias("item_id"), F.col("scope").alias("corpus_scope")), ["item_id", "corpus_scope"], "left_semi")
+        kw = bm25.top_k(kw, s.top_k, key="chunk_id").select(F.col("item_id").alias("qid"), F.lit("keyword").alias("retriever"), F.lit("").alias("query"), "chunk_id", "score")
+        lists = questions.select("qid", F.col("scope").alias("corpus_scope"), F.explode(_each(lambda q: [q, *expand(q)], "array<string>")("question")).alias("query"))
+        lists = saved(self._embedded(lists.withColumn("list", F.sha2(F.concat_ws("\x00", F.col("qid").cast("string"), "query"), 256)), "query", "query_vector"), "lists")
+        near = dense.cosine_top_k(rows, lists, s.top_k, key="chunk_id", query_key="list", scope="corpus_scope")
+        near = near.join(lists.select("list", "qid", "query"), "list").select("qid", F.lit("vector").alias("retriever"), "query", "chunk_id", "score")
+        return kw.unionByName(near)
 
-        def variants(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda q: [q, *expand(q)])
+    def assess(self, questions: DataFrame, hits: DataFrame, candidates: DataFrame) -> DataFrame:
+        """Scores and decision per question; a grey one asks the provider, which sees the first passages; a session's low score does not decide."""
+        s, verdict = self.settings, self.providers.verdict
+        scores = questions.select("qid", "question", F.col("scope").startswith("session:").alias("session")).join(sufficiency.compute_scores(hits), "qid", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
+        first = sufficiency.decide(scores, s.gate, session=F.col("session"))
+        shown = answering.gate_passages(candidates).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("p"))
+        grey = first.filter("method = 'fallback'").select("qid", "question").join(shown, "qid", "left")
+        texts = F.coalesce(F.transform("p", lambda x: x["text"]), F.array().cast("array<string>"))
+        said = grey.select("qid", _each(lambda q, t: verdict(q, list(t)), "string")("question", texts).alias("verdict"))
+        return sufficiency.decide(scores.join(said, "qid", "left"), s.gate, session=F.col("session"), verdict=F.col("verdict"))
 
-        def vectors(texts: pd.Series) -> pd.Series:
-            return texts.map(embed)
+    def search_web(self, questions: DataFrame, candidates: DataFrame) -> DataFrame:
+        """qid, chunk_id, text, title, source_url, position of web results for questions (qid, question); whatever fails finds nothing."""
+        p = self.providers
+        rows = questions.join(web.excerpts(candidates.withColumn("source", F.lit("corpus"))), "qid", "left")
+        rows = rows.withColumn("rewritten", _each(lambda q, e: p.rewrite(q, e) if e else None, "string")("question", "excerpts"))
+        rows = rows.withColumn("w", web.web_query(F.col("question"), F.col("rewritten"), F.col("excerpts"))).select("qid", "w.query", "w.contextual")
 
-        lists = questions.select("qid", F.explode(F.pandas_udf(variants, "array<string>")("question")).alias("query"))
-        lists = lists.withColumn("query_id", F.xxhash64("qid", "query")).withColumn("query_vector", F.pandas_udf(vectors, "array<double>")("query"))
-        near = dense.cosine_top_k(rows.filter(F.col("corpus_scope") == scope), lists, s.top_k, key="doc_id")
-        near = near.join(lists.select("query_id", "qid", "query"), "query_id").select("qid", F.lit("vector").alias("retriever"), "query", "doc_id", "score")
-        return kw.unionByName(near).join(rows.select("doc_id", "chunk_id"), "doc_id").drop("doc_id")
+        def search(query: str) -> list[dict]:
+            try:
+                return [{k: str(r.get(k) or "") for k in ("url", "title", "content")} for r in p.web(query)]
+            except Exception:  # noqa: BLE001 - the web is optional: a failed search is an empty one
+                return []
 
-    def rank(self, questions: DataFrame, scope: str = "persistent") -> tuple[DataFrame, DataFrame]:
-        """(passages of the prompt, sufficiency) for screened questions."""
+        found = saved(rows.withColumn("r", _each(search, "array<struct<url:string,title:string,content:string>>")("query")), "web")
+        each = found.select("qid", "query", F.col("contextual").alias("rewritten"), F.posexplode("r").alias("position", "x")).select("qid", "query", "rewritten", "position", "x.*")
+        each = self._embedded(web.normalize(each), "query", "query_vector").withColumn("vector", _each(p.embed, "array<double>")(F.concat_ws(". ", "title", "content")))
+        kept = web.relevant(web.score_relevance(each), self.settings.web_relevance)
+        return kept.select("qid", F.col("web_id").alias("chunk_id"), F.col("content").alias("text"), "title", F.col("canonical").alias("source_url"), F.col("rank").alias("position"))
+
+    def rank(self, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(passages of the prompt, decision) for questions (qid, question, scope): both channels fused, the web where they do not suffice, ranked anew."""
         s, score = self.settings, self.providers.rerank
-        hits = saved(self.retrieve(questions, scope), "hits")
+        hits = saved(self.retrieve(questions), "hits")
         fused = fusion.fuse(hits, s.dense_weight, s.rrf_k).filter(F.col("position") <= s.shortlist)
-        texts = fused.join(self.passages.select("chunk_id", "text", "source_doc", "page"), "chunk_id").join(questions.select("qid", "question"), "qid")
+        texts = saved(fused.join(self.passages.select("chunk_id", "text", "source_doc", "location", "page"), "chunk_id"), "fused")
+        enough = saved(self.assess(questions, hits, texts), "decided")
+        asking = questions.join(enough.filter("NOT sufficient").select("qid"), "qid", "left_semi")
+        found = self.search_web(asking, texts).filter(F.col("position") <= s.web_results)
+        corpus = texts.select("qid", "chunk_id", F.lit("corpus").alias("source"), "position", "text", "source_doc", "page", F.lit(None).cast("string").alias("source_url"))
+        both = corpus.unionByName(found.select("qid", "chunk_id", F.lit("web").alias("source"), "position", "text", F.lit(None).cast("string").alias("source_doc"), F.lit(None).cast("int").alias("page"), "source_url"))
+        pool = context.rerank_pool(both).join(questions.select("qid", "question"), "qid")
+        pool = saved(pool.withColumn("score", _each(lambda q, t: float(score(q, t)), "double")("question", "text")), "candidates")
+        order = F.struct((-F.col("score")).alias("s"), "pool_position").alias("position")
+        kept = context.consolidate(pool.select("qid", "chunk_id", "text", order), s.passages, s.budget)
+        fields = pool.select("qid", "chunk_id", "text", F.col("source").alias("kind"), "source_doc", "page", "source_url", "score")
+        return saved(kept.select("qid", "passage", "chunk_id").join(fields, ["qid", "chunk_id"]), "context"), enough
 
-        def rescore(q: pd.Series, t: pd.Series) -> pd.Series:
-            return pd.Series(np.array([score(a, b) for a, b in zip(q, t, strict=True)], dtype=float))
+    # ---- answers
 
-        order = F.struct((-F.pandas_udf(rescore, "double")("question", "text")).alias("s"), "position").alias("position")
-        texts = saved(texts.withColumn("order", order), "candidates")
-        kept = context.consolidate(texts.select("qid", "chunk_id", "text", F.col("order").alias("position")), s.passages, s.budget)
-        return saved(kept.join(texts.select("qid", "chunk_id", "text", "source_doc", "page", "fused"), ["qid", "chunk_id"]), "context"), sufficiency.decide(sufficiency.compute_scores(hits), s.gate)
+    def run(self, questions: DataFrame, bypass_cache: bool = False) -> tuple[DataFrame, Engine]:
+        """(results, engine afterwards) for questions (qid, question and, if any, session_id).
 
-    def answer(self, questions: DataFrame, scope: str = "persistent") -> DataFrame:
-        """qid, status, answer, sufficient, n_citations, removed, output_verdict for every question."""
-        reply = self.providers.answer
-        seen = self.screen(questions)
+        Results: qid, status, answer, sufficient, n_citations, removed,
+        groundedness, output_verdict, cache_hit, not_cached (why the answer is
+        not kept).  ``bypass_cache`` skips both its lookup and its write.
+        """
+        if "session_id" not in questions.columns:
+            questions = questions.withColumn("session_id", F.lit(None).cast("string"))
+        seen = saved(self.screen(questions).join(questions.select("qid", "session_id"), "qid"), "screened")
         open_ = seen.filter((F.col("verdict") == "allowed") & F.col("small_talk").isNull())
-        passages, enough = self.rank(open_, scope)
-        lists = passages.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("passage", "text"))).alias("p"))
-        drafts = open_.join(lists, "qid", "left").withColumn("texts", F.coalesce(F.transform("p", lambda x: x["text"]), F.array().cast("array<string>")))
-
-        def write(q: pd.Series, t: pd.Series) -> pd.Series:
-            return pd.Series([reply(a, list(b)) for a, b in zip(q, t, strict=True)])
-
-        drafts = saved(drafts.select("qid", F.pandas_udf(write, "string")("question", "texts").alias("answer")), "drafts")
-        refs = passages.select("qid", F.col("passage").alias("number"), F.lit("corpus").alias("kind"), "source_doc", "page", F.lit(None).cast("string").alias("source_url"), F.col("fused").alias("score"))
-        filtered = citations.filter_structural(drafts, refs).withColumn("output_verdict", guardrails.output_verdict(F.col("answer")))
-        out = seen.join(filtered, "qid", "left").join(enough.select("qid", "sufficient"), "qid", "left")
-        status = F.when(F.col("verdict") != "allowed", F.concat(F.lit("rejected:"), "verdict")).when(F.col("small_talk").isNotNull(), F.col("small_talk")).when(F.col("output_verdict").isin("ok", "non_answer"), "answered").otherwise("fallback")
-        return out.select("qid", status.alias("status"), F.when(status == "answered", F.col("answer")).alias("answer"), "sufficient", "n_citations", "removed", "output_verdict")
+        asked = saved(answering.select_scope(self.resolve(open_), self.passages), "resolved")
+        held = self.spark.createDataFrame([], f"qid {dict(asked.dtypes)['qid']}, entry_id string, score double") if bypass_cache else self.lookup(asked)
+        held = saved(held, "cache-hits")
+        todo = asked.join(held.select("qid"), "qid", "left_anti")
+        parts = saved(self.sub_questions(todo), "parts")
+        passages, enough = self.rank(parts.select(F.col("part").alias("qid"), "question", "scope"))
+        own = passages.withColumnRenamed("qid", "part").join(parts.select("part", "qid", "sub"), "part")
+        numbered = context.number_passages(own.select("qid", "chunk_id", F.col("sub").alias("list_no"), F.col("passage").alias("position")))
+        refs = saved(answering.merge_sub_contexts(own.withColumnRenamed("passage", "position"), todo.filter("false")).join(numbered, ["qid", "chunk_id"]), "refs")
+        final = self._answers(todo, refs)
+        decided = enough.withColumnRenamed("qid", "part").join(parts.select("part", "qid"), "part").groupBy("qid").agg(F.bool_and("sufficient").alias("sufficient"))
+        final = saved(final.join(decided, "qid", "left"), "answers")
+        results = saved(self._results(seen, held, final), "results")
+        return results, self._after(asked, final, results, bypass_cache)
+
+    def answer(self, questions: DataFrame, bypass_cache: bool = False) -> DataFrame:
+        return self.run(questions, bypass_cache)[0]
+
+    def _answers(self, asked: DataFrame, refs: DataFrame) -> DataFrame:
+        """Drafts, checked for structure, support and form: qid, answer, n_citations, removed, groundedness, output_verdict, blockers, cited."""
+        p = self.providers
+        lists = refs.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("number", "text"))).alias("p"))
+        drafts = asked.join(lists, "qid", "left").withColumn("texts", F.coalesce(F.transform("p", lambda x: x["text"]), F.array().cast("array<string>")))
+        none = guardrails.NON_ANSWERS[0]
+        drafts = saved(drafts.select("qid", "scope", _each(lambda q, t: p.answer(q, list(t)) if len(t) else none, "string")("question", "texts").alias("answer")), "drafts")
+        checked, cited = citations.filter_with_citations(drafts.select("qid", "answer"), refs.select("qid", "number", "kind", "source_doc", "page", "source_url", "score"))
+        checked, cited = saved(checked, "checked"), saved(cited.join(refs.drop("position").withColumnRenamed("number", "passage"), ["qid", "passage"]), "cited")
+        # every claim with its evidence goes to the verifier, all of an answer at once
+        claim_rows = answering.claim_markers(checked)
+        proof = answering.evidence(claim_rows, cited.select("qid", "number", "kind", F.col("chunk_id").alias("key"), "source_doc", "page", "source_url", snippet(F.col("text")).alias("snippet")), refs.select(F.col("chunk_id").alias("key"), "text").distinct())
+        sides = claim_rows.join(proof, ["qid", "claim"]).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("claim", "text", "evidence"))).alias("c"))
+        sides = sides.select("qid", F.transform("c", lambda x: x["text"]).alias("claims"), F.transform("c", lambda x: x["evidence"]).alias("evidence"))
+        replies = saved(sides.select("qid", _each(lambda c, e: p.verify(list(c), list(e)), "string")("claims", "evidence").alias("reply")), "replies")
+        judged, scores = answering.verify(claim_rows.select("qid", "claim"), replies, citations.verdicts(replies))
+        kept = answering.drop_unsupported(checked, judged)
+        rows = checked.select("qid", F.col("n_citations").alias("before"), F.col("removed").alias("uncited")).join(kept, "qid", "left").join(scores.select("qid", F.col("score").alias("groundedness"), "safety"), "qid", "left")
+        rows = rows.join(drafts.select("qid", "scope"), "qid")
+        rows = guardrails.output_verdicts(rows, "answer", "output_verdict")
+        webs = cited.groupBy("qid").agg(F.bool_or(F.col("kind") == "web").alias("web"), F.array_sort(F.collect_set("source_doc")).alias("docs"))
+        rows = rows.join(webs, "qid", "left")
+        passed = F.col("output_verdict").isin("ok", "non_answer") & (F.coalesce("safety", F.lit("pass")) == "pass")
+        why = answering.blockers(passed, F.col("is_non_answer") | (F.col("output_verdict") == "non_answer"), F.col("n_citations"), F.col("safety").isNotNull(), F.col("scope"), F.col("web"), F.lit(False))
+        return rows.select("qid", "answer", "n_citations", (F.col("removed") + F.col("uncited")).alias("removed"), "groundedness", F.when(passed, F.col("output_verdict")).otherwise(F.when(F.col("output_verdict").isin("ok", "non_answer"), "unsafe").otherwise(F.col("output_verdict"))).alias("output_verdict"), why.alias("not_cached"), F.coalesce("docs", F.array().cast("array<string>")).alias("docs"))
+
+    def _results(self, seen: DataFrame, held: DataFrame, final: DataFrame) -> DataFrame:
+        from_cache = held.join(self.cached.select("entry_id", F.col("answer").alias("cached_answer")), "entry_id").select("qid", "cached_answer")
+        out = seen.join(final.drop("docs"), "qid", "left").join(from_cache, "qid", "left")
+        hit = F.col("cached_answer").isNotNull()
+        status = (
+            F.when(F.col("verdict") != "allowed", F.concat(F.lit("rejected:"), "verdict"))
+            .when(F.col("small_talk").isNotNull(), F.col("small_talk"))
+            .when(hit, "cached")
+            .when(F.col("output_verdict").isin("ok", "non_answer"), "answered")
+            .otherwise("fallback")
+        )
+        answer = F.when(hit, F.col("cached_answer")).when(status == "answered", F.col("answer"))
+        return out.select("qid", status.alias("status"), answer.alias("answer"), "sufficient", "n_citations", "removed", "groundedness", "output_verdict", hit.alias("cache_hit"), "not_cached")
+
+    def _after(self, asked: DataFrame, final: DataFrame, results: DataFrame, bypass_cache: bool) -> Engine:
+        """The engine with new cache entries and turns."""
+        rows = asked.join(final.select("qid", "answer", "not_cached", "docs"), "qid")
+        good = rows.filter(F.size("not_cached") == 0)
+        cites = F.transform("docs", lambda d: F.struct(F.lit("corpus").alias("kind"), d.alias("source_doc")))
+        fresh = good.select(F.col("scope").alias("corpus_scope"), "question", "answer", cites.alias("citations"), F.col("qid").alias("seq"))
+        cached = self.cached
+        if not bypass_cache:
+            entries = cache.put(self.cached.drop("embedding"), fresh)
+            known = self.cached.select("entry_id", "question", F.col("embedding").alias("held"))
+            entries = entries.join(known, ["entry_id", "question"], "left").withColumn("embedding", F.coalesce("held", _each(self.providers.embed, "array<double>")("question"))).drop("held")
+            cached = saved(entries.select(*self.cached.columns), "cache")
+        told = results.filter("status IN ('answered', 'cached')").select("qid", F.col("answer").alias("said"))
+        new = asked.filter("session_id IS NOT NULL").join(told, "qid")
+        last = self.turns.groupBy("session_id").agg(F.max("turn").alias("last"))
+        new = new.join(last, "session_id", "left").select("session_id", (F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy("session_id").orderBy("qid"))).cast("long").alias("turn"), F.unix_micros(F.current_timestamp()).cast("double").alias("us"), F.col("question").alias("resolved_question"), summarize_answer(F.col("said")).alias("answer_summary"))
+        new = new.select("session_id", "turn", (F.col("us") / 1e6).alias("ts"), "resolved_question", "answer_summary")
+        return self._with(cached=cached, turns=saved(sessions.record_turn(self.turns, new), "turns"))

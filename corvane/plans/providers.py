@@ -123,6 +123,13 @@ def call_with_retries(call: Callable[[], Any], waits: tuple[float, ...] = (10.0,
     raise AssertionError
 
 
+def overlap_verdicts(claims: list[str], evidence: list[str], least: float = 0.5) -> str:
+    """Stand-in for a verifier: a claim is supported when its evidence has enough of its words."""
+    plain = lambda c: re.sub(r"\[[\d,; ]+\]", " ", c)
+    judged = [{"index": i, "supported": overlap_score(plain(c), e) >= least, "reason": "shared words"} for i, (c, e) in enumerate(zip(claims, evidence, strict=True))]
+    return json.dumps({"claims": judged, "safety": {"verdict": "pass", "reason": ""}})
+
+
 def rewrite_query(question: str, excerpts: str) -> str:
     """Stand-in for a rewrite: the question as it is."""
     return question
@@ -138,4 +145,6 @@ class Providers:
     web: Callable[[str], list[dict]] = field(default=lambda question: [])
     rewrite: Callable[[str, str], str] = rewrite_query
     resolve: Callable[[str, str], str | None] = field(default=lambda question, conversation: None)
-    verify: Callable[[str], str | None] = field(default=lambda prompt: None)
+    verify: Callable[[list[str], list[str]], str | None] = overlap_verdicts
+    decompose: Callable[[str], list[str]] = field(default=lambda question: [])
+    unsafe: Callable[[str], str | None] = field(default=lambda question: None)
