@@ -133,6 +133,18 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, tot
     return both.select(*left.columns, *[F.col(f"__right.{c}").alias(c) for c in extra])
 
 
+def least_rows(rows: DataFrame, keys: list[str], order: list[Column], most: int, out: str, deal: Column, parts: int = 64) -> DataFrame:
+    """The ``most`` first rows of each key in ``order``, with their place from 1 in ``out``.
+
+    First of each of ``parts`` dealt shares of a key, then of these, so that no
+    task gets more of a key than its share or parts * most rows.
+    """
+    share = rows.withColumn("__share", F.pmod(deal, F.lit(parts)))
+    near = Window.partitionBy(*keys, "__share").orderBy(*order)
+    share = share.withColumn(out, F.row_number().over(near)).filter(F.col(out) <= most).drop("__share")
+    return share.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(out) <= most)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -35,9 +35,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import least_rows
+
 UNKNOWN = "und"
 
 
@@ -70,8 +72,7 @@ def train(docs: DataFrame, train_if: Column, config: LangConfig = LangConfig())
     rows = docs.filter(train_if & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     rows = rows.select("lang", "text", F.xxhash64("text").alias("h"), F.char_length("text").alias("chars"))
     over = F.greatest(F.col("chars") - config.sample_chars, F.lit(0))
-    least = Window.partitionBy("lang").orderBy(over, "h", "chars")
-    ranked = rows.groupBy("lang", "h", "chars").agg(F.lit(1).alias("one")).withColumn("n", F.row_number().over(least)).filter(F.col("n") <= config.sample_docs)
+    ranked = least_rows(rows.select("lang", "h", "chars").distinct(), ["lang"], [over, F.col("h"), F.col("chars")], config.sample_docs, "n", F.xxhash64("h"))
     picked: dict[str, list[tuple[int, int]]] = {}
     room: dict[str, int] = {}
     for r in ranked.select("lang", "n", "h", "chars").orderBy("lang", "n").toLocalIterator():  # most_languages * sample_docs rows at most

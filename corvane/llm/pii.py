@@ -36,10 +36,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize, text_or_empty
+from corvane.llm.common import least_rows, materialize, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 # fixed patterns of the base spans
@@ -309,8 +309,8 @@ def find_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     patterns = sorted((r["kind"], tuple(r["vote"]), r["base"], int(r["n"])) for r in counted.collect())  # 4 * 2 * 3**LABELERS rows at most
     chance = posteriors(patterns)
     distinct = each.groupBy("f.kind", "f.base", "f.vote", "f.feat").agg(F.count(F.lit(1)).alias("n"))
-    least = Window.partitionBy("kind", "base").orderBy(F.xxhash64("feat", "vote"), "feat", "vote")
-    picked = distinct.withColumn("i", F.row_number().over(least)).filter(F.col("i") <= sample).collect()  # 8 * sample rows at most
+    ticket = F.xxhash64("feat", "vote")
+    picked = least_rows(distinct, ["kind", "base"], [ticket, F.col("feat"), F.col("vote")], sample, "i", F.shiftright(ticket, 20)).collect()  # 8 * sample rows at most
     examples = sorted((r["kind"], tuple(r["feat"]), chance[r["kind"], tuple(r["vote"]), r["base"]], float(r["n"])) for r in picked)
     model = fit(examples)
 
