@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.text import let, word_set
+
 SOURCES = ("corpus", "web", "mixed", "none")
 
 
@@ -85,3 +87,32 @@ def file_differences(files: DataFrame, manifest: DataFrame) -> DataFrame:
 def spread(rows: DataFrame) -> DataFrame:
     """label, least, median, most of top_dense by expected."""
     return rows.groupBy("expected").agg(F.min("top_dense").alias("least"), F.round(F.median("top_dense"), 6).alias("median"), F.max("top_dense").alias("most"), F.count(F.lit(1)).alias("n"))
+
+
+def select_questions(questions: DataFrame, ids: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """Questions of the ids, in their file's order (ordinal), at most so many."""
+    rows = questions if ids is None else questions.filter(F.col("id").isin(*ids))
+    return rows if most is None else rows.orderBy("ordinal").limit(most)
+
+
+def resume(questions: DataFrame, finished: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """What is left of a run; a run under other settings is refused, with the settings that differ."""
+    changed = [r["key"] for r in config_diff(old, new).select("key").orderBy("key").limit(20).collect()]
+    if changed:
+        raise ValueError(f"the run was begun with other settings: {', '.join(changed)}")
+    return pending(questions, finished)
+
+
+def overlap_metrics(records: DataFrame) -> DataFrame:
+    """``records`` (question, answer, ground_truth, contexts, each a text) with four stand-ins for judged metrics.
+
+    Shares of word sets, no model's judgement: of the answer in the contexts,
+    of the question in the answer, of the contexts in the reference, of the
+    reference in the contexts; null where the whole has no words.
+    """
+    part = lambda a, b: let(a, lambda x: F.when(F.size(x) > 0, F.round(F.size(F.array_intersect(x, b)) / F.size(x), 6)))
+    w = {c: word_set(F.coalesce(F.col(c), F.lit(""))) for c in ("question", "answer", "ground_truth", "contexts")}
+    return records.select(
+        "*", part(w["answer"], w["contexts"]).alias("faithfulness_overlap"), part(w["question"], w["answer"]).alias("relevancy_overlap"),
+        part(w["contexts"], w["ground_truth"]).alias("precision_overlap"), part(w["ground_truth"], w["contexts"]).alias("recall_overlap"),
+    )

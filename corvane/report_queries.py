@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import chunking, context, reports, viewer, vision
-from corvane.queries import _CHUNKS, _CHUNK_ID, _PAGES, _chunks, _collapse, _pages, query, table
+from corvane.operators import chunking, context, reports, runs, viewer, vision
+from corvane.queries import _BM25, _CHUNKS, _CHUNK_ID, _PAGES, _chunks, _collapse, _keyword_hits, _pages, _wset, query, table
 
 # ---- evaluation records
 
@@ -301,3 +301,31 @@ def q_rectangles_anchored(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT page_id, lower(regexp_extract(url, '[^.]*$')) AS suffix, substr({_collapse('html')}, 1, 200) AS snippet FROM pages")
 def q_page_snippets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", T.suffix(F.col("url")).alias("suffix"), T.snippet(F.col("html")).alias("snippet"))
+
+
+# ---- stand-ins for judged metrics, and what is left of a run
+
+
+@query(f"""WITH {_BM25}, c AS (SELECT item_id, doc_id FROM kw WHERE rank = 1), x AS (SELECT c.item_id AS id, {_wset("coalesce(b.text, '')")} AS q, {_wset("coalesce(d.text, '')")} AS cx, {_wset("coalesce(substr(d.text, 1, 300), '')")} AS a, {_wset("coalesce(substr(b.text, 40), '')")} AS g FROM c JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id))
+SELECT id, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, cx)) / len(a), 6) END AS faithfulness_overlap, CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, a)) / len(q), 6) END AS relevancy_overlap,
+ CASE WHEN len(cx) > 0 THEN round(len(list_intersect(cx, g)) / len(cx), 6) END AS precision_overlap, CASE WHEN len(g) > 0 THEN round(len(list_intersect(g, cx)) / len(g), 6) END AS recall_overlap FROM x""")
+def q_overlap_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    best = _keyword_hits(spark, sf, 1).select(F.col("item_id").alias("id"), "doc_id")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"), F.substring("text", 40, 1 << 30).alias("ground_truth"))
+    found = table(spark, sf, "documents").select("doc_id", F.col("text").alias("contexts"), F.substring("text", 1, 300).alias("answer"))
+    rows = runs.overlap_metrics(best.join(asked, "id").join(found, "doc_id"))
+    return rows.select("id", "faithfulness_overlap", "relevancy_overlap", "precision_overlap", "recall_overlap")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id IN (3, 5, 8, 13, 21, 34) ORDER BY doc_id LIMIT 4")
+def q_select_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """The ids and the limit are the feature."""
+    rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("ordinal"))
+    return runs.select_questions(rows, ["3", "5", "8", "13", "21", "34"], 4).select(F.col("ordinal").alias("id"))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def q_resume_run(spark: SparkSession, sf: str) -> DataFrame:
+    config = table(spark, sf, "region").select(F.col("r_name").alias("key"), F.col("r_regionkey").cast("string").alias("value"))
+    ids = lambda name: table(spark, sf, name).select(F.col("doc_id").alias("id"))
+    return runs.resume(ids("documents"), ids("labels"), config, config)

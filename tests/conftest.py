@@ -21,6 +21,8 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1")  # many small jobs: compiling well takes longer than it saves
+        .config("spark.sql.ui.retainedExecutions", "5")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
