@@ -10,8 +10,12 @@ over are packed greedily: laid end to end and cut at the windows' ends.
 Only the histogram comes to the driver; pieces find their window by their rank
 in their class, a distributed prefix sum.
 
-Defined results: a null text is empty; every document has at least the end id;
-repeated rows are separate documents; an empty table gives no rows.
+Defined results: a null text is empty; texts of any length are read whole, in
+one row; every document has at least the end id; equal documents are packed each on its
+own, and pieces of a class go to its windows in the order of their rows' hashes;
+repeated rows are separate documents; an empty table gives no rows; columns
+other than doc_id, text and the row number ``common.ROW`` are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,7 @@ class PackConfig:
     window: int = 2048
     grain: int = 16
     end_id: int = 1
-    cache_words: int = 250_000  # per Python worker
+    cache_words: int = 500_000  # per Python worker, some 100 MB
 
 
 def default_tokenizer() -> str:
@@ -62,7 +66,9 @@ class WordTokenizer:
     """
 
     PLAIN = re.compile(r"[\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ]*\Z")
-    STOP = re.compile(r"(?<=[a-zß-öø-ÿ])[.,](?=[\t\n\x0b\x0c\r ]|\Z)")
+    #: A full stop or comma after a letter and before white space or the end; its own character first, which is found fastest.
+    STOP = re.compile(r"\.(?<=[a-zß-öø-ÿ]\.)(?=[\t\n\x0b\x0c\r ]|\Z)")
+    COMMA = re.compile(r",(?<=[a-zß-öø-ÿ],)(?=[\t\n\x0b\x0c\r ]|\Z)")
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
     SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
     #: Marks a word that goes through the whole tokenizer.
@@ -76,6 +82,7 @@ class WordTokenizer:
         self.special = [t["content"] for t in spec["added_tokens"]]
         spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
         self.bare = Tokenizer.from_str(json.dumps(spec))
+        self.stop = self.bare.encode(".", add_special_tokens=False).ids
         self.most = cache_words
         self.place: dict[str, int] = {}
         self.starts = np.zeros(1, dtype=np.int64)
@@ -97,42 +104,62 @@ class WordTokenizer:
         self.uses = np.ones(len(keep), dtype=np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        alone = [w for w in words if w.isalpha()]
-        cut = {w: self.PIECE.findall(w) for w in words if w[0] != self.WHOLE and not w.isalpha()}
-        odd = [w for w in words if w[0] == self.WHOLE]
+        alone, rest = [], []
+        for w in words:
+            (alone if w.isalpha() else rest).append(w)
+        cut = {w: self.PIECE.findall(w) for w in rest if w[0] != self.WHOLE}
+        odd = [w for w in rest if w[0] == self.WHOLE]
         parts = list({p for ps in cut.values() for p in ps})
-        code = lambda p: p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE)
-        ids = [e.ids for e in self.bare.encode_batch_fast(list(map(code, alone)), add_special_tokens=False)]
-        pieces = {p: e.ids for p, e in zip(parts, self.bare.encode_batch_fast(list(map(code, parts)), add_special_tokens=False), strict=True)}
-        ids += [list(chain.from_iterable(map(pieces.__getitem__, ps))) for ps in cut.values()]
+        pieces = {p: e.ids for p, e in zip(parts, self.bare.encode_batch_fast(self._bytes(parts), add_special_tokens=False), strict=True)}
+        ids = [list(chain.from_iterable(map(pieces.__getitem__, ps))) for ps in cut.values()]
         ids += [e.ids for e in self.full.encode_batch_fast([w[1:] for w in odd], add_special_tokens=False)]
         words = [*alone, *cut, *odd]
         first = len(self.starts) - 1
         self.place.update(zip(words, range(first, first + len(words)), strict=True))
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        flat, sizes = self._letters(alone)
+        lengths = np.concatenate([sizes, np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))])
+        more = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths[len(sizes) :].sum()))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum()))])
+        self.ids = np.concatenate([self.ids, flat, more])
         self.uses = np.concatenate([self.uses, np.zeros(len(words), dtype=np.int64)])
 
+    @staticmethod
+    def _bytes(words: list[str]) -> list[str]:
+        """Words in the byte-level alphabet."""
+        return [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE) for w in words]
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters one after the other, and how many each has: many words at a time, a full stop, which no such word has, after each."""
+        coded = self._bytes(words)
+        texts = [" . ".join(coded[i : i + 1_000]) + " ." for i in range(0, len(coded), 1_000)]
+        flat = np.fromiter(chain.from_iterable(e.ids for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)), dtype=np.uint32)
+        ends = np.flatnonzero(flat == self.stop[0])
+        if len(self.stop) != 1 or len(ends) != len(words):  # a vocabulary in which that is not so
+            ids = [e.ids for e in self.bare.encode_batch_fast(coded, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(ids), dtype=np.uint32), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return flat[flat != self.stop[0]], np.diff(ends, prepend=-1) - 1
+
     def _words(self, text: str) -> list[str]:
         if self.PLAIN.match(text) and not any(s in text for s in self.special):
-            return self.STOP.sub(r" \g<0>", text.lower()).split()
+            return self.COMMA.sub(" ,", self.STOP.sub(" .", text.lower())).split()
         return [self.WHOLE + w for w in self.SPACE.split(text) if w]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.place) > self.most:
             self._forget()
         words = [self._words(t) for t in texts]
-        new = set().union(*words).difference(self.place)
-        if new:
-            self._learn(list(new))
         counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(counts.sum()))
+        flat = list(chain.from_iterable(words))
+        at = np.fromiter(map(self.place.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            unknown = list(map(flat.__getitem__, missing.tolist()))
+            self._learn(list(dict.fromkeys(unknown)))
+            at[missing] = np.fromiter(map(self.place.__getitem__, unknown), dtype=np.int64, count=len(unknown))
         self.uses += np.bincount(at, minlength=len(self.uses))
         lengths = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(lengths)
-        flat = np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
-        ids = self.ids[flat]
+        ids = self.ids[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
         words_end = np.cumsum(counts)
         id_end = np.concatenate([[0], ends])[words_end] if len(words_end) else words_end
         return np.split(ids, id_end[:-1])
