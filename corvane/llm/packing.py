@@ -41,7 +41,7 @@ class PackConfig:
     window: int = 2048
     grain: int = 16
     end_id: int = 1
-    cache_words: int = 500_000  # per Python worker, some 100 MB
+    cache_words: int = 250_000  # per Python worker, some 50 MB
 
 
 def default_tokenizer() -> str:
