@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import jaccard, word_set, words
 
+# fixed value: the share of common words from which two passages are one
 NEAR_DUPLICATE = 0.9
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Gate:
+    # fixed values: at or above the high score passages suffice, below the low one they do not
     high: float = 0.90
     low: float = 0.78
 

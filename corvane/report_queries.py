@@ -329,3 +329,9 @@ def q_resume_run(spark: SparkSession, sf: str) -> DataFrame:
     config = table(spark, sf, "region").select(F.col("r_name").alias("key"), F.col("r_regionkey").cast("string").alias("value"))
     ids = lambda name: table(spark, sf, name).select(F.col("doc_id").alias("id"))
     return runs.resume(ids("documents"), ids("labels"), config, config)
+
+
+@query(f"WITH {_PAGES}, m AS (SELECT DISTINCT o_orderkey AS source_doc FROM orders WHERE o_orderstatus = 'F') SELECT source_doc, page, source_doc IN (SELECT source_doc FROM m) AS chart_dense FROM pg")
+def q_chart_dense(spark: SparkSession, sf: str) -> DataFrame:
+    manifest = table(spark, sf, "orders").select(F.col("o_orderkey").alias("filename"), F.when(F.col("o_orderstatus") == "F", "yes").otherwise("no").alias("has_tables_charts"))
+    return vision.flag_chart_dense(_pages(spark, sf).drop("chart_dense"), manifest).select("source_doc", "page", "chart_dense")
