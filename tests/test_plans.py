@@ -2,6 +2,7 @@
 
 import io
 import os
+import time
 import zipfile
 from dataclasses import replace
 
@@ -224,8 +225,11 @@ def test_stream_of_turns(spark, sf, tmp_path):
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
     os.symlink(f"{sf}/conversations.parquet", tmp_path / "conversations.parquet")
     stream = sessions.last_turns(spark.readStream.schema(turns.schema).parquet(str(tmp_path)))
+    # with a processing-time timeout there is always another batch: the first one with rows is waited for
     q = stream.writeStream.outputMode("update").format("memory").queryName("turns").start()
-    q.processAllAvailable()
+    end = time.time() + 90
+    while time.time() < end and q.isActive and not any(p.numInputRows for p in q.recentProgress):
+        time.sleep(0.2)
     q.stop()
     want = {}
     for r in sorted(turns.collect(), key=lambda r: (r.conv_id, r.turn)):
