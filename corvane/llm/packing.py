@@ -132,7 +132,8 @@ class WordTokenizer:
         """Ids of words of letters one after the other, and how many each has: many words at a time, a full stop, which no such word has, after each."""
         coded = self._bytes(words)
         texts = [" . ".join(coded[i : i + 1_000]) + " ." for i in range(0, len(coded), 1_000)]
-        flat = np.fromiter(chain.from_iterable(e.ids for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)), dtype=np.uint32)
+        some = (self.bare.encode_batch_fast(texts[i : i + 8], add_special_tokens=False) for i in range(0, len(texts), 8))  # their encodings are large
+        flat = np.fromiter(chain.from_iterable(e.ids for own in some for e in own), dtype=np.uint32)
         ends = np.flatnonzero(flat == self.stop[0])
         if len(self.stop) != 1 or len(ends) != len(words):  # a vocabulary in which that is not so
             ids = [e.ids for e in self.bare.encode_batch_fast(coded, add_special_tokens=False)]
