@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import exact_dedup, flac, langid, mixing, packing, pii, sentence_dedup, sharding, simhash, suffix_dedup
+from corvane.llm import exact_dedup, flac, langid, lexical, mixing, packing, pii, sentence_dedup, sharding, simhash, suffix_dedup, warc, whitening
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +60,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(_docs(spark, sf_dir)))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical.search(lexical.build(_docs(spark, sf_dir), queries=items), items)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_sharding, op2_nnls_packing, op3_sentence_spans, op4_radix_dedup, op5_suffix_family, op6_flac, op7_compression_langid, op8_simhash, op9_mixing, op10_pii)
-}
+    f.__name__: f
+    for f in (
+        op1_best_fit_sharding, op2_nnls_packing, op3_sentence_spans, op4_radix_dedup, op5_suffix_family, op6_flac, op7_compression_langid,
+        op8_simhash, op9_mixing, op10_pii, op11_warc, op12_whitening, op13_inverted_treaps,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_radix_dedup": r"""
@@ -76,4 +93,40 @@ ORACLE_SQL: dict[str, str] = {
                sha256(norm) AS text_sha256
         FROM n WINDOW g AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id)
     """,
+    "op11_warc": r"""
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages
+        ), g AS (
+            SELECT page_id, n, sha1(body) AS d, max(page_id) OVER (PARTITION BY body) AS lead FROM p
+        )
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> lead THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> lead THEN lead END AS refers_to
+        FROM g
+    """,
+    "op13_inverted_treaps": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS ts
+            FROM documents WHERE text IS NOT NULL
+        ), d AS (
+            SELECT row_number() OVER () AS row, doc_id, ts, CAST(len(ts) AS BIGINT) AS n FROM words WHERE len(ts) > 0
+        ), corpus AS (
+            SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(n) AS BIGINT) AS l FROM d
+        ), asked AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term
+            FROM benchmark WHERE text IS NOT NULL
+        ), times AS (
+            SELECT item_id, term, count(*) AS c FROM asked GROUP BY ALL
+        ), post AS (
+            SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * max(nd) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM post, corpus GROUP BY term
+        ), impacts AS (
+            SELECT row, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // l)) AS i FROM post, corpus
+        ), scores AS (
+            SELECT item_id, row, doc_id, CAST(sum(c * w * i) AS BIGINT) AS score FROM times JOIN weights USING (term) JOIN impacts USING (term) GROUP BY ALL
+        )
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, row) AS rank FROM scores WHERE score > 0) WHERE rank <= 20
+    """,
 }
