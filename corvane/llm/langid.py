@@ -6,11 +6,14 @@ spaces.  A text is cut into segments, every segment is compressed with every
 dictionary, and the language with the least total size wins; the whole text is
 always used.  A narrow margin over the second language rejects.
 
-Sizes are whole bytes, which tie.  Where the first two languages are within
-``tie_bytes``, or the margin is narrow, they are compared again by a fractional
-code length: the bits of the text's characters under a context model of each
-dictionary.  The text is rejected only where that margin is narrow too.  The
-rules are the same for texts of every length.
+Sizes are whole bytes, which tie on short texts, where zstandard also stores
+what it can not shorten as it is.  Where the first two languages are within
+``tie_bytes``, or the margin is narrow, the measure is made finer, by
+compression again: each dictionary is cut into ``fine_parts`` smaller ones, a
+segment is repeated up to ``fine_bytes`` behind each of them, so that it is
+never stored as it is, and the sizes are added up.  A word is then cheap in as
+many parts as have it.  Where that margin is narrow too the text is rejected.
+The rules are the same for texts of every length.
 
 Training reads whole texts, at most ``sample_docs`` different ones of each
 language and ``sample_chars`` characters together: those with the least hashes
@@ -18,8 +21,7 @@ of the text, texts longer than ``sample_chars`` last, but always one.  These
 bounds are the only sampling.
 
 Defined results: a text without a letter or null gives ``und`` with score 0 and
-is rejected; ties go to the smaller language name; a text of a narrow margin
-with no letter that any dictionary has is rejected; a text of any length is read whole;
+is rejected; ties go to the smaller language name and are rejected; a text of any length is read whole;
 equal texts get equal results, repeated rows each theirs; with no training rows
 every text is ``und``; an empty table gives no rows; input columns called
 lang_pred, score or rejected are replaced, all others stay.  More than
@@ -28,9 +30,7 @@ lang_pred, score or rejected are replaced, all others stay.  More than
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -50,8 +50,10 @@ class LangConfig:
     segment_bytes: int = 4_096
     level: int = 5
     min_margin: float = 0.005  # of the second language's size
-    tie_bytes: int = 3  # sizes this near are compared again by the context models
-    context: int = 3  # characters before one, in the context models
+    tie_bytes: int = 3  # sizes this near are measured again, finer
+    fine_parts: int = 32  # dictionaries that each is cut into for that, at most
+    fine_least: int = 1_024  # bytes of such a part, at least
+    fine_bytes: int = 128  # to which a shorter segment is repeated
     most_languages: int = 1_024
 
 
@@ -92,37 +94,10 @@ def train(docs: DataFrame, train_if: Column, config: LangConfig = LangConfig())
     return [(lang, letters("\n".join(t for _, t in sorted(found[lang])))) for lang in sorted(found)]
 
 
-class ContextModel:
-    """Counts of a dictionary's character runs, and the bits of a text under them."""
-
-    def __init__(self, data: bytes, context: int):
-        text = data.decode(errors="ignore")
-        self.runs = [Counter(zip(*[text[k:] for k in range(n)], strict=False)) for n in range(1, context + 2)]
-        self.seen: list[dict[tuple[str, ...], tuple[int, int]]] = []  # of each context: occurrences, different characters after it
-        for runs in self.runs:
-            total, kinds = Counter(), Counter()
-            for run, n in runs.items():
-                total[run[:-1]] += n
-                kinds[run[:-1]] += 1
-            self.seen.append({c: (n, kinds[c]) for c, n in total.items()})
-        self.letters = {run[0] for run in self.runs[0]}
-
-    def cost(self, run: tuple[str, ...]) -> float:
-        """Bits of the run's last character after the others."""
-        p = 1 / 256
-        for n, (runs, seen) in enumerate(zip(self.runs, self.seen, strict=True)):  # from no context to the longest
-            if len(run) <= n or (found := seen.get(run[len(run) - 1 - n : -1])) is None:
-                break
-            total, kinds = found
-            p = (runs.get(run[len(run) - 1 - n :], 0) + kinds * p) / (total + kinds)
-        return -math.log2(p)
-
-
-def text_runs(text: str, context: int) -> dict[tuple[str, ...], int]:
-    """Every character of the text with those before it, and how often."""
-    out = Counter(tuple(text[:n]) for n in range(1, min(context, len(text)) + 1))
-    out.update(zip(*[text[k:] for k in range(context + 1)], strict=False))
-    return out
+def cut(data: bytes, parts: int) -> list[bytes]:
+    """A dictionary in parts of about equal length, none empty."""
+    step = max(1, -(-len(data) // parts))
+    return [data[i : i + step] for i in range(0, len(data), step)]
 
 
 def guesser(model: list[tuple[str, bytes]], config: LangConfig = LangConfig()) -> Callable[[str | None], tuple[str, float, bool]]:
@@ -136,7 +111,7 @@ def guesser(model: list[tuple[str, bytes]], config: LangConfig = LangConfig()) -
 
     coders = [coder(data) for _, data in model]
     frame = 6  # bytes of frame and block headers, the same for all languages
-    contexts: list[ContextModel] = []
+    fine: list[list[zstandard.ZstdCompressor]] = []  # made when first needed
 
     def lead(sizes: list[float]) -> tuple[int, float, float]:
         """The least, its distance from the second, and that as a share of the second."""
@@ -150,15 +125,11 @@ def guesser(model: list[tuple[str, bytes]], config: LangConfig = LangConfig()) -
         parts = [data[i : i + config.segment_bytes] for i in range(0, len(data), config.segment_bytes)]
         best, ahead, margin = lead([sum(max(1, len(c.compress(p)) - frame) for p in parts) for c in coders])
         if (margin < config.min_margin or ahead < config.tie_bytes) and len(model) > 1:
-            if not contexts:
-                contexts.extend(ContextModel(d, config.context) for _, d in model)
-            # framed by spaces, so that the ends of words count; letters no dictionary has say nothing
-            known = set().union(*[c.letters for c in contexts])
-            line = f" {''.join(ch for ch in data.decode() if ch in known).strip()} "
-            if not line.strip():
-                return model[best][0], 0.0, True
-            runs = text_runs(line, config.context)
-            best, _, margin = lead([sum(n * c.cost(run) for run, n in runs.items()) for c in contexts])
+            if not fine:
+                fine.extend([coder(p) for p in cut(d, max(1, min(config.fine_parts, len(d) // config.fine_least)))] for _, d in model)
+            framed = [b" " + p.strip() + b" " for p in parts]
+            framed = [p * -(-config.fine_bytes // len(p)) for p in framed]
+            best, _, margin = lead([sum(max(1, len(c.compress(p)) - frame) for c in own for p in framed) / len(own) for own in fine])
         return model[best][0], min(1.0, margin), margin < config.min_margin
 
     return guess
