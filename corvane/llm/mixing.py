@@ -10,10 +10,13 @@ source's permuted blocks and orders their documents by a seeded hash
 (``order_key``; ``shuffled`` lays the rows out so).
 
 The part of a pass takes permuted blocks while they fit, then documents of the
-block at the boundary, in a seeded order, while they fit (a prefix sum), and
-last the one document of the source, among those not taken, whose size comes
-nearest to what is still open.  Equal rows are counted before they are ranked,
-so a document that repeats without end is one entry of these sums.
+block at the boundary, in a seeded order, while they fit (a prefix sum).  What
+is then still open is filled from all documents of the source that are not
+taken, the largest sizes first, as many of a size as there are and fit, until
+none fits; last one more of the least size, where that comes nearer.  So a
+source's words differ from its target by at most half the least size that is
+left.  Sizes are counted, and equal rows are counted before they are ranked, so
+that neither a common size nor a document that repeats without end is one task's.
 
 Defined results: sources are ranked by code point with null last; a null text
 has no words, and a text of any length counts whole; a source without words
@@ -30,6 +33,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,11 +81,11 @@ def split_tree(draws: list[int], shards: int, rng: np.random.Generator) -> np.nd
     return np.vstack([split_tree([int(x) for x in left], left_shards, rng), split_tree([int(x) for x in right], shards - left_shards, rng)])
 
 
-def _boundary(rows: DataFrame, cells: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """What the further pass takes beside whole blocks: (classes of equal rows taken whole, classes taken in part).
+def _boundary(rows: DataFrame, cells: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the further pass takes of the blocks at the boundary: (classes of equal rows taken whole, classes taken in part, the words that each source has open then).
 
     ``rows`` have k, h, size, extra (1 in the block at the boundary, 0 beyond) and room, the words open there.
-    A source has at most two classes taken in part.
+    A source has at most one class taken in part.
     """
     ticket = F.xxhash64(F.lit(seed), F.lit("edge"), "h")
     classes = rows.filter("extra = 1 AND size > 0").groupBy("k", "h", "size", "room").agg(F.count(F.lit(1)).alias("n")).withColumn("ticket", ticket)
@@ -92,11 +96,42 @@ def _boundary(rows: DataFrame, cells: int, seed: int) -> tuple[DataFrame, DataFr
     still = rows.filter("extra = 1").groupBy("k").agg(F.max("room").alias("room"))  # one row a source, as every broadcast here
     spent = edge.groupBy("k").agg(F.sum(F.col("m") * F.col("size")).alias("spent"))
     still = still.join(F.broadcast(spent), "k", "left").select("k", (F.col("room") - F.coalesce("spent", F.lit(0))).alias("open"))
-    others = rows.filter("extra = 0 AND size > 0").select("k", "h", "size").unionByName(edge.filter("m < n").select("k", "h", "size"))
-    others = others.join(F.broadcast(still), "k").withColumn("gap", F.abs(F.col("size") - F.col("open"))).filter("gap < open")
-    fill = others.groupBy("k").agg(F.min(F.struct("gap", ticket.alias("t"), "h", "size")).alias("x")).select("k", "x.h", "x.size", F.lit(1).cast("long").alias("take"))
-    part = edge.filter("m > 0 AND m < n").select("k", "h", "size", F.col("m").alias("take")).unionByName(fill)
-    return edge.filter("m = n").select("k", "h", "size", "n"), part.groupBy("k", "h", "size").agg(F.sum("take").alias("take"))
+    part = edge.filter("m > 0 AND m < n").select("k", "h", "size", F.col("m").alias("take"))
+    return edge.filter("m = n").select("k", "h", "size", "n"), part, materialize(still.filter("open > 0"), "mix-open")
+
+
+def fill(sizes: list[int], counts: list[int], room: int) -> dict[int, int]:
+    """How many of each size fill the room: the largest first while they fit, then one of the least size left if that comes nearer."""
+    out: dict[int, int] = {}
+    left = dict(zip(sizes, counts, strict=True))
+    for size in sorted(left, reverse=True):
+        if (m := min(left[size], room // size)) > 0:
+            out[size], room = m, room - m * size
+            left[size] -= m
+    least = min((s for s, n in left.items() if n > 0), default=None)
+    if least is not None and least - room < room:
+        out[least] = out.get(least, 0) + 1
+    return out
+
+
+def _filled(rows: DataFrame, still: DataFrame, n_rows: int, seed: int) -> DataFrame:
+    """``rows`` (k, h, size, rid, taken, ...) with those taken that fill what each source has open."""
+    free = rows.filter("taken IS NULL AND size > 0")
+    sizes = free.join(F.broadcast(still), "k").filter(F.col("size") < 2 * F.col("open")).groupBy("k", "size", "open").agg(F.count(F.lit(1)).alias("n"))
+
+    def plan(own: pd.DataFrame) -> pd.DataFrame:
+        picked = fill(own["size"].tolist(), own["n"].tolist(), int(own["open"].iloc[0]))
+        own = own[own["size"].isin(list(picked))]
+        return pd.DataFrame({"k": own["k"], "size": own["size"], "n": own["n"], "take": own["size"].map(picked)})
+
+    # a source of W words has at most sqrt(2 W) different sizes
+    plans = materialize(sizes.groupBy("k").applyInPandas(plan, "k int, size long, n long, take long"), "mix-fill")
+    tagged = skew_join(free, plans.withColumnRenamed("take", "fill"), ["k", "size"], "n", n_rows, ["rid"], "left").drop("n")
+    tagged = materialize(tagged.withColumn("ticket", F.xxhash64(F.lit(seed), F.lit("fill"), "h")), "mix-fill")
+    picked = prefix_sum(tagged.filter("fill IS NOT NULL"), ["k", "size"], ["ticket", "rid"], F.lit(1), "rank", cells_for(n_rows))
+    picked = picked.withColumn("taken", F.when(F.col("rank") < F.col("fill"), 1)).drop("rank")
+    out = tagged.filter("fill IS NULL").unionByName(picked).drop("fill", "ticket")
+    return rows.filter("taken IS NOT NULL OR size = 0").unionByName(out)
 
 
 def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
@@ -137,14 +172,15 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     rows = skew_join(rows.drop("n_blocks", "part"), blocks.select("k", "block", "n", "extra", "room"), ["k", "block"], "n", n_rows, ["rid"]).drop("n")
     rows = materialize(rows, "mix-placed")
     edge_cells = cells_for(block_words)
-    full, some = _boundary(rows, edge_cells, seed)
+    full, some, still = _boundary(rows, edge_cells, seed)
     one = F.lit(1)
     in_edge = skew_join(rows.filter("extra = 1"), full.withColumn("taken", one), ["k", "h", "size"], "n", n_rows, ["rid"], "left").drop("n")
     rows = rows.filter("extra <> 1").withColumn("taken", F.when(F.col("extra") == 2, one)).unionByName(in_edge)
     rows = materialize(rows.join(F.broadcast(some), ["k", "h", "size"], "left"), "mix-taken")
     chosen = prefix_sum(rows.filter("take IS NOT NULL"), ["k", "h", "size"], ["rid"], one, "rank", cells_for(n_rows))
     chosen = chosen.withColumn("taken", F.when(F.col("rank") < F.col("take"), one)).drop("rank")
-    rows = rows.filter("take IS NULL").unionByName(chosen).withColumn("copies", F.col("whole") + F.coalesce("taken", F.lit(0)))
+    rows = materialize(rows.filter("take IS NULL").unionByName(chosen).drop("take"), "mix-chosen")
+    rows = _filled(rows, still, n_rows, seed).withColumn("copies", F.col("whole") + F.coalesce("taken", F.lit(0)))
 
     # draws: every block once per whole pass, and the blocks of the further pass
     present = {r["k"]: (int(r["n"]), int(r["x"])) for r in blocks.groupBy("k").agg(F.count(one).alias("n"), F.sum((F.col("extra") > 0).cast("long")).alias("x")).toLocalIterator()}
@@ -161,7 +197,7 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     homes = drawn.groupBy("k", "block").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("homes"))
     out = skew_join(rows, homes, ["k", "block"], "n", n_rows, ["rid"], "left")
     shards = F.slice(F.coalesce(F.transform("homes", lambda x: x["shard"]), F.array().cast("array<int>")), F.lit(1), F.col("copies"))
-    # the one document that fills up a source may be of a block that is not drawn again
+    # documents that fill up a source may be of a block that is not drawn again
     spare = F.array(F.pmod(F.xxhash64(F.lit(seed), F.lit("fill"), "h"), F.lit(config.shards)).cast("int"))
     out = out.withColumn("shards", shards).withColumn("shards", F.when(F.size("shards") < F.col("copies"), F.concat("shards", spare)).otherwise(F.col("shards")))
     return out.select("rid", "doc_id", "source", "size", "source_size", "target", "copies", "shards", F.xxhash64(F.lit(seed + 1), "h").alias("order_key"))

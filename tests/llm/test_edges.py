@@ -250,6 +250,28 @@ def test_mixing_comes_near_and_splits_one_row_repeated(spark):
     assert len(per_shard) == 16
 
 
+def test_an_oversized_document_leaves_no_gap(spark):
+    """One document of each source is nearly as long as the rest together: whatever block it is in, the others fill up to the target."""
+    rng = random.Random(9)
+    rows = []
+    for source in "abcdef":
+        rows += [(len(rows) + i, "w " * rng.randrange(2, 90), source) for i in range(60)] + [(len(rows) + 60, "w " * 2_500, source)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target, free = Counter(), {}, defaultdict(list)
+    for r in got:
+        taken[r.source] += r["size"] * r.copies
+        target[r.source] = r.target
+        if r.copies == int(r.target // r.source_size):
+            free[r.source].append(r["size"])
+    assert len(target) == 6 and all(not free[s] or abs(taken[s] - t) <= min(free[s]) / 2 + 0.5 for s, t in target.items())
+
+
+def test_fill_takes_the_largest_first_and_then_the_nearer():
+    assert mixing.fill([5, 3, 2], [1, 4, 9], 13) == {5: 1, 3: 2, 2: 1}
+    assert mixing.fill([10], [3], 6) == {10: 1} and mixing.fill([10], [3], 4) == {} and mixing.fill([], [], 4) == {}
+    assert mixing.fill([4, 9], [2, 1], 16) == {9: 1, 4: 2} and mixing.fill([4, 9], [2, 1], 15) == {9: 1, 4: 1}
+
+
 def plain_mix_targets(sizes, weights, most=3.0):
     """Shares by bisection on the water level."""
     total, low, high = sum(sizes), 0.0, 1e9

@@ -621,13 +621,17 @@ def check_mix(got, rows, config=mixing.MixConfig()):
     target = dict(zip(names, mixing.water_fill([per[n] for n in names], [1.0 + i % 3 for i in range(len(names))], 3.0)))
     assert abs(sum(target.values()) - sum(size)) < 1e-6 * max(1, sum(size)) and all(t <= 3 * per[n] + 1e-9 for n, t in target.items())
     assert Counter((r.doc_id, r["size"]) for r in got) == Counter((r[0], s) for r, s in zip(rows, size))
-    taken, longest = Counter(), Counter()
+    taken, longest, free = Counter(), Counter(), defaultdict(list)
     for r in got:
         assert r.source_size == per[r.source] and abs(r.target - target[r.source]) < 1e-6
         assert 0 <= r.copies <= 3 and len(r.shards) == r.copies and all(0 <= s < config.shards for s in r.shards)
         taken[r.source] += r["size"] * r.copies
         longest[r.source] = max(longest[r.source], r["size"])
+        if r["size"] and r.copies == int(target[r.source] // per[r.source]):
+            free[r.source].append(r["size"])
     for n in names:
+        # what is not taken would not come nearer: half of the least such document, and a half for whole words
+        assert not free[n] or abs(taken[n] - target[n]) <= min(free[n]) / 2 + 0.5, (n, taken[n], target[n], min(free[n]))
         assert abs(taken[n] - target[n]) <= max(0.02 * target[n], 0.5 * longest[n] + 1), (n, taken[n], target[n])
 
 
