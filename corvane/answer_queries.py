@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import answering, cache, citations, dense, extraction, ledger, sessions, web
-from corvane.queries import _ANS, _BM25, _COS, _DENSE, _PAGES, _answers, _calls, _CALLS, _collapse, _dense_hits, _keyword_hits, _pages, _refs, _with_text, query, table
+from corvane.queries import _ANS, _BM25, _COS, _DENSE, _PAGES, _answers, _calls, _CALLS, _collapse, _dense_hits, _keyword_hits, _pages, _refs, _with_text, as_models_write, query, table
 from corvane.sources.tables import saved
 
 # ---- prompts
@@ -63,7 +63,8 @@ def q_gate_passages(spark: SparkSession, sf: str) -> DataFrame:
 
 def _verdict_replies(spark: SparkSession, sf: str) -> DataFrame:
     forms = ['{"verdict": "sufficient", "reason": " r "}', '{"sufficient": false, "safe": false}', '{"verdict": "partial", "missing": " m ", "safe": true}', "no json", '{"verdict": "maybe"}', '{"sufficient": true, "reason": 3}']
-    return table(spark, sf, "labels").select("doc_id", F.element_at(F.array(*map(F.lit, forms)), (F.col("doc_id") % 6 + 1).cast("int")).alias("reply")).distinct()
+    form = F.element_at(F.array(*map(F.lit, forms)), (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(spark, sf, "labels").select("doc_id", as_models_write(form, F.col("doc_id")).alias("reply")).distinct()
 
 
 @query("""SELECT DISTINCT doc_id, [('sufficient'), 'insufficient', 'partial', NULL, NULL, 'sufficient'][doc_id % 6 + 1] AS verdict, ['r', '', '', NULL, NULL, '3'][doc_id % 6 + 1] AS reason, CASE WHEN doc_id % 6 = 2 THEN 'm' ELSE '' END AS missing FROM labels""")
@@ -83,7 +84,7 @@ def q_verify_fail_closed(spark: SparkSession, sf: str) -> DataFrame:
     entry = lambda i, ok: F.struct(F.lit(i).alias("index"), ok.alias("supported"), F.lit("").alias("reason"))
     safe = F.when(F.col("doc_id") % 3 == 1, "pass").when(F.col("doc_id") % 3 == 2, "fail").otherwise("unsure")
     body = F.to_json(F.struct(F.array(entry(0, F.col("quality") == 1), entry(1, F.col("toxic") == 0)).alias("claims"), F.struct(safe.alias("verdict")).alias("safety")))
-    replies = table(spark, sf, "labels").select(F.col("doc_id").alias("qid"), body.alias("reply"))
+    replies = table(spark, sf, "labels").select(F.col("doc_id").alias("qid"), as_models_write(body, F.col("doc_id")).alias("reply"))
     claim_rows = replies.select("qid").distinct().select("qid", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("claim"))
     scores = answering.verify(claim_rows, replies, citations.verdicts(replies))[1]
     return scores.select("qid", F.round("score", 6).alias("score"), "claims", "safety")

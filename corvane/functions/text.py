@@ -153,3 +153,16 @@ def sse_parts(frame: Column) -> Column:
     lines = F.split(frame, "\n")
     after = lambda name: F.transform(F.filter(lines, lambda x: x.startswith(name)), lambda x: F.trim(F.substring(x, len(name) + 1, 1 << 30)))
     return F.struct(F.get(after("event:"), F.lit(0)).alias("event"), F.array_join(after("data:"), "\n").alias("data"))
+
+
+def first_json(reply: Column) -> Column:
+    """The first JSON object in a model's reply, as its text: alone, in a code fence or amid prose; null where there is none.
+
+    A name that an object has twice makes it none.
+    """
+    def spans(body: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1))), lambda i: F.substring(body, i, F.lit(1)) == "{")
+        found = F.transform(places, lambda i: F.to_json(F.try_parse_json(F.substring(body, i, F.length(body)))))
+        return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+
+    return let(reply, spans)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import collapse, markers, sanitize
+from corvane.functions.text import collapse, first_json, let, markers, sanitize
 from corvane.operators.citations import apply_verdicts, claims, groundedness, has_marker, marker_rows, rewrite
 
 # fixed values: limits of what a model is shown, and the answer that nothing supports
@@ -57,22 +57,25 @@ def gate_passages(candidates: DataFrame, most: int = GATE_PASSAGES, chars: int =
 
 
 def parse_verdict(reply: Column) -> Column:
-    """(verdict, reason, missing) of a JSON reply; the older boolean is understood, anything else has no verdict."""
-    parsed = F.from_json(reply, "struct<verdict:string,sufficient:boolean,reason:string,missing:string>")
-    named = F.coalesce(parsed["verdict"], F.when(parsed["sufficient"], "sufficient").when(~parsed["sufficient"], "insufficient"))
-    known = F.when(named.isin(*VERDICTS), named)
-    trimmed = lambda c: F.trim(F.coalesce(c, F.lit("")))
-    return F.struct(known.alias("verdict"), F.when(known.isNotNull(), trimmed(parsed["reason"])).alias("reason"), F.when(known == "partial", trimmed(parsed["missing"])).otherwise("").alias("missing"))
+    """(verdict, reason, missing) of a reply's first JSON object; the older boolean is understood, anything else has no verdict."""
+
+    def read(parsed: Column) -> Column:
+        named = F.coalesce(parsed["verdict"], F.when(parsed["sufficient"], "sufficient").when(~parsed["sufficient"], "insufficient"))
+        known = F.when(named.isin(*VERDICTS), named)
+        trimmed = lambda c: F.trim(F.coalesce(c, F.lit("")))
+        return F.struct(known.alias("verdict"), F.when(known.isNotNull(), trimmed(parsed["reason"])).alias("reason"), F.when(known == "partial", trimmed(parsed["missing"])).otherwise("").alias("missing"))
+
+    return let(F.from_json(first_json(reply), "struct<verdict:string,sufficient:boolean,reason:string,missing:string>"), read)
 
 
 def unsafe_input(reply: Column) -> Column:
-    """Only an explicit safe=false rejects a question: the classifier fails open."""
-    return ~F.coalesce(F.from_json(reply, "struct<safe:boolean>")["safe"], F.lit(True))
+    """Only an explicit safe=false, however it is wrapped, rejects a question: the classifier fails open."""
+    return ~F.coalesce(F.from_json(first_json(reply), "struct<safe:boolean>")["safe"], F.lit(True))
 
 
 def safety(reply: Column) -> Column:
     """'pass' or 'fail' of a verification reply, null where it has neither."""
-    verdict = F.from_json(reply, "struct<safety:struct<verdict:string,reason:string>>")["safety"]["verdict"]
+    verdict = F.from_json(first_json(reply), "struct<safety:struct<verdict:string,reason:string>>")["safety"]["verdict"]
     return F.when(verdict.isin("pass", "fail"), verdict)
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import MARKER_GROUP, markers, tidy
+from corvane.functions.text import MARKER_GROUP, first_json, markers, tidy
 from corvane.operators.guardrails import has_marker, is_substantive
 
 # fixed values: a group of markers, and a marker that repeats itself
@@ -74,9 +74,9 @@ def claims(answers: DataFrame, key: str = "qid", answer: str = "answer") -> Data
 
 
 def verdicts(replies: DataFrame, key: str = "qid", reply: str = "reply") -> DataFrame:
-    """key, claim, supported from JSON replies; repeated claims are AND-ed, malformed entries ignored."""
+    """key, claim, supported from the first JSON object of each reply; repeated claims are AND-ed, malformed entries ignored."""
     schema = "struct<claims:array<struct<index:int,supported:boolean,reason:string>>>"
-    rows = replies.select(key, F.explode(F.from_json(reply, schema)["claims"]).alias("c")).filter(F.col("c.index").isNotNull() & (F.col("c.index") >= 0))
+    rows = replies.select(key, F.explode(F.from_json(first_json(F.col(reply)), schema)["claims"]).alias("c")).filter(F.col("c.index").isNotNull() & (F.col("c.index") >= 0))
     return rows.groupBy(key, F.col("c.index").alias("claim")).agg(F.bool_and(F.coalesce("c.supported", F.lit(False))).alias("supported"))
 
 

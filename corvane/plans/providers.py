@@ -1,7 +1,7 @@
 """Model-backed steps behind plain functions, with deterministic defaults that run offline.
 
-Providers are called on Arrow batches and may be retried, so they must be
-idempotent.  The defaults are stand-ins, not models.
+Providers are called through ``stages.called`` and may be retried, so they must
+be idempotent.  The defaults are stand-ins, not models.
 """
 
 from __future__ import annotations

@@ -7,15 +7,17 @@ the right shape; every query reads its tables whole.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import bm25, cache, chunking, citations, context, dense, fusion, guardrails, ledger, runs, state, store, sufficiency, vision, web
-from corvane.sources.tables import kept
+from corvane.operators import bm25, cache, chunking, citations, context, dense, fusion, guardrails, ledger, runs, segments, state, store, sufficiency, vision, web
+from corvane.sources.tables import file_system, kept, table_root
+from corvane.sources.versions import VersionedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -142,6 +144,23 @@ def q_bm25_scoped(spark: SparkSession, sf: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).filter("rank <= 5").select("item_id", "lang", "doc_id", "score", "rank")
 
 
+def _segmented(spark: SparkSession, sf: str) -> segments.SegmentedIndex:
+    """All documents in three batches, those of one with other texts first, which a later batch replaces."""
+    docs, root = table(spark, sf, "documents"), f"{table_root(spark)}/tables/segments-{uuid.uuid4().hex}"
+    store = VersionedTable(spark, root)
+    store.system.deleteOnExit(file_system(spark, root)[1])
+    batch = lambda n: docs.filter(F.pmod("doc_id", F.lit(3)) == n)
+    stale = batch(1).withColumn("text", F.reverse("text"))
+    index = segments.SegmentedIndex(store, segments.SegmentConfig(fan=2)).add(batch(0)).add(stale).add(batch(2))
+    return index.replace(stale, batch(1))
+
+
+@query(f"WITH {_BM25} SELECT item_id, doc_id, score, rank FROM kw")
+def q_bm25_segmented(spark: SparkSession, sf: str) -> DataFrame:
+    """The pruned top-k over an index that was built batch by batch, with deletions and merges."""
+    return _segmented(spark, sf).top_k(table(spark, sf, "benchmark"))
+
+
 # ---- vectors
 
 
@@ -571,7 +590,14 @@ def _replies(spark: SparkSession, sf: str) -> DataFrame:
     """Labels as verdict replies in JSON, with a malformed entry in each."""
     entry = lambda i, ok: F.struct(F.lit(i).alias("index"), ok.alias("supported"), F.lit("").alias("reason"))
     body = F.to_json(F.struct(F.array(entry(0, F.col("quality") == 1), entry(1, F.col("toxic") == 0), entry(-1, F.lit(True))).alias("claims")))
-    return table(spark, sf, "labels").select(F.col("doc_id").alias("qid"), body.alias("reply"))
+    return table(spark, sf, "labels").select(F.col("doc_id").alias("qid"), as_models_write(body, F.col("doc_id")).alias("reply"))
+
+
+def as_models_write(body: Column, number: Column) -> Column:
+    """A JSON reply as it is, in a code fence, or amid prose with brackets of its own."""
+    fenced = F.concat(F.lit("```json\n"), body, F.lit("\n```"))
+    prose = F.concat(F.lit("As [1] and {this} say: "), body, F.lit(" (see {2})"))
+    return F.when(F.floor(number / 7) % 3 == 0, body).when(F.floor(number / 7) % 3 == 1, fenced).otherwise(prose)
 
 
 @query("""WITH v AS (SELECT doc_id, bool_and(quality = 1) AS a, bool_and(toxic = 0) AS b FROM labels GROUP BY doc_id)
