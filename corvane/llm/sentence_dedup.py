@@ -1,22 +1,24 @@
 """Substring deduplication over sliding sentence spans.
 
-A text is cut after sentence ends and line ends.  From every sentence starts
-one span, and at every sentence ends one: the shortest run of consecutive
-sentences with at least ``min_sentences`` sentences and ``min_words`` words.
-A longer run is covered by the spans inside it, to its last sentence, so where
-it repeats with the same cuts all of it is found.  Spans are hashed over their
-words (lower case, single spaces), joined over the whole corpus, and all
-sentences covered by any span that is not the first of its hash are removed.
-The first is the one with the least (doc_id, row, sentence).
+A text is cut after sentence ends and line ends.  A sentence of more than
+``long_words`` words is cut on, at places that its content tells: after a word
+whose hash says so, in pieces of at least ``least_words`` words, and after
+``long_words`` where no word does.  Sentences and such pieces are the units
+below.  Every run of ``run`` consecutive units with words is a span; a longer
+run that repeats is covered by the spans inside it.  Spans are hashed over
+their words (lower case, single spaces), joined over the whole corpus, and all
+units covered by any span that is not the first of its hash are removed, with
+wordless ones between them.  The first is the one with the least (doc_id, row,
+unit).
 
 The hash has 128 bits.  Its first half alone, map-side combined, tells which
 spans can repeat at all; whether they are equal is decided by both halves,
 which differ for any two spans of a corpus but for a chance of 10^-14 at 10^12
 spans.
 
-Defined results: a null or empty text has one empty sentence and returns an
+Defined results: a null or empty text has one empty unit and returns an
 empty ``kept_text`` that is not null; texts of any length are read whole; texts
-too short for a span are kept whole; repeated rows are separate documents, of
+of fewer units with words than a run are kept whole; repeated rows are separate documents, of
 which the first keeps its spans; of equal doc_ids the first row is the first; a
 null doc_id comes last; an empty table gives no rows; columns other than
 doc_id, text and the row number ``common.ROW`` are ignored, whatever their
@@ -41,57 +43,80 @@ _LOW = (1 << 64) - 1
 BOUNDARY = r"(?<=[.!?])(?=[\x20\x09])|(?<=\n)"
 
 
-@dataclass(frozen=True)
-class SpanConfig:
-    min_sentences: int = 2
-    min_words: int = 20
-
+_CUT = re.compile(BOUNDARY)
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-def sentences(text):
-    return F.split(text, BOUNDARY)
 
-
-def shortest_runs(counts: list[int], config: SpanConfig) -> Iterator[tuple[int, int]]:
-    """(first, last) of the shortest run from every sentence with words, where there is one."""
-    end, total, used = 0, 0, 0
-    for i in range(len(counts)):
-        if end < i:
-            end, total, used = i, 0, 0
-        while end < len(counts) and (total < config.min_words or used < config.min_sentences):
-            total, used, end = total + counts[end], used + (counts[end] > 0), end + 1
-        if total < config.min_words or used < config.min_sentences:
-            return
-        if counts[i]:
-            yield i, end - 1
-        total, used = total - counts[i], used - (counts[i] > 0)
+@dataclass(frozen=True)
+class SpanConfig:
+    run: int = 4  # consecutive units of a span
+    long_words: int = 12  # words of a sentence beyond which it is cut on
+    least_words: int = 4  # of a piece that its content ends
+    cut_share: int = 4  # one word in so many ends a piece
+
+
+def units(text: str, config: SpanConfig) -> tuple[list[str], list[list[str]]]:
+    """(the units of a text, which joined together are the text; the words of each, in lower case)."""
+    out, words = [], []
+    for part in _CUT.split(text):
+        found = _WORD.findall(part.lower())
+        if len(found) <= config.long_words:
+            out.append(part)
+            words.append(found)
+            continue
+        places = [m.end() for m in _WORD.finditer(part)]
+        first = at = 0
+        for k, word in enumerate(found):
+            n = k + 1 - first
+            ends = n >= config.least_words and xxhash.xxh3_64_intdigest(word) % config.cut_share == 0 or n == config.long_words
+            if ends and k + 1 < len(found):
+                out.append(part[at : places[k]])
+                words.append(found[first : k + 1])
+                first, at = k + 1, places[k]
+        out.append(part[at:])
+        words.append(found[first:])
+    return out, words
+
+
+def spans_of(words: list[list[str]], run: int) -> list[tuple[int, int]]:
+    """(first unit, last unit) of every run of units with words."""
+    full = [k for k, w in enumerate(words) if w]
+    return list(zip(full, full[run - 1 :], strict=False))
 
 
 def _spans(config: SpanConfig):
-    """Per document, (hash, first sentence, last sentence) of each span, as arrays in one pass over the text."""
-    word = re.compile(r"[^\x20\x09-\x0D]+")
+    """Per document, (hash, first unit, last unit) of each span, as arrays in one pass over the text."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out = []
-            for parts in texts:
-                words = [word.findall(p.lower()) for p in parts]
-                counts = [len(w) for w in words]
+            for text in texts:
+                _, words = units(text, config)
                 joined = [" ".join(w) for w in words]
-                runs = set(shortest_runs(counts, config))
-                runs |= {(len(parts) - 1 - j, len(parts) - 1 - i) for i, j in shortest_runs(counts[::-1], config)}
-                hashes = [xxhash.xxh3_128_intdigest(" ".join(filter(None, joined[i : j + 1]))) for i, j in sorted(runs)]
-                out.append([{"h": (h >> 64) - (1 << 63), "g": (h & _LOW) - (1 << 63), "i": i, "j": j} for h, (i, j) in zip(hashes, sorted(runs), strict=True)])
+                own = spans_of(words, config.run)
+                hashes = [xxhash.xxh3_128_intdigest(" ".join(filter(None, joined[i : j + 1]))) for i, j in own]
+                out.append([{"h": (h >> 64) - (1 << 63), "g": (h & _LOW) - (1 << 63), "i": i, "j": j} for h, (i, j) in zip(hashes, own, strict=True)])
             yield pd.Series(out)
 
     return F.pandas_udf(run, "array<struct<h:long,g:long,i:int,j:int>>")
 
 
+def _units(config: SpanConfig):
+    """The units of each text."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([units(t, config)[0] for t in texts])
+
+    return F.pandas_udf(run, "array<string>")
+
+
 def dedup_spans(docs: DataFrame, config: SpanConfig = SpanConfig()) -> DataFrame:
-    """doc_id, n_sentences, n_removed, removed (sentence numbers), kept_text for every row."""
+    """doc_id, n_sentences, n_removed, removed (unit numbers), kept_text for every row; units are counted as sentences."""
     if ROW not in docs.columns:  # the texts are read again at the end: their numbers must not change
         docs = number_rows(docs.select("doc_id", "text"))
-    rows = docs.select("doc_id", F.col(ROW).alias("rid"), sentences(text_or_empty()).alias("parts"))
-    spans = rows.select("doc_id", "rid", F.explode(_spans(config)("parts")).alias("x")).select("doc_id", "rid", "x.h", "x.g", "x.i", "x.j")
+    rows = docs.select("doc_id", F.col(ROW).alias("rid"), text_or_empty().alias("text"))
+    spans = rows.select("doc_id", "rid", F.explode(_spans(config)("text")).alias("x")).select("doc_id", "rid", "x.h", "x.g", "x.i", "x.j")
     spans = materialize(spans, "span-rows")
     # the hash alone first: only spans that occur again travel with their places
     counts = spans.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
@@ -101,10 +126,10 @@ def dedup_spans(docs: DataFrame, config: SpanConfig = SpanConfig()) -> DataFrame
     groups = shared.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
     again = skew_join(shared, groups, ["h", "g"], "copies", total, ["rid", "i", "j"])
     again = again.filter(~((F.col("rid") == F.col("first.rid")) & (F.col("i") == F.col("first.i"))))
-    # a document's removed sentences: at most as many as it has
+    # a document's removed units: at most as many as it has
     gone = again.groupBy("rid").agg(F.collect_set(F.struct("i", "j")).alias("runs"))
     gone = gone.select("rid", F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["i"], r["j"]))))).alias("removed"))
-    out = rows.join(gone, "rid", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    out = rows.withColumn("parts", _units(config)("text")).drop("text").join(gone, "rid", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("removed"))
     kept = F.transform(left, lambda k: F.get(F.col("parts"), k))
     return out.select("doc_id", F.size("parts").cast("long").alias("n_sentences"), F.size("removed").cast("long").alias("n_removed"), "removed", F.array_join(F.when(F.size("removed") == 0, F.col("parts")).otherwise(kept), "").alias("kept_text"))

@@ -241,24 +241,33 @@ def test_nnls():
 # ---- 3 sentence spans
 
 
+def plain_units(text, cfg):
+    """Sentences, overlong ones cut word by word."""
+    out = []
+    for part in re.split(r"(?<=[.!?])(?=[ \t])|(?<=\n)", text):
+        if len(re.findall(r"[^\x20\x09-\x0D]+", part)) <= cfg.long_words:
+            out.append(part)
+            continue
+        piece, n = "", 0
+        for gap, word in re.findall(r"([\x20\x09-\x0D]*)([^\x20\x09-\x0D]+)", part):
+            if n and (n >= cfg.long_words or n >= cfg.least_words and xxhash.xxh3_64_intdigest(last.lower()) % cfg.cut_share == 0):
+                out.append(piece)
+                piece, n = "", 0
+            piece, n, last = piece + gap + word, n + 1, word
+        out.append(piece + re.search(r"[\x20\x09-\x0D]*$", part)[0])
+    return out
+
+
 def brute_spans(rows, cfg=sentence_dedup.SpanConfig()):
-    """From every sentence and to every sentence the shortest run; sentences of any run seen before go."""
+    """Every run of units with words; units of any run seen before go."""
     seen, out = set(), []
-    split = re.compile(r"(?<=[.!?])(?=[ \t])|(?<=\n)")
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     for i in order:
-        parts = split.split(rows[i][1] or "")
+        parts = plain_units(rows[i][1] or "", cfg)
         words = [re.findall(r"[^\x20\x09-\x0D]+", p.lower()) for p in parts]
-        gone, own = set(), set()
-        for a in range(len(parts)):
-            for ends in (range(a, len(parts)), range(a, -1, -1)):
-                n = used = 0
-                for b in ends if words[a] else ():
-                    n, used = n + len(words[b]), used + bool(words[b])
-                    if n >= cfg.min_words and used >= cfg.min_sentences:
-                        own.add((min(a, b), max(a, b)))
-                        break
-        for a, b in sorted(own):
+        gone, full = set(), [k for k, w in enumerate(words) if w]
+        for k in range(len(full) - cfg.run + 1):
+            a, b = full[k], full[k + cfg.run - 1]
             key = tuple(itertools.chain.from_iterable(words[a : b + 1]))
             if key in seen:
                 gone.update(range(a, b + 1))
