@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Queries whose vectors one pass over the passages holds; more queries are further passes.
 QUERY_BLOCK = 4_096
@@ -36,6 +37,7 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str =
     asked = queries.select(names).filter(F.col(query_vector).isNotNull())
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     kinds = dict(queries.dtypes)[query_key], dict(vectors.dtypes)[key]
+    arrow = to_arrow_type(queries.schema[query_key].dataType), to_arrow_type(vectors.schema[key].dataType)
     found = []
     for block in range(blocks):
         own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == block)
@@ -65,16 +67,13 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str =
             yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
         columns = [key, vector, *([scope] if scope else [])]
-        found.append(vectors.select(columns).filter(F.col(vector).isNotNull()).mapInArrow(_typed(run, *kinds, query_key, key), f"{query_key} {kinds[0]}, {key} {kinds[1]}, score double"))
+        found.append(vectors.select(columns).filter(F.col(vector).isNotNull()).mapInArrow(_typed(run, *arrow, query_key, key), f"{query_key} {kinds[0]}, {key} {kinds[1]}, score double"))
     best = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
-def _typed(run, query_kind: str, key_kind: str, query_key: str, key: str):
-    schema = pa.schema([(query_key, _ARROW[query_kind]), (key, _ARROW[key_kind]), ("score", pa.float64())])
+def _typed(run, query_kind: pa.DataType, key_kind: pa.DataType, query_key: str, key: str):
+    schema = pa.schema([(query_key, query_kind), (key, key_kind), ("score", pa.float64())])
 
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in run(batches):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import bm25, cache, chunking, citations, context, dense, fusion, guardrails, ledger, runs, segments, state, store, sufficiency, vision, web
+from corvane.operators import vectors as vectors_index
 from corvane.sources.tables import file_system, kept, table_root
 from corvane.sources.versions import VersionedTable
 
@@ -171,6 +172,29 @@ def q_dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return dense.cosine_top_k(vectors, asked)
 
 
+def _ivf(spark: SparkSession, sf: str) -> vectors_index.IvfIndex:
+    root = f"{table_root(spark)}/tables/lists-{uuid.uuid4().hex}"
+    system, at = file_system(spark, root)
+    system.deleteOnExit(at)
+    return vectors_index.build(table(spark, sf, "embeddings"), root)
+
+
+@query(f"SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 QUALIFY rank <= 20")
+def q_ivf_all_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The approximate index with every list probed, which is exact."""
+    index, vectors = _ivf(spark, sf), table(spark, sf, "embeddings")
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return index.top_k(asked, probes=len(index.centroids))
+
+
+@query()
+def q_ivf_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The approximate index with as many probes as a recall of 0.9 takes on a sample; its recall is tested."""
+    index, vectors = _ivf(spark, sf), table(spark, sf, "embeddings")
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return index.top_k(asked, probes=vectors_index.probes_for(index, vectors))
+
+
 @query(f"SELECT a.vec_id AS query_id, b.label, b.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 20 = 0 QUALIFY rank <= 10")
 def q_dense_scoped(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
