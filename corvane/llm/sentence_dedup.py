@@ -31,14 +31,15 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import ROW, materialize, number_rows, skew_join, text_or_empty
 
-_LOW = (1 << 64) - 1
 #: Sentences keep their trailing white space, so joined together they are the text.
 BOUNDARY = r"(?<=[.!?])(?=[\x20\x09])|(?<=\n)"
 
@@ -55,9 +56,10 @@ class SpanConfig:
     cut_share: int = 4  # one word in so many ends a piece
 
 
-def units(text: str, config: SpanConfig) -> tuple[list[str], list[list[str]]]:
-    """(the units of a text, which joined together are the text; the words of each, in lower case)."""
+def units(text: str, config: SpanConfig, known: dict[str, bool] | None = None) -> tuple[list[str], list[list[str]]]:
+    """(the units of a text, which joined together are the text; the words of each, in lower case).  ``known`` remembers which words end a piece."""
     out, words = [], []
+    known = {} if known is None else known
     for part in _CUT.split(text):
         found = _WORD.findall(part.lower())
         if len(found) <= config.long_words:
@@ -66,10 +68,14 @@ def units(text: str, config: SpanConfig) -> tuple[list[str], list[list[str]]]:
             continue
         places = [m.end() for m in _WORD.finditer(part)]
         first = at = 0
-        for k, word in enumerate(found):
+        for k, word in enumerate(found[:-1]):
             n = k + 1 - first
-            ends = n >= config.least_words and xxhash.xxh3_64_intdigest(word) % config.cut_share == 0 or n == config.long_words
-            if ends and k + 1 < len(found):
+            if n < config.least_words:
+                continue
+            ends = known.get(word)
+            if ends is None:
+                ends = known[word] = xxhash.xxh3_64_intdigest(word) % config.cut_share == 0
+            if ends or n == config.long_words:
                 out.append(part[at : places[k]])
                 words.append(found[first : k + 1])
                 first, at = k + 1, places[k]
@@ -84,31 +90,58 @@ def spans_of(words: list[list[str]], run: int) -> list[tuple[int, int]]:
     return list(zip(full, full[run - 1 :], strict=False))
 
 
-def _spans(config: SpanConfig):
-    """Per document, (hash, first unit, last unit) of each span, as arrays in one pass over the text."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = []
-            for text in texts:
-                _, words = units(text, config)
-                joined = [" ".join(w) for w in words]
-                own = spans_of(words, config.run)
-                hashes = [xxhash.xxh3_128_intdigest(" ".join(filter(None, joined[i : j + 1]))) for i, j in own]
-                out.append([{"h": (h >> 64) - (1 << 63), "g": (h & _LOW) - (1 << 63), "i": i, "j": j} for h, (i, j) in zip(hashes, own, strict=True)])
-            yield pd.Series(out)
-
-    return F.pandas_udf(run, "array<struct<h:long,g:long,i:int,j:int>>")
+#: Words whose decision a task remembers at most; beyond them it begins again.
+KNOWN_WORDS = 200_000
 
 
-def _units(config: SpanConfig):
-    """The units of each text."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([units(t, config)[0] for t in texts])
+def _spans(config: SpanConfig):
+    """A row for each span: doc_id, rid, h, g (the halves of its hash), i, j (first and last unit); and one with a null hash for each document, i its number of units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                own, first, last, digests, sizes = [], [], [], [], []
+                for row, text in enumerate(part.column(2).to_pylist()):
+                    parts, words = units(text, config, known)
+                    sizes.append(len(parts))
+                    full = [k for k, w in enumerate(words) if w]
+                    joined = [" ".join(words[k]) for k in full]
+                    n = len(full) - config.run + 1
+                    if n > 0:
+                        own += [row] * n
+                        first += full[:n]
+                        last += full[config.run - 1 :]
+                        digests += [xxhash.xxh3_128_digest(" ".join(joined[k : k + config.run])) for k in range(n)]
+                halves = np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2)
+                none = pa.nulls(len(sizes), pa.int64())
+                rows = pa.array(np.concatenate([np.array(own, dtype=np.int64), np.arange(len(sizes))]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(rows), part.column(1).take(rows), pa.concat_arrays([pa.array(halves[:, 0]), none]), pa.concat_arrays([pa.array(halves[:, 1]), none]),
+                        pa.array(np.array(first + sizes, dtype=np.int32)), pa.array(np.array(last + sizes, dtype=np.int32)),
+                    ],
+                    ["doc_id", "rid", "h", "g", "i", "j"],
+                )
+
+    return run
+
+
+def _kept(config: SpanConfig):
+    """What is left of each text without its removed units; null for a null text."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, removed in batches:
+            out = []
+            for text, gone in zip(texts, removed, strict=True):
+                drop = set() if gone is None else set(gone.tolist())
+                out.append(None if text is None else "".join(p for k, p in enumerate(units(text, config)[0]) if k not in drop))
+            yield pd.Series(out, dtype=object)
 
-    return F.pandas_udf(run, "array<string>")
+    return F.pandas_udf(run, "string")
 
 
 def dedup_spans(docs: DataFrame, config: SpanConfig = SpanConfig()) -> DataFrame:
@@ -116,8 +149,9 @@ def dedup_spans(docs: DataFrame, config: SpanConfig = SpanConfig()) -> DataFrame
     if ROW not in docs.columns:  # the texts are read again at the end: their numbers must not change
         docs = number_rows(docs.select("doc_id", "text"))
     rows = docs.select("doc_id", F.col(ROW).alias("rid"), text_or_empty().alias("text"))
-    spans = rows.select("doc_id", "rid", F.explode(_spans(config)("text")).alias("x")).select("doc_id", "rid", "x.h", "x.g", "x.i", "x.j")
-    spans = materialize(spans, "span-rows")
+    kind = next(f.dataType.simpleString() for f in docs.schema if f.name == "doc_id")
+    written = materialize(rows.mapInArrow(_spans(config), f"doc_id {kind}, rid long, h long, g long, i int, j int"), "span-rows")
+    spans, sizes = written.filter("h IS NOT NULL"), written.filter("h IS NULL").select("rid", F.col("i").alias("n"))
     # the hash alone first: only spans that occur again travel with their places
     counts = spans.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     total = spans.count()
@@ -129,7 +163,7 @@ def dedup_spans(docs: DataFrame, config: SpanConfig = SpanConfig()) -> DataFrame
     # a document's removed units: at most as many as it has
     gone = again.groupBy("rid").agg(F.collect_set(F.struct("i", "j")).alias("runs"))
     gone = gone.select("rid", F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["i"], r["j"]))))).alias("removed"))
-    out = rows.withColumn("parts", _units(config)("text")).drop("text").join(gone, "rid", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
-    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("removed"))
-    kept = F.transform(left, lambda k: F.get(F.col("parts"), k))
-    return out.select("doc_id", F.size("parts").cast("long").alias("n_sentences"), F.size("removed").cast("long").alias("n_removed"), "removed", F.array_join(F.when(F.size("removed") == 0, F.col("parts")).otherwise(kept), "").alias("kept_text"))
+    out = rows.join(sizes.join(gone, "rid", "left"), "rid")
+    left = F.when(F.col("removed").isNull(), F.col("text")).otherwise(_kept(config)(F.when(F.col("removed").isNotNull(), F.col("text")), F.col("removed")))
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_sentences"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), left.alias("kept_text"))
