@@ -50,8 +50,8 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str =
             best = np.full((0, len(ids)), -np.inf)  # rows: candidates of each query, the best first
             names = np.empty((0, len(ids)), dtype=object)
             for batch in batches:
-                for at in range(0, batch.num_rows if ids else 0, max(1, CELLS // len(ids))):
-                    part = batch.slice(at, max(1, CELLS // len(ids)))
+                for at in range(0, batch.num_rows if ids else 0, max(1, CELLS // max(1, len(ids)))):
+                    part = batch.slice(at, max(1, CELLS // max(1, len(ids))))
                     keys = np.array(part.column(0).to_pylist())
                     score = np.round(_matrix(part.column(1).to_pylist()) @ matrix.T, digits)
                     if scopes is not None:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from corvane.functions.text import chunk_id, sanitize, snippet, summarize_answer
 from corvane.operators import answering, bm25, cache, chunking, citations, context, dense, fusion, guardrails, segments, sessions, store, sufficiency, web
 from corvane.plans.providers import Providers, clean_variants, parse_json
-from corvane.plans.stages import CallPolicy, called, log_of
+from corvane.plans.stages import CallPolicy, called, events, log_of
 from corvane.sources.tables import file_system, saved, table_root
 from corvane.sources.versions import VersionConflict, VersionedTable
 
@@ -120,7 +120,7 @@ class Engine:
 
     @property
     def calls(self) -> DataFrame:
-        """The provider calls of the last ``run``: qid (or its part), stage, error, attempts, seconds, tokens."""
+        """The provider calls of the run that gave this engine: qid, stage, error, attempts, seconds, tokens."""
         return reduce(DataFrame.unionByName, self._log) if self._log else self.spark.createDataFrame([], CALLS)
 
     # ---- documents
@@ -314,6 +314,11 @@ class Engine:
         after._log = list(self._log)
         return results, after
 
+    def responses(self, results: DataFrame) -> DataFrame:
+        """What ``run`` returned, asked of the engine that it returned, with the stages of each question in order: stage, status, duration_ms."""
+        rows = results.withColumn("__qid", F.col("qid")).withColumn("qid", F.col("qid").cast("string"))
+        return answering.response(rows, events(self.calls)).drop("qid").withColumnRenamed("__qid", "qid")
+
     def answer(self, questions: DataFrame, bypass_cache: bool = False) -> DataFrame:
         return self.run(questions, bypass_cache)[0]
 

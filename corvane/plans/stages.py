@@ -126,7 +126,30 @@ def called(call: Callable[..., Any], kind: str, *columns: Column | str, policy:
     return F.pandas_udf(run, FIELDS.format(kind=kind))(*columns)
 
 
+#: Stages in the order in which a question passes them; those after retrieval see its parts, named question/part.
+ORDER = ("input_guardrail", "query_history", "decomposition", "query_expansion", "sufficiency", "web_query", "web_search", "rerank", "generation", "verification")
+OF_PARTS = ("query_expansion", "sufficiency", "web_query", "web_search", "rerank")
+
+
 def log_of(rows: DataFrame, stage: str, call: str, key: str = "qid") -> DataFrame:
     """qid, stage, error, attempts, seconds, prompt_tokens, output_tokens of the calls in a saved table."""
     fields = [F.col(f"{call}.{c}").alias(c) for c in ("error", "attempts", "seconds", "prompt_tokens", "output_tokens")]
-    return rows.filter(F.col(call).isNotNull()).select(F.col(key).cast("string").alias("qid"), F.lit(stage).alias("stage"), *fields)
+    qid = F.col(key).cast("string")
+    if stage in OF_PARTS:
+        qid = F.regexp_replace(qid, r"/\d+$", "")
+    return rows.filter(F.col(call).isNotNull()).select(qid.alias("qid"), F.lit(stage).alias("stage"), *fields)
+
+
+def events(calls: DataFrame) -> DataFrame:
+    """qid, seq, stage, status (completed or failed), duration_ms: one row a question and stage, from its calls; durations are those of the calls added up."""
+    number = F.create_map(*[F.lit(x) for i, name in enumerate(ORDER) for x in (name, i)])
+    done = calls.groupBy("qid", "stage").agg(F.bool_or(F.col("error").isNotNull()).alias("bad"), F.round(F.sum("seconds") * 1000, 1).alias("duration_ms"))
+    return done.select("qid", number[F.col("stage")].alias("seq"), "stage", F.when(F.col("bad"), "failed").otherwise("completed").alias("status"), "duration_ms")
+
+
+def usage(calls: DataFrame) -> DataFrame:
+    """stage, calls, failures, retries, prompt_tokens, output_tokens, seconds."""
+    return calls.groupBy("stage").agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if(F.col("error").isNotNull()).alias("failures"), F.sum(F.col("attempts") - 1).alias("retries"),
+        F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("seconds"), 3).alias("seconds"),
+    )
