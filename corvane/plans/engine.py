@@ -148,6 +148,14 @@ class Engine:
         gone = self.passages.filter((F.col("source_doc") == source_doc) & (F.col("corpus_scope") == scope))
         return self._changed(store.delete_by_document(self.passages, source_doc, scope), gone, cached=store.invalidate(self.cached, source_doc, scope))
 
+    def remove(self, source_doc: str, scope: str = "persistent") -> tuple[Engine, dict[str, int]]:
+        """``delete``, with how many passages and cached answers went; a document that is not there is a LookupError."""
+        gone = self.passages.filter((F.col("source_doc") == source_doc) & (F.col("corpus_scope") == scope)).count()
+        if not gone:
+            raise LookupError(f"no document named {source_doc!r} in {scope}")
+        out = self.delete(source_doc, scope)
+        return out, {"deleted_chunks": gone, "invalidated_cache_entries": self.cached.count() - out.cached.count()}
+
     def drop_session(self, session_id: str) -> Engine:
         passages, cached, turns = sessions.drop_session(self.passages, self.cached, self.turns, session_id)
         gone = self.passages.filter(F.col("corpus_scope") == f"session:{session_id}")

@@ -306,15 +306,35 @@ def delete_originals(stored: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def write_json_atomic(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """JSON lines that appear whole or not at all: written beside, then renamed over what was there."""
-    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    """JSON lines that appear whole or not at all: written beside, then put in the place of what was there.
+
+    What was there is renamed aside first and deleted last, so it is never lost:
+    the next write, or ``recover_json``, puts it back where a writer died between.
+    """
+    beside, aside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old"
     rows.write.json(beside)
+    recover_json(spark, path)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
-    system = old.getFileSystem(conf)
-    system.delete(old, True)
-    if not system.rename(new, old):
+    new, at, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path, aside))
+    system = at.getFileSystem(conf)
+    if system.exists(at) and not system.rename(at, old):
+        raise OSError(f"could not rename {path}")
+    if not system.rename(new, at):
+        system.rename(old, at)
         raise OSError(f"could not rename to {path}")
+    system.delete(old, True)
+
+
+def recover_json(spark: SparkSession, path: str) -> None:
+    """Puts back what a writer that died had renamed aside, or deletes it where the new version is there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at, old = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old")
+    system = at.getFileSystem(conf)
+    if system.exists(old):
+        if system.exists(at):
+            system.delete(old, True)
+        elif not system.rename(old, at):
+            raise OSError(f"could not put {path} back")
 
 
 def append_csv(rows: DataFrame, path: str) -> None:
