@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import suffix
+from corvane.operators.ranks import placed
 
 UNSCORED = ("out_of_corpus",)  # fixed value: the category without a reference answer
 SHORT_TOKENS = 200
@@ -77,7 +78,7 @@ def filter_questions(questions: DataFrame, category: str | None = None, source:
     if source is not None:
         rows = rows.filter(F.col("answer_source") == source)
     order = [F.asc_nulls_last(sort), F.col("id")] if sort else [F.col("id")]
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    return placed(rows, order)
 
 
 def reference_summary(questions: DataFrame) -> DataFrame:
@@ -131,9 +132,12 @@ def log_tail(lines: DataFrame, most: int = LOG_LINES) -> DataFrame:
 def interleave(questions: DataFrame) -> DataFrame:
     """Questions with their place when those of the corpus and others take turns, the corpus first."""
     outside = (F.col("label") != "in_corpus").cast("int")
-    turn = F.row_number().over(Window.partitionBy(outside).orderBy("ordinal"))
-    rows = questions.withColumn("turn", turn).withColumn("outside", outside)
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("turn", "outside"))).drop("turn", "outside")
+    rows = placed(questions.withColumn("__outside", outside), ["__outside", "ordinal"], "__turn")
+    counts = rows.agg(F.count_if(F.col("__outside") == 0).alias("__in"), F.count_if(F.col("__outside") == 1).alias("__out"))  # one row
+    rows = rows.crossJoin(F.broadcast(counts)).withColumn("__turn", F.col("__turn") - F.col("__outside") * F.col("__in"))
+    # before the t-th of the corpus are t - 1 of the others, before the t-th other t of the corpus, or all there are
+    place = F.col("__turn") + F.when(F.col("__outside") == 0, F.least(F.col("__turn") - 1, "__out")).otherwise(F.least("__turn", "__in"))
+    return rows.withColumn("place", place.cast("int")).drop("__outside", "__turn", "__in", "__out")
 
 
 def project(rows: DataFrame, low: float, high: float) -> DataFrame:
