@@ -39,7 +39,8 @@ def test_matches_sql(spark, sf, con, name):
 
 
 def test_the_others_are_compared_below():
-    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"q_structure_split", "q_overlap_merge", "q_citation_filter", "q_search_pieces"}
+    elsewhere = {"q_ivf_topk"}  # its recall is measured in test_vectors.py
+    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"q_structure_split", "q_overlap_merge", "q_citation_filter", "q_search_pieces"} | elsewhere
 
 
 def plain_passages(text, size=500, overlap=50, least=200):
