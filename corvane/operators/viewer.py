@@ -52,14 +52,15 @@ def segments(passages: DataFrame, key: str = "chunk_id") -> DataFrame:
     """key, at, part, cell: sentences of prose and table cells in order.
 
     A short line without a bar is searched whole, as a cell; a sentence ends
-    at '.', '!' or '?' before white space; shorter pieces are left out.
+    at a full stop before white space or the line's end, and goes without it;
+    shorter pieces are left out.
     """
     lines = passages.select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|[\r\n]")).alias("line", "raw"))
     lines = lines.select(key, "line", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("t"))
     row = F.col("t").contains("|")
     short = (F.length("t") >= LEAST_CELL) & (F.length("t") < LEAST_PROSE) & ~row
     cells = F.filter(F.transform(F.split("t", r"\|"), lambda x: F.trim(x)), lambda x: (F.length(x) >= LEAST_CELL) & ~is_rule(x))
-    prose = F.filter(F.transform(F.split("t", r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: F.length(x) >= LEAST_PROSE)
+    prose = F.filter(F.transform(F.split("t", r"\.(?=\s|$)"), lambda x: F.trim(x)), lambda x: F.length(x) >= LEAST_PROSE)
     parts = F.when(short, F.array("t")).when(row, cells).otherwise(prose)
     out = lines.select(key, "line", (short | row).alias("cell"), F.posexplode(parts).alias("n", "part"))
     return out.withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("line", "n")) - 1).select(key, "at", "part", "cell")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import chunking, context, reports, runs, viewer, vision
+from corvane.operators import chunking, context, locate, reports, runs, viewer, vision
 from corvane.queries import _BM25, _CHUNKS, _CHUNK_ID, _PAGES, _chunks, _collapse, _keyword_hits, _pages, _wset, query, table
 
 # ---- evaluation records
@@ -263,7 +263,7 @@ def q_document_view(spark: SparkSession, sf: str) -> DataFrame:
 t AS (SELECT doc_id, line, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS t FROM l),
 p AS (SELECT doc_id, line, t, contains(t, '|') AS bar, length(t) >= 4 AND length(t) < 24 AND NOT contains(t, '|') AS small FROM t),
 x AS (SELECT doc_id, line, small OR bar AS cell, CASE WHEN small THEN [t] WHEN bar THEN list_filter(list_transform(string_split(t, '|'), lambda x: trim(x)), lambda x: length(x) >= 4 AND NOT regexp_full_match(x, '[-: ]*'))
- ELSE list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', concat('\1', chr(1)), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) >= 24) END AS parts FROM p),
+ ELSE list_filter(list_transform(string_split(regexp_replace(t, '\.(\s|$)', concat(chr(1), '\1'), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) >= 24) END AS parts FROM p),
 e AS (SELECT doc_id, line, cell, unnest(parts) AS part, generate_subscripts(parts, 1) AS n FROM x)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, n) - 1 AS place, sha256(part) AS digest, cell FROM e""")
 def q_segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -298,6 +298,54 @@ def q_rectangles_anchored(spark: SparkSession, sf: str) -> DataFrame:
     return viewer.within_anchors(rows, rows.filter("x0 < 4"), ["page"]).groupBy("page").agg(F.count(F.lit(1)).alias("hits"), F.round(F.min("y0"), 3).alias("least"), F.max("y1").alias("most"))
 
 
+_PAPER = r"""ws AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\r\n]+'), lambda x: x <> '') AS w FROM documents),
+wd AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS seq FROM ws),
+bx AS (SELECT doc_id, seq, seq // 400 AS page, seq % 400 // 10 AS line, lower(word) AS w, (seq % 10 * 50)::DOUBLE AS x0, (seq % 10 * 50 + 5 * length(word))::DOUBLE AS x1, (seq % 400 // 10 * 14)::DOUBLE AS y0, (seq % 400 // 10 * 14 + 10)::DOUBLE AS y1 FROM wd),
+nx AS (SELECT *, lead(line) OVER (PARTITION BY doc_id, page ORDER BY seq) AS after FROM bx),
+br AS (SELECT *, coalesce(ends_with(w, '-') AND length(w) > 1 AND after <> line, false) AS broken FROM nx),
+gl AS (SELECT *, CASE WHEN broken THEN w[:-2] ELSE w END AS v, CASE WHEN broken THEN w[:-2] WHEN after IS NULL THEN w ELSE concat(w, ' ') END AS glued FROM br),
+st AS (SELECT *, coalesce(sum(length(glued)) OVER (PARTITION BY doc_id, page ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM gl),
+pt AS (SELECT doc_id, page, string_agg(glued, '' ORDER BY seq) AS page_text, trim(string_agg(w, ' ' ORDER BY seq) FILTER (seq % 400 BETWEEN 5 AND 16)) AS phrase, min(w) FILTER (seq % 400 = 2) AS small FROM st GROUP BY ALL)"""
+
+
+def _paper(spark: SparkSession, sf: str) -> DataFrame:
+    """The words of the documents' whole texts laid out on pages of 40 lines of ten words."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\r\n]+"), lambda x: x != "")
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(words).alias("seq", "word"))
+    on = F.col("seq") % 400
+    line, left = F.floor(on / 10), F.col("seq") % 10 * 50
+    return rows.select("doc_id", F.floor(F.col("seq") / 400).alias("page"), "seq", "word", line.alias("line"), left.alias("x0"), (line * 14).alias("y0"), (left + 5 * F.length("word")).alias("x1"), (line * 14 + 10).alias("y1"))
+
+
+@query(f"""WITH {_PAPER}, pc AS (SELECT doc_id, page, page_text, 0 AS n, phrase AS piece FROM pt WHERE phrase <> '' UNION ALL SELECT doc_id, page, page_text, 1, small FROM pt WHERE small <> ''),
+sp AS (SELECT doc_id, page, n, piece, string_split(page_text, piece) AS parts FROM pc),
+un AS (SELECT doc_id, page, n, piece, len(parts) AS many, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM sp),
+hb AS (SELECT doc_id, page, n, piece, i, many, sum(length(part)) OVER (PARTITION BY doc_id, page, n ORDER BY i) + (i - 1) * length(piece) AS b FROM un),
+hp AS (SELECT doc_id, page, n, i AS hit, b, b + length(piece) AS e FROM hb WHERE i < many),
+sh AS (SELECT doc_id, page, n, hit, line, x0 + (x1 - x0) * (greatest(start, b) - start) / length(v) AS l, x0 + (x1 - x0) * (least(start + length(v), e) - start) / length(v) AS r, y0, y1 FROM hp JOIN st USING (doc_id, page) WHERE start < e AND start + length(v) > b),
+rc AS (SELECT doc_id, page, n, hit, line, min(l) AS x0, max(r) AS x1, min(y0) AS y0, max(y1) AS y1 FROM sh GROUP BY ALL),
+fl AS (SELECT *, y0 - lag(y1) OVER o AS gap, x0 < lag(x1) OVER o AS under FROM rc WINDOW o AS (PARTITION BY doc_id, page, n ORDER BY y0, x0))
+SELECT doc_id, page, n, count(DISTINCT hit) AS hits, count(*) AS rects, round(sum(x0 + x1 * 3 + y0 * 7), 3) AS places, bool_and(coalesce(gap >= 0 AND gap < 7 AND under, true)) AS single FROM fl GROUP BY ALL""")
+def q_locate_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """A phrase of twelve words and a single word of every page, found on it by position, across line ends and within words."""
+    words = _paper(spark, sf)
+    at = F.col("seq") % 400
+    phrase = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(at.between(5, 16), F.struct("seq", "word")))), lambda x: x["word"]), " ")
+    pages = words.groupBy("doc_id", "page").agg(phrase.alias("phrase"), F.min(F.when(at == 2, F.col("word"))).alias("small"))
+    pieces = pages.select("doc_id", "page", F.struct("doc_id", "page").alias("id"), F.posexplode(F.array("phrase", "small")).alias("n", "piece"), F.lit(False).alias("cell"))
+    found = locate.with_single(locate.hits(pieces, words, "id", ["doc_id", "page"]), "id")
+    places = F.round(F.sum(F.col("x0") + F.col("x1") * 3 + F.col("y0") * 7), 3)
+    return found.groupBy("id.doc_id", "id.page", "n").agg(F.count_distinct("hit").alias("hits"), F.count(F.lit(1)).alias("rects"), places.alias("places"), F.min("single").alias("single"))
+
+
+@query()
+def q_highlights(spark: SparkSession, sf: str) -> DataFrame:
+    """What is marked of each document's first passage on its first page; compared with a plain loop in the tests."""
+    words = _paper(spark, sf).withColumnRenamed("doc_id", "source_doc")
+    first = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("source_doc"), F.lit(0).cast("long").alias("page"), "text", F.lit("text").alias("extraction_method"))
+    return locate.highlights(first, words)
+
+
 @query(f"SELECT page_id, lower(regexp_extract(url, '[^.]*$')) AS suffix, substr({_collapse('html')}, 1, 200) AS snippet FROM pages")
 def q_page_snippets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", T.suffix(F.col("url")).alias("suffix"), T.snippet(F.col("html")).alias("snippet"))
