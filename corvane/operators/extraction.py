@@ -20,6 +20,7 @@ LARGE_IMAGE = 0.5
 LEAST_REPLY = 12
 TAG = r"(?i)CONTENT_TYPE:\s*(table|chart|figure)\s*\n?"
 TAG_WITHIN = 120
+ATOMIC = ("chart", "image_caption")  # types that are passages as they are
 DECLARED = {"table": "table", "chart": "chart", "figure": "image_caption"}
 CHART_WORDS = ("chart type", "x-axis", "y-axis", "x axis", "y axis", "axis label", "data point", "bar chart", "line chart", "scatter plot", "pie chart")
 

@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import chunk_id, sanitize, snippet, summarize_answer
-from corvane.operators import answering, bm25, cache, chunking, citations, context, dense, fusion, guardrails, segments, sessions, store, sufficiency, web
+from corvane.operators import answering, bm25, cache, chunking, citations, context, dense, extraction, fusion, guardrails, segments, sessions, store, sufficiency, web
 from corvane.plans.providers import Providers, clean_variants, parse_json
 from corvane.plans.stages import CallPolicy, called, events, log_of
+from corvane.sources import documents
 from corvane.sources.tables import file_system, saved, table_root
 from corvane.sources.versions import VersionConflict, VersionedTable
 
@@ -130,8 +131,13 @@ class Engine:
         s = self.settings
         good = files.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
         cut = chunking.split_documents(good, "source_doc", s.chunk_size, s.chunk_overlap, s.chunk_least)
-        ids = chunk_id(F.lit(scope), F.col("source_doc"), F.lit("text"), F.col("chunk_type"), F.lit(None), F.col("location"), F.col("chunk_index"), F.col("text"))
-        rows = cut.select(ids.alias("chunk_id"), "source_doc", F.lit(scope).alias("corpus_scope"), F.lit("text").alias("extraction_method"), "chunk_type", F.lit(None).cast("int").alias("page"), "location", "text", "chunk_index")
+        cut = cut.withColumn("extraction_method", F.lit("text")).withColumn("page", F.lit(None).cast("int"))
+        return self._stored(cut, good.select("source_doc").distinct(), scope)
+
+    def _stored(self, cut: DataFrame, done: DataFrame, scope: str) -> Engine:
+        """Passages without ids (source_doc, extraction_method, chunk_type, page, location, chunk_index, text) in the place of those of the documents that are done."""
+        ids = chunk_id(F.lit(scope), F.col("source_doc"), F.col("extraction_method"), F.col("chunk_type"), F.col("page"), F.col("location"), F.col("chunk_index"), F.col("text"))
+        rows = cut.select(ids.alias("chunk_id"), "source_doc", F.lit(scope).alias("corpus_scope"), "extraction_method", "chunk_type", "page", "location", "text", "chunk_index")
         rows = store.keep_first(rows, ["chunk_id"], ["source_doc", "chunk_index"]).drop("chunk_index")
         # one embedding per distinct text
         rows = rows.join(self._embedded(rows.select("text").distinct(), "text"), "text")
@@ -139,10 +145,49 @@ class Engine:
         if self.passages is None:
             return self._with(passages=rows)
         other = self.passages.filter(F.col("corpus_scope") != scope)
-        held, done = self.passages.filter(F.col("corpus_scope") == scope), good.select("source_doc").distinct()
+        held = self.passages.filter(F.col("corpus_scope") == scope)
         own = store.replace_documents(held, rows, done)
         return self._changed(saved(own.unionByName(other), "passages"), held.join(done, "source_doc", "left_semi"), rows)
 
+    def ingest_pieces(self, pieces: DataFrame, done: DataFrame, scope: str = "persistent") -> Engine:
+        """Pieces (source_doc, page, location, text, chunk_type, extraction_method) of the documents that are ``done`` (source_doc).
+
+        Charts and captions are passages as they are, all else is split; blank
+        pieces go.  A document that is done loses its earlier passages even
+        where it has no piece; of others nothing is stored or lost.
+        """
+        s = self.settings
+        good = pieces.join(done.select("source_doc").distinct(), "source_doc", "left_semi").filter(extraction.trim_all(F.coalesce("text", F.lit(""))) != "")
+        atomic = F.col("chunk_type").isin(*extraction.ATOMIC)
+        whole = good.filter(atomic).select("source_doc", "page", "location", "extraction_method", "chunk_type", F.lit(0).alias("chunk_index"), "text")
+        keyed = good.filter(~F.coalesce(atomic, F.lit(False))).select(F.struct("source_doc", "page", "location", "extraction_method").alias("piece"), "text")
+        cut = chunking.split_documents(keyed, "piece", s.chunk_size, s.chunk_overlap, s.chunk_least)
+        place = F.coalesce("location", F.col("piece.location"))
+        cut = cut.select("piece.source_doc", "piece.page", place.alias("location"), "piece.extraction_method", "chunk_type", "chunk_index", "text")
+        return self._stored(whole.unionByName(cut), done.select("source_doc").distinct(), scope)
+
+    def ingest_folder(self, path: str, plan: DataFrame | None = None, seen: DataFrame | None = None, scope: str = "persistent") -> tuple[Engine, DataFrame, DataFrame]:
+        """A folder's DOCX and PDF files; (engine, outcomes, units).
+
+        ``outcomes`` has a row for each file, with its error where it failed; a
+        failed file keeps its earlier passages.  ``units`` are what needs a
+        model: source_doc, page or picture number, and whether OCR or vision
+        should read it; ``plan`` (source_doc, page) says which pages go to
+        vision.  What was read of such units comes in as ``seen`` pieces.
+        """
+        found = saved(documents.read_documents(self.spark, path), "pieces")
+        outcomes = documents.outcomes(found)
+        plan = self.spark.createDataFrame([], "source_doc string, page int") if plan is None else plan
+        pages = extraction.route_pages(documents.pdf_pages(found), plan)
+        texts = pages.filter("keeps_text").select("source_doc", "page", "text").unionByName(found.filter("kind = 'text'").select(F.col("filename").alias("source_doc"), F.lit(None).cast("int").alias("page"), "text"))
+        texts = texts.select("*", F.lit(None).cast("string").alias("location"), F.lit("text").alias("chunk_type"), F.lit("text").alias("extraction_method"))
+        pieces = texts if seen is None else texts.unionByName(seen.select(*texts.columns))
+        none = F.lit(None).cast("int")
+        units = pages.filter("to_ocr OR to_vision").select("source_doc", "page", none.alias("number"), F.when(F.col("to_ocr"), "ocr").otherwise("vision").alias("reader"))
+        units = units.unionByName(found.filter("kind = 'picture'").select(F.col("filename").alias("source_doc"), none.alias("page"), "number", F.lit("vision").alias("reader")))
+        done = outcomes.filter("error IS NULL").select(F.col("filename").alias("source_doc"))
+        return self.ingest_pieces(pieces, done, scope), outcomes, units
+
     def delete(self, source_doc: str, scope: str = "persistent") -> Engine:
         """Without the document's passages, and without cached answers of the scope that cite it."""
         gone = self.passages.filter((F.col("source_doc") == source_doc) & (F.col("corpus_scope") == scope))

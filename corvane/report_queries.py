@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import chunking, context, locate, reports, runs, viewer, vision
 from corvane.queries import _BM25, _CHUNKS, _CHUNK_ID, _PAGES, _chunks, _collapse, _keyword_hits, _pages, _wset, query, table
+from corvane.sources import documents, pdf
 
 # ---- evaluation records
 
@@ -346,6 +351,30 @@ def q_highlights(spark: SparkSession, sf: str) -> DataFrame:
     return locate.highlights(first, words)
 
 
+def _as_pdf(spark: SparkSession, sf: str) -> DataFrame:
+    """filename, content: the documents as PDF files, whole texts on pages of 40 lines of ten words; every other file in object streams."""
+
+    def write(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            made = []
+            for text in batch:
+                words = [w for w in re.split(r"[ \t\r\n]+", text or "") if w]
+                lines = [" ".join(words[i : i + 10]) for i in range(0, len(words), 10)]
+                made.append(pdf.build_pdf([lines[i : i + 40] for i in range(0, len(lines), 40)], streams=len(words) % 2 == 1))
+            yield pd.Series(made)
+
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("filename"), F.pandas_udf(write, "binary")("text").alias("content"))
+
+
+@query(f"""WITH {_PAPER}, ln AS (SELECT doc_id, page, line, string_agg(word, ' ' ORDER BY seq) AS t FROM (SELECT wd.*, seq // 400 AS page, seq % 400 // 10 AS line FROM wd) GROUP BY ALL)
+SELECT doc_id, page + 1 AS page, sha256(string_agg(t, chr(10) ORDER BY line)) AS digest, count(*) AS lines FROM ln GROUP BY ALL""")
+def q_pdf_text_layer(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents written as PDF files and read back page by page."""
+    rows = documents.file_pieces(_as_pdf(spark, sf))
+    sound = F.when(F.col("error").isNull(), F.col("text")).otherwise(F.raise_error(F.col("error")))
+    return rows.select(F.col("filename").cast("long").alias("doc_id"), "page", F.sha2(sound, 256).alias("digest"), (F.array_max(F.transform("words", lambda w: w["line"])) + 1).alias("lines"))
+
+
 @query(f"SELECT page_id, lower(regexp_extract(url, '[^.]*$')) AS suffix, substr({_collapse('html')}, 1, 200) AS snippet FROM pages")
 def q_page_snippets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", T.suffix(F.col("url")).alias("suffix"), T.snippet(F.col("html")).alias("snippet"))
