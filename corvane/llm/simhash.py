@@ -336,8 +336,22 @@ def _refine(radius: int, width: int):
     return run
 
 
-def links(nodes: DataFrame, radius: int, width: int, limit: int = RUN_LIMIT) -> DataFrame:
-    """Links (a, b) that connect the nodes (node, w0..; fingerprints distinct) as all pairs within the radius would."""
+def _of_values(probes: DataFrame, values: DataFrame, within: bool, total: int, broadcast: bool) -> DataFrame:
+    """The probes whose (part, key) is, or is not, among the values (part, key, n): they go to every task, or meet by a join that deals a value's rows."""
+    keys = ["part", "key"]
+    if broadcast:
+        return probes.join(F.broadcast(values.select(*keys)), keys, "left_semi" if within else "left_anti")
+    both = skew_join(probes, values.withColumn("met", F.lit(True)), keys, "n", total, ["node"], "inner" if within else "left")
+    return (both if within else both.filter("met IS NULL")).select(*probes.columns)
+
+
+def links(nodes: DataFrame, radius: int, width: int, limit: int = RUN_LIMIT, most_broadcast: int = MOST_HOT) -> DataFrame:
+    """Links (a, b) that connect the nodes (node, w0..; fingerprints distinct) as all pairs within the radius would.
+
+    No run of more than ``limit`` rows is compared in one task, whatever the
+    size of the input; up to ``most_broadcast`` values of longer runs are
+    broadcast, more are joined.
+    """
     words = [f"w{i}" for i in range(width)]
     total = nodes.count()
     sample = nodes.select(*words).orderBy(F.xxhash64(*words)).limit(SAMPLE).toPandas()
@@ -351,17 +365,18 @@ def links(nodes: DataFrame, radius: int, width: int, limit: int = RUN_LIMIT) ->
     free = F.lit(64 * width) - sum((F.bit_count(F.col(f"u{i}")) for i in range(width)), F.lit(0))
     found = None
     while True:
-        # at most MOST_HOT values are long; a value with no more free bits than the radius has few rows, as nodes differ
+        # a value with no more free bits than the radius has few rows, as nodes differ
         counts = probes.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), F.max(free).alias("free"))
-        long = materialize(counts.filter((F.col("n") > max(limit, most // MOST_HOT)) & (F.col("free") > radius)).select("part", "key"), "simhash-long")
-        any_long = not long.isEmpty()
-        short = probes.join(F.broadcast(long), ["part", "key"], "left_anti") if any_long else probes
+        long = materialize(counts.filter((F.col("n") > limit) & (F.col("free") > radius)).select("part", "key", "n"), "simhash-long")
+        n_long = long.count()
+        small = n_long <= most_broadcast
+        short = _of_values(probes, long, False, most, small) if n_long else probes
         meet = short.select("part", "key", "node", *words).repartition("part", "key").sortWithinPartitions("part", "key")
         new = materialize(meet.mapInArrow(_verify(radius, width), "a long, b long"), "simhash-links")
         found = new if found is None else found.unionByName(new)
-        if not any_long:
+        if not n_long:
             return found
-        again = materialize(probes.join(F.broadcast(long), ["part", "key"], "left_semi"), "simhash-again")
+        again = materialize(_of_values(probes, long, True, most, small), "simhash-again")
         most = (radius + 1) * again.count()
         probes = again.mapInPandas(_refine(radius, width), row)
 

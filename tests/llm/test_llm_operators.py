@@ -602,8 +602,8 @@ def test_simhash_sf(spark, sf, sf_rows):
     check_simhash(queries.op8_simhash(spark, sf).collect(), sf_rows)
 
 
-@pytest.mark.parametrize(("radius", "width", "limit"), [(2, 1, 100_000), (2, 1, 30), (3, 1, 40), (10, 2, 100_000), (5, 2, 50)])
-def test_links_lose_nothing(spark, radius, width, limit):
+@pytest.mark.parametrize(("radius", "width", "limit", "most_broadcast"), [(2, 1, 100_000, 9), (2, 1, 30, 1 << 18), (2, 1, 30, 0), (3, 1, 40, 1 << 18), (10, 2, 100_000, 9), (5, 2, 50, 0)])
+def test_links_lose_nothing(spark, radius, width, limit, most_broadcast):
     rng = random.Random(radius)
     fps = {rng.getrandbits(64 * width) for _ in range(150)}
     for centre in (rng.getrandbits(64 * width), 0):
@@ -612,7 +612,7 @@ def test_links_lose_nothing(spark, radius, width, limit):
     fps = sorted(fps)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     nodes = spark.createDataFrame([(i, *[signed(f >> (64 * (width - 1 - k)) & (2**64 - 1)) for k in range(width)]) for i, f in enumerate(fps)], "node long, " + ", ".join(f"w{k} long" for k in range(width)))
-    pairs = simhash.links(nodes, radius, width, limit).collect()
+    pairs = simhash.links(nodes, radius, width, limit, most_broadcast).collect()
     assert all(bin(fps[r.a] ^ fps[r.b]).count("1") <= radius for r in pairs)
     got = {r.node: r.root for r in connected_components(spark.createDataFrame([(r.a, r.b) for r in pairs], "a long, b long")).collect()}
     assert [got.get(i, i) for i in range(len(fps))] == brute_components(fps, list(range(len(fps))), radius)
