@@ -10,11 +10,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from corvane.sources import files, pdf
@@ -150,10 +153,44 @@ def read_documents(spark: SparkSession, path: str, **options: object) -> DataFra
     return spark.read.format("corvane_documents").options(**options).load(path)
 
 
+#: Words of pieces that a task holds before it passes them on.
+BATCH_WORDS = 100_000
+
+
+def _batch(held: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """Pieces as Arrow columns; lists of boxes as flat ones."""
+
+    def column(field: pa.Field) -> pa.Array:
+        own = [p.get(field.name) for p in held]
+        if not pa.types.is_list(field.type):
+            return pa.array(own, field.type)
+        flat = list(zip(*(w for x in own for w in x or ()))) or [()] * field.type.value_type.num_fields
+        ends = [0, *accumulate(len(x or ()) for x in own)]
+        starts = pa.array([None if x is None else at for x, at in zip(own, ends)] + ends[-1:], pa.int32())  # of no list: null
+        inner = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(flat, field.type.value_type)], fields=list(field.type.value_type))
+        return pa.ListArray.from_arrays(starts, inner, type=field.type)
+
+    return pa.RecordBatch.from_arrays([column(f) for f in schema], schema=schema)
+
+
 def file_pieces(rows: DataFrame) -> DataFrame:
-    """The pieces of files that are rows (filename, content) already."""
-    own = rows.select(F.col("filename").alias("__name"), "content").alias("f")
-    return own.lateralJoin(FilePieces(F.col("__name").outer(), F.col("f.content").outer()).alias("p")).select("p.*")
+    """The pieces of files that are rows (filename, content) already, as ``corvane_file_pieces`` has them, in Arrow batches; null content has none."""
+    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, room = [], BATCH_WORDS
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1)):
+                for piece in pieces(name.as_py(), content.as_py()) if content.is_valid else ():
+                    held.append(piece)
+                    room -= 1 + len(piece.get("words") or ()) + len(piece.get("content") or ()) // 64
+                    if room <= 0:
+                        yield _batch(held, schema)
+                        held, room = [], BATCH_WORDS
+        if held:
+            yield _batch(held, schema)
+
+    return rows.select(F.col("filename").cast("string").alias("filename"), F.col("content").cast("binary").alias("content")).mapInArrow(read, SCHEMA)
 
 
 # ---- what comes of the pieces

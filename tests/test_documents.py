@@ -106,3 +106,28 @@ def test_folder_through_the_engine(spark, folder):
     words = documents.word_rows(documents.read_documents(spark, folder))
     marks = locate.highlights(engine.passages.filter("page = 1"), words).collect()
     assert sorted(r.y0 for r in marks) == [34.0, 46.0, 58.0] and min(r.x0 for r in marks) == 40.0
+
+
+def test_level_strings_are_drawn_as_runs(monkeypatch):
+    fonts = [b"<</Subtype/Type1>>", b"<</Subtype/Type1/FirstChar 97/Widths[250 300 -400]>>", b"<</Subtype/Type1/Encoding<</Differences[32/A 98/space]>>>>"]
+    shown = [b"BT /F 10 Tf %s 10 100 Td (ab  ba ) Tj [(b b) -300 (a)] TJ T* (a a) ' ET" % x for x in (b"", b"1 Tc", b"9 Tc", b"-2 Tc", b"3 Tw", b"80 Tz 2 Ts", b"-90 Tz", b"0 1 -1 0 50 50 Tm", b"1 .2 0 1 5 5 Tm")]
+    read = lambda: [next(iter(pdf.read_pages(raw(x, f)))) for x in shown for f in fonts]
+    seen = []
+    whole = pdf.words
+    monkeypatch.setattr(pdf, "words", lambda glyphs, *a: (seen.append(len(glyphs)), whole(glyphs, *a))[1])
+    runs = read()
+    assert seen[0] == 11  # of 13 glyphs
+    monkeypatch.setattr(pdf.Drawing, "_show_level", lambda *a: None)
+    for a, b in zip(runs, read(), strict=True):
+        assert a["text"] == b["text"] and len(a["words"]) == len(b["words"])
+        for v, w in zip(a["words"], b["words"]):
+            assert v[:2] == w[:2] and v[2:] == pytest.approx(w[2:])
+
+
+def test_pieces_in_small_batches(spark, monkeypatch):
+    held = [("a", pdf.build_pdf([["x y"], [], ["z"]])), ("b", None), ("c", PNG), ("d", b"?"), (None, pdf.build_pdf([["q"]]))]
+    rows = spark.createDataFrame(held, "filename string, content binary")
+    found = sorted((str(r.filename), r.kind, r.page or 0, r.text or "", None if r.words is None else [w.word for w in r.words], r.content and bytes(r.content)) for r in documents.file_pieces(rows).collect())
+    assert [x[:5] for x in found] == [("None", "page", 1, "q", ["q"]), ("a", "page", 1, "x y", ["x", "y"]), ("a", "page", 2, "", []), ("a", "page", 3, "z", ["z"]), ("c", "picture", 0, "", None), ("d", "error", 0, "", None)]
+    assert found[4][5] == PNG
+    assert "MapInArrow" in documents.file_pieces(rows)._jdf.queryExecution().toString()
