@@ -38,12 +38,14 @@ def words(text: Column) -> Column:
 
 def word_set(text: Column) -> Column:
     """Distinct words for near-duplicate tests (lower case; differs from case folding for letters such as ß)."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([A-Za-z0-9_À-ÿ]+)"), F.lit(1))))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([A-Za-z0-9_À-ÿ]+)"), F.lit(1))))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+def alike(a: Column, b: Column, least_percent: int) -> Column:
+    """Whether two sets, arrays without repeats, have a Jaccard similarity of so many percent; where their sizes rule it out no elements are compared."""
+    few, many = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    common = F.size(F.array_intersect(a, b))
+    return F.when((many == 0) | (few * 100 < many * least_percent), F.lit(False)).otherwise(let(common, lambda n: n * 100 >= (F.size(a) + F.size(b) - n) * least_percent))
 
 
 def numbers(text: Column) -> Column:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import jaccard, word_set, words
+from corvane.functions.text import alike, word_set, words
 
-# fixed value: the share of common words from which two passages are one
-NEAR_DUPLICATE = 0.9
+# fixed value: the percentage of common words from which two passages are one
+NEAR_DUPLICATE = 90
 
 
 def rerank_pool(candidates: DataFrame, most_web: int = 5, most: int = 20) -> DataFrame:
@@ -40,7 +40,7 @@ def consolidate(ranked: DataFrame, top_k: int = 8, budget: int = 3_000) -> DataF
     start = F.struct(empty.alias("kept"), F.lit(0).alias("used"))
 
     def step(acc: Column, x: Column) -> Column:
-        near = F.exists(acc["kept"], lambda y: jaccard(x["w"], y["w"]) >= NEAR_DUPLICATE)
+        near = F.exists(acc["kept"], lambda y: alike(x["w"], y["w"], NEAR_DUPLICATE))
         take = (F.size(acc["kept"]) < top_k) & ~near & (acc["used"] + x["tokens"] <= budget)
         return F.when(take, F.struct(F.concat(acc["kept"], F.array(x)).alias("kept"), (acc["used"] + x["tokens"]).alias("used"))).otherwise(acc)
 
