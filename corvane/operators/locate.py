@@ -1,15 +1,22 @@
 """Where the pieces of a passage stand on its page: positional search over word boxes, and what is marked of it.
 
 Words have the keys of their page, seq (reading order), word, line, x0, y0,
-x1, y1.  A page's words are one row: its text, and where in it each word
-stands; a passage meets its page by an equal join, and its pieces are found
-there by position, so no pieces are paired with words.
+x1, y1; or they come as pages, a row with these in arrays in reading order.  A
+passage meets its page by an equal join, and its pieces are found there by
+position, so neither pieces nor words are rows of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from typing import Any
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from corvane.operators import viewer
 
@@ -17,36 +24,87 @@ MOST_SEARCHES = 60  # fixed value: pieces of a passage that are searched
 PAGE = ["source_doc", "page"]
 
 
-def plain(text: Column) -> Column:
+def flat(text: str) -> str:
     """Lower case, white space as single blanks."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-
-
-def page_texts(words: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """keys, page_text, boxes: the words in order, a blank between them; a hyphen at a line's end joins its word with the next.
-
-    boxes: start and stop in the text, line, x0, y0, x1, y1.  Blank words go.
-    A page is one row: its size is that of a printed page.
-    """
-    order = Window.partitionBy(*keys).orderBy("seq")
-    rows = words.withColumn("w", plain(F.coalesce("word", F.lit("")))).filter("w <> ''")
-    rows = rows.withColumn("next_line", F.lead("line").over(order))
-    rows = rows.withColumn("broken", F.col("w").endswith("-") & (F.length("w") > 1) & (F.col("next_line") != F.col("line")))
-    rows = rows.withColumn("w", F.when(F.col("broken"), F.expr("left(w, length(w) - 1)")).otherwise(F.col("w")))
-    rows = rows.withColumn("glued", F.when(F.col("next_line").isNull() | F.col("broken"), F.col("w")).otherwise(F.concat("w", F.lit(" "))))
-    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("glued")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    box = F.struct("start", (F.col("start") + F.length("w")).alias("stop"), "line", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], "glued")
-    own = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(box)).alias("b"))
-    return own.select(*keys, F.array_join(F.transform("b", lambda x: x["glued"]), "").alias("page_text"), F.transform("b", lambda x: x.dropFields("glued")).alias("boxes"))
-
-
-def occurrences(text: Column, piece: Column) -> Column:
-    """Where the piece begins in the text, from the left and without overlaps."""
-    literal = F.concat(F.lit(r"\Q"), F.replace(piece, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    parts = F.split(text, literal)
-    step = lambda a, x: F.struct((a["at"] + F.length(x) + F.length(piece)).alias("at"), F.concat(a["found"], F.array(a["at"] + F.length(x))).alias("found"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
-    return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), begin, step, lambda a: a["found"])
+    return viewer.SPACE.sub(" ", text.lower()).strip(" ")
+
+
+WORD = ("word", "line", "x0", "y0", "x1", "y1")
+
+
+def paged(words: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+    """Words as pages: keys, and arrays in reading order.  A page is one row: its size is that of a printed page."""
+    own = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", *WORD))).alias("own"))
+    return own.select(*keys, *[F.col("own")[c].alias(c) for c in WORD])
+
+
+class _Page:
+    """A page's text, a blank between words, and where its words stand; a hyphen at a line's end joins its word with the next.  Blank words go."""
+
+    def __init__(self, words: list[tuple]) -> None:
+        rows = [(w, *rest) for word, *rest in words if (w := flat(word or ""))]
+        glued, self.starts, self.stops, self.boxes, at = [], [], [], [], 0
+        for i, (w, line, *box) in enumerate(rows):
+            after = rows[i + 1][1] if i + 1 < len(rows) else None
+            broken = len(w) > 1 and w.endswith("-") and after is not None and line is not None and after != line
+            w = w[:-1] if broken else w
+            glued.append(w if after is None or broken else w + " ")
+            self.starts.append(at)
+            self.stops.append(at + len(w))
+            self.boxes.append((line, *box))
+            at += len(glued[-1])
+        self.text = "".join(glued)
+
+    def rectangles(self, begin: int, end: int) -> list[list]:
+        """[line, x0, y0, x1, y1] of a stretch of the text, one for each line; a word takes part by the share of its characters."""
+        lines: dict[Any, list] = {}
+        for i in range(bisect_right(self.stops, begin), bisect_left(self.starts, end)):
+            line, x0, y0, x1, y1 = self.boxes[i]
+            start, stop = self.starts[i], self.stops[i]
+            share = lambda at: None if x0 is None or x1 is None else x0 + (x1 - x0) * (at - start) / (stop - start)  # noqa: B023, E731
+            box = [share(max(start, begin)), y0, share(min(stop, end)), y1]
+            old = lines.get(line)
+            if old is None:
+                lines[line] = [line, *box]
+            else:
+                for j, (f, v) in enumerate(zip((min, min, max, max), box), 1):
+                    old[j] = v if old[j] is None else old[j] if v is None else f(old[j], v)
+        return list(lines.values())
+
+    def hits(self, piece: str) -> Iterator[tuple]:
+        """(hit, line, x0, y0, x1, y1), from the left and without overlaps."""
+        at, hit = self.text.find(piece), 0
+        while at >= 0:
+            for rectangle in self.rectangles(at, at + len(piece)):
+                yield hit, *rectangle
+            at, hit = self.text.find(piece, at + len(piece)), hit + 1
+
+
+def _list(values: pa.Array) -> list:
+    return values.to_numpy().tolist() if pa.types.is_primitive(values.type) and not values.null_count else values.to_pylist()
+
+
+def _searched(schema: pa.Schema, cut: bool):
+    """Rows of key, pieces (or parts, to be cut into pieces) and a page's arrays to rectangles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for large in batches:
+            for first in range(0, large.num_rows, 1_000):
+                batch = large.slice(first, 1_000)
+                rows: list[tuple] = []
+                arrays = [batch.column(i) for i in range(2, batch.num_columns)]
+                for i in range(batch.num_rows):
+                    page, own = _Page(list(zip(*(_list(a[i].values) for a in arrays)))), batch.column(1)[i].as_py()
+                    for n, piece, cell in viewer.first_pieces(own, MOST_SEARCHES) if cut else ((p["n"], p["piece"], p["cell"]) for p in own):
+                        piece = flat(piece or "")
+                        if piece:
+                            rows += [(i, n, cell, *hit) for hit in page.hits(piece)]
+                if rows:
+                    at, *columns = zip(*rows)
+                    made = [pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:])]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)).cast(schema.field(0).type), *made], schema=schema)
+
+    return run
 
 
 def hits(pieces: DataFrame, words: DataFrame, key: str = "chunk_id", keys: list[str] = PAGE) -> DataFrame:
@@ -56,17 +114,21 @@ def hits(pieces: DataFrame, words: DataFrame, key: str = "chunk_id", keys: list[
     begin or end within a word, of which it takes the share of its characters.
     Pieces without text are not searched; those that are not there have no row.
     """
-    asked = pieces.select(*keys, key, "n", plain(F.col("piece")).alias("piece"), "cell").filter("piece <> ''")
-    asked = asked.groupBy(*keys, key).agg(F.collect_list(F.struct("n", "piece", "cell")).alias("pieces"))
-    rows = asked.join(page_texts(words, keys), keys).select(key, "page_text", "boxes", F.explode("pieces").alias("p"))
-    rows = rows.filter(F.contains("page_text", F.col("p.piece")))
-    rows = rows.select(key, "p.*", "boxes", F.posexplode(occurrences(F.col("page_text"), F.col("p.piece"))).alias("hit", "begin"))
-    end = F.col("begin") + F.length("piece")
-    share = lambda x, at: x["x0"] + (x["x1"] - x["x0"]) * (at - x["start"]) / (x["stop"] - x["start"])
-    met = F.filter("boxes", lambda x: (x["start"] < end) & (x["stop"] > F.col("begin")))
-    cut = F.transform(met, lambda x: F.struct(x["line"].alias("line"), share(x, F.greatest(x["start"], F.col("begin"))).alias("x0"), x["y0"].alias("y0"), share(x, F.least(x["stop"], end)).alias("x1"), x["y1"].alias("y1")))
-    rows = rows.select(key, "n", "cell", "hit", F.inline(cut))
-    return rows.groupBy(key, "n", "cell", "hit", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    asked = pieces.select(*keys, key, "n", F.col("piece"), "cell")
+    return _hits(asked.groupBy(*keys, key).agg(F.collect_list(F.struct("n", "piece", "cell")).alias("pieces")), words, key, keys)
+
+
+def _hits(asked: DataFrame, words: DataFrame, key: str, keys: list[str], cut: bool = False) -> DataFrame:
+    """``hits`` of passages (the page's keys, key, pieces); with ``cut`` of the first pieces of their parts."""
+    pages = words if "seq" not in words.columns else paged(words, keys)
+    boxes = [F.col(c).cast("array<double>").alias(c) for c in WORD[2:]]
+    rows = asked.join(pages, keys).select(key, "pieces", "word", "line", *boxes)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    number = "integer" if cut else kinds["pieces"].elementType["n"].dataType
+    out = StructType().add(key, kinds[key]).add("n", number).add("cell", "boolean").add("hit", "integer").add("line", kinds["line"].elementType)
+    for c in WORD[2:]:
+        out = out.add(c, "double")
+    return rows.mapInArrow(_searched(to_arrow_schema(out), cut), out)
 
 
 def with_single(rects: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -84,9 +146,11 @@ def highlights(passages: DataFrame, words: DataFrame, key: str = "chunk_id", key
     that is there once is an anchor; with anchors, what lies outside their
     height, a line beyond it included, is another place's and goes.
     """
-    own = passages.filter("extraction_method = 'text'")
-    rows = viewer.search_pieces(own, key)
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("at", "n")) - 1).filter(F.col("n") < MOST_SEARCHES)
-    found = with_single(hits(rows.join(own.select(key, *keys), key), words, key, keys), key)
-    near = viewer.within_anchors(found, found.filter("single AND NOT cell"), [key])
+    own = passages.filter("extraction_method = 'text'").repartition(*keys)  # before they are cut: a table's files may be few
+    own = own.select(key, *keys, viewer.parts(F.col("text")).alias("pieces"))
+    found = with_single(_hits(own, words, key, keys, cut=True).repartition(key), key)  # what follows is by passage, and dealt once
+    # as viewer.within_anchors, without reading what was found twice
+    own, anchor = Window.partitionBy(key), lambda c: F.when(F.col("single") & ~F.col("cell"), F.col(c))
+    rows = found.withColumn("top", F.min(anchor("y0")).over(own) - viewer.PADDING).withColumn("bottom", F.max(anchor("y1")).over(own) + viewer.PADDING)
+    near = rows.filter(F.col("top").isNull() | ((F.col("y1") >= F.col("top")) & (F.col("y0") <= F.col("bottom"))))
     return viewer.merge_rectangles(near, [key])

@@ -49,6 +49,16 @@ def test_anchors(spark):
     assert marks(passages(text, "ocr")) == [] and marks(passages(None)) == []
 
 
+def test_pages_as_rows(spark):
+    text = "A sentence that is on the page once only."
+    passages = spark.createDataFrame([("k", "a", 1, text, "text")], "chunk_id string, source_doc string, page int, text string, extraction_method string")
+    words = spark.createDataFrame(lay("a", 1, ["x A sentence that is", "on the page once only. y"]), WORDS)
+    first, second = locate.highlights(passages, words), locate.highlights(passages, locate.paged(words))
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, second.collect())) != []
+    plan = second._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Generate" not in plan  # neither pieces nor words are rows, and a page is searched once
+
+
 def plain_marks(text, words):
     """Of one page: words (word, line, x0, y0, x1, y1) in order."""
     page, spans = "", []
