@@ -21,6 +21,7 @@ whatever their names.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -174,6 +175,7 @@ SLICE_CHARS = 1_000_000
 def tokenizer_for(path: str, cache_words: int) -> WordTokenizer:
     key = (path, cache_words)
     if key not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the tokenizer's own threads wait for work busily
         _TOKENIZERS[key] = WordTokenizer(path, cache_words)
     return _TOKENIZERS[key]
 
