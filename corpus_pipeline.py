@@ -51,8 +51,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each group of near duplicates; doc_ids may be null or repeat."""
     with scratch_run(spark, OWNER):
         rows = number_rows(docs.select(*COLUMNS))
-        groups = simhash.near_duplicates(rows, NEAR)
-        first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select(F.col("m.rid").alias(ROW))
+        first = simhash.first_rows(rows, NEAR).select(F.col("rid").alias(ROW))
         return rows.join(first, ROW, "left_semi").select(*COLUMNS)
 
 

@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a map-side-combined minimum and a skew-safe join; nothing but
-two numbers per round reaches the driver.
+Every step is a map-side-combined minimum or a skew-safe join, and is stored
+before the next one: a whole round in one plan has tens of exchanges and
+broadcasts, all of which the driver plans anew as each of them ends and holds
+at once.  Nothing but four numbers per round reaches the driver.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize, skew_join
+from corvane.llm.common import materialize, stored_join
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,10 +24,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         state = (total, mark)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = skew_join(both, least, ["u"], "n", 2 * total, ["v"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = skew_join(large, low, ["u"], "n", 2 * total, ["v"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "cc-least")
+        large = stored_join(both, least, ["u"], "n", 2 * total, ["v"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.distinct(), "cc-large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "cc-low")
+        small = stored_join(large, low, ["u"], "n", 2 * total, ["v"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "cc-edges")
     # at the fixed point every node hangs on its root
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

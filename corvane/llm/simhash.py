@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import MOST_HOT, materialize, row_id, skew_join, text_or_empty
+from corvane.llm.common import MOST_HOT, materialize, row_id, skew_join, stored_join, text_or_empty
 from corvane.llm.components import connected_components
 
 SEED = 42
@@ -146,10 +146,15 @@ def _costs(bits: np.ndarray, part: tuple[int, ...], total: int) -> list[float]:
 
 def plan_index(sample: np.ndarray, total: int, radius: int) -> Layout:
     """Cheapest parts and thresholds for ``total`` fingerprints, from the bits (rows, bits) of a sample."""
-    n_bits = sample.shape[1]
-    x = sample.astype(float) - sample.mean(axis=0)
-    norm = np.sqrt(np.maximum((x**2).sum(axis=0), 1e-9))
-    corr = np.abs(x.T @ x / norm[:, None] / norm)
+    n, n_bits = sample.shape
+    both = np.zeros((n_bits, n_bits))
+    for at in range(0, n, 1_024):  # the whole sample as doubles takes tens of megabytes of the driver
+        x = sample[at : at + 1_024].astype(float)
+        both += x.T @ x
+    ones = np.diag(both)
+    cov = both - np.outer(ones, ones) / n
+    norm = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+    corr = np.abs(cov / norm[:, None] / norm)
     np.fill_diagonal(corr, 0)
     best: tuple[float, Layout] | None = None
     for m in range(max(2, n_bits // 60 + 1), min(max(3, n_bits // 10), 14) + 1):
@@ -345,6 +350,14 @@ def _of_values(probes: DataFrame, values: DataFrame, within: bool, total: int, b
     return (both if within else both.filter("met IS NULL")).select(*probes.columns)
 
 
+def _sample(words: DataFrame, total: int) -> np.ndarray:
+    """The bits of about SAMPLE of ``total`` fingerprints, chosen by a hash of their own: the least of each task would grow with the tasks."""
+    if total > SAMPLE:
+        words = words.filter(F.pmod(F.xxhash64(F.lit(SEED), *words.columns), F.lit(total)) < SAMPLE)
+    found = words.toArrow()
+    return _bits(np.stack([c.to_numpy() for c in found.columns], axis=1).view(np.uint64))
+
+
 def links(nodes: DataFrame, radius: int, width: int, limit: int = RUN_LIMIT, most_broadcast: int = MOST_HOT) -> DataFrame:
     """Links (a, b) that connect the nodes (node, w0..; fingerprints distinct) as all pairs within the radius would.
 
@@ -354,11 +367,9 @@ def links(nodes: DataFrame, radius: int, width: int, limit: int = RUN_LIMIT, mos
     """
     words = [f"w{i}" for i in range(width)]
     total = nodes.count()
-    sample = nodes.select(*words).orderBy(F.xxhash64(*words)).limit(SAMPLE).toPandas()
     if total < 2:
         return nodes.sparkSession.createDataFrame([], "a long, b long")
-    bits = _bits(sample.to_numpy(np.int64).view(np.uint64))
-    layout = plan_index(bits, total, radius)
+    layout = plan_index(_sample(nodes.select(*words), total), total, radius)
     row = "part int, key long, node long, " + ", ".join(f"{w} long" for w in [*words, *[f"u{i}" for i in range(width)]])
     probes = nodes.select("node", *words).mapInArrow(_emit(layout, width), row)
     most = total * sum((0, 1, 1 + len(p), 1 + len(p))[t + 1] for p, t in zip(layout.parts, layout.thresholds, strict=True))
@@ -381,18 +392,31 @@ def links(nodes: DataFrame, radius: int, width: int, limit: int = RUN_LIMIT, mos
         probes = again.mapInPandas(_refine(radius, width), row)
 
 
+def _components(docs: DataFrame, config: SimHashConfig) -> tuple[DataFrame, DataFrame]:
+    """Stored: the fingerprint of every row; and of each fingerprint (w0..) its copies, its first row (nameless, doc_id, rid), that is by doc_id, null last, then by rid, and its component's root."""
+    words = [f"w{i}" for i in range(config.words64)]
+    rows = materialize(fingerprints(docs, config), "simhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rid")).alias("first")
+    nodes = materialize(rows.groupBy(*words).agg(first, F.count(F.lit(1)).alias("copies"), F.min("rid").alias("node")), "simhash-nodes")
+    roots = connected_components(links(nodes, config.radius, config.words64))
+    tree = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows, materialize(tree.select(*words, "first", "copies", "root"), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, config: SimHashConfig = SimHashConfig()) -> DataFrame:
     """rid, doc_id, w0.., component_id (least doc_id of the component), root (least rid of it) for every row.
 
     ``root`` tells components apart where doc_ids are null or repeated.
     """
     words = [f"w{i}" for i in range(config.words64)]
-    rows = materialize(fingerprints(docs, config), "simhash-rows")
+    rows, tree = _components(docs, config)
     total = rows.count()
-    nodes = materialize(rows.groupBy(*words).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("rid").alias("node")), "simhash-nodes")
-    roots = connected_components(links(nodes, config.radius, config.words64))
-    tree = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tree = materialize(tree.select(*words, "least", "copies", "root"), "simhash-roots")
-    names = tree.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    named = skew_join(tree, names, ["root"], "n", total, words).select(*words, "copies", "component_id", "root")
-    return skew_join(rows, named, words, "copies", total, ["rid"]).select("rid", "doc_id", *words, "component_id", "root")
+    names = materialize(tree.groupBy("root").agg(F.min("first.doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "simhash-names")
+    named = materialize(stored_join(tree, names, ["root"], "n", total, words).select(*words, "copies", "component_id", "root"), "simhash-named")
+    return stored_join(rows, named, words, "copies", total, ["rid"]).select("rid", "doc_id", *words, "component_id", "root")
+
+
+def first_rows(docs: DataFrame, config: SimHashConfig = SimHashConfig()) -> DataFrame:
+    """rid of each component's first row, by doc_id, null last, then by rid; rows meet by fingerprint only, so they are joined with nothing."""
+    _, tree = _components(docs, config)
+    return tree.groupBy("root").agg(F.min("first").alias("first")).select("first.rid")
