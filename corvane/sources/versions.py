@@ -49,10 +49,10 @@ class VersionedTable:
             stream.close()
         return json.loads(text)
 
-    def write_part(self, frame: DataFrame, partition_by: tuple[str, ...] = (), **info: Any) -> dict[str, Any]:
-        """Files of the rows, seen by nobody before a commit names them."""
+    def write_part(self, frame: DataFrame, partition_by: tuple[str, ...] = (), options: dict[str, str] | None = None, **info: Any) -> dict[str, Any]:
+        """Files of the rows, seen by nobody before a commit names them; ``options`` are those of the files' writer."""
         name = f"parts/{uuid.uuid4().hex}"
-        frame.write.partitionBy(*partition_by).parquet(f"{self.root}/{name}")
+        frame.write.options(**(options or {})).partitionBy(*partition_by).parquet(f"{self.root}/{name}")
         return {"name": name, "schema": frame.schema.json(), **info}
 
     def commit(self, base: int, parts: list[dict[str, Any]], info: dict[str, Any] | None = None) -> int:
